@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .expressions import let
 from .store import cut
 
 #: Host and path of each rule with its verdict.
@@ -49,17 +50,19 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
 
 def _windows(url: Column) -> Column:
     """For each character a long of six symbols, 6 bits each: the five before it and itself."""
-    symbols = F.transform(F.split(F.translate(url, UPPER, LOWER), ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c) % 63))
-    symbols = F.filter(symbols, lambda s: s.isNotNull())
+    symbols = F.transform(F.split(F.translate(url, UPPER, LOWER), ""), lambda c: F.instr(F.lit(ALPHABET), c) % 63)
     padded = F.concat(F.array_repeat(F.lit(START), ORDERS - 1), symbols)
 
-    def window(i: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for j in range(ORDERS):
-            out = out.bitwiseOR(F.shiftleft(F.element_at(padded, i + j).cast("long"), 6 * (ORDERS - 1 - j)))
-        return out
+    def windows(p: Column) -> Column:
+        def window(i: Column) -> Column:
+            out = F.element_at(p, i + (ORDERS - 1)).cast("long")
+            for j in range(ORDERS - 1):
+                out = out.bitwiseOR(F.shiftleft(F.element_at(p, i + j).cast("long"), 6 * (ORDERS - 1 - j)))
+            return out
 
-    return F.when(F.length(url) > 0, F.transform(F.sequence(F.lit(1), F.size(symbols)), window)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.sequence(F.lit(1), F.size(p) - (ORDERS - 1)), window)
+
+    return F.when(F.length(url) > 0, let(padded, windows)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _gram(w: Column, k: int) -> Column:
