@@ -11,6 +11,7 @@ from . import oracle
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .parity_join import parity_join
 from .quality_rules import quality_rules
 from .url_filter import url_filter
 
@@ -22,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"))
 
@@ -43,7 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_exact_dedup, op5_packing, op7_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_url_filter, op4_exact_dedup, op5_packing, op7_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
