@@ -33,9 +33,11 @@ def _named(df: DataFrame, cols: list[str]) -> DataFrame:
     return ranged.withColumn("name", F.monotonically_increasing_id())
 
 
-def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 2048, hash_bits: int = 64) -> DataFrame:
+def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 2048, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """One row (id, sha, level, name) for each distinct (id, normalised text); (level, name) is the text's identity.
 
+    Also (id, sha, copies), the number of rows that repeat them.
+
     ``hash_bits`` below 64 makes blocks share hashes, for tests of the exact way for these.
     """
     norm = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
@@ -61,6 +63,8 @@ def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         level = full.join(names, ["h", "block"])
     level = cut(level.select("id", "sha", "n", F.col("pos").cast("long").alias("pos"), "name"), "level0")
 
+    rows = level.where("pos = 0").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("copies"))
+
     done, k = [], 0
     while True:
         done.append(level.where("n = 1").select("id", "sha", F.lit(k).alias("level"), "name"))
@@ -76,7 +80,7 @@ def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.distinct()
+    return out.distinct(), rows
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 2048, hash_bits: int = 64) -> DataFrame:
@@ -86,8 +90,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept. Rows with a null id belong to a group but stay only where the group has no other id (keep_id is null
     then). Other columns are not used, whatever their names. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha")).groupBy("id", "sha").agg(F.count(F.lit(1)).alias("copies"))
-    names = document_names(docs, id_col, text_col, block_chars, hash_bits).select(F.col("id").alias("id2"), F.col("sha").alias("sha2"), "level", "name")
+    names, rows = document_names(docs, id_col, text_col, block_chars, hash_bits)
+    names = names.select(F.col("id").alias("id2"), F.col("sha").alias("sha2"), "level", "name")
     rows = cut(rows.join(names, (F.col("sha") == F.col("sha2")) & F.col("id").eqNullSafe(F.col("id2"))).select("id", "sha", "copies", "level", "name"), "identities")
     groups = rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
     each = rows.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
