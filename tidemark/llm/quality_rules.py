@@ -5,58 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .expressions import let
+
 #: Characters that count as symbols, and the white space between words.
 SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
-
+def _window_hashes(words: Column, width: int) -> Column:
+    """64-bit hashes of all windows of ``width`` words, built by doubling (1, 2, 4, 8), so ``width`` is a power of two."""
 
-def _repeat_words(words: Column, width: int) -> Column:
-    """Words inside windows of ``width`` words that the text has twice or more.
+    def doubled(h: Column, step: int) -> Column:
+        return F.slice(F.zip_with(h, F.slice(h, F.lit(1 + step), F.size(h)), lambda x, y: F.xxhash64(x, y)), F.lit(1), F.greatest(F.size(h) - step, F.lit(0)))
 
-    Windows are compared by 64-bit hashes built by doubling (1, 2, 4, 8 words), so ``width`` is a power of two.
-    """
     hashes, step = F.transform(words, lambda w: F.xxhash64(w)), 1
     while step < width:
-        hashes = F.zip_with(
-            F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - step, F.lit(0))), F.slice(hashes, F.lit(1 + step), F.greatest(F.size(hashes) - step, F.lit(0))), lambda x, y: F.xxhash64(x, y)
-        )
-        step *= 2
+        hashes, step = let(hashes, lambda h, step=step: doubled(h, step)), 2 * step
     return hashes
 
 
 def _covered(hashes: Column, width: int) -> Column:
     """Size of the union of [i, i + width) over the places i of hashes that occur more than once."""
+    null = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
+
+    def places(ranked: Column) -> Column:
+        with_before = F.zip_with(ranked, F.concat(null, ranked), lambda x, y: F.struct(x["i"].alias("i"), x["h"].alias("h"), (x["h"] == y["h"]).alias("p")))
+        twice = F.zip_with(with_before, F.slice(ranked, F.lit(2), F.size(ranked)), lambda x, y: F.when(F.coalesce(x["p"], F.lit(False)) | F.coalesce(x["h"] == y["h"], F.lit(False)), x["i"]))
+        return F.sort_array(F.filter(twice, lambda i: i.isNotNull()))
+
+    def total(at: Column) -> Column:
+        spans = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda i, j: F.least(F.coalesce(j - i, F.lit(width)), F.lit(width)))
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)
+
     ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    after = F.slice(ranked, F.lit(2), F.size(ranked))
-    before = F.concat(F.slice(ranked, F.lit(1), F.lit(0)), F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(ranked, F.lit(1), F.size(ranked) - 1))
-    twice = F.zip_with(
-        F.zip_with(ranked, before, lambda x, y: F.struct(x["i"].alias("i"), x["h"].alias("h"), (x["h"] == y["h"]).alias("p"))),
-        after,
-        lambda x, y: F.when(F.coalesce(x["p"], F.lit(False)) | F.coalesce(x["h"] == y["h"], F.lit(False)), x["i"]),
-    )
-    places = F.sort_array(F.filter(twice, lambda i: i.isNotNull()))
-    nexts = F.slice(places, F.lit(2), F.size(places))
-    spans = F.zip_with(places, nexts, lambda i, j: F.least(F.coalesce(j - i, F.lit(width)), F.lit(width)))
-    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)
+    return let(let(ranked, places), total)
+
+
+def _repeat_words(words: Column, width: int) -> Column:
+    """Words inside windows of ``width`` words that the text has twice or more; most texts need no sorting."""
+    none = F.lit(0).cast("long")
+    return let(_window_hashes(words, width), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h, width)).otherwise(none))
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = 8) -> DataFrame:
-    """Row-wise counts, with the distinct normalised lines of each text (hash, words in all its lines of that hash)."""
+    """Counts of each row by itself, and the columns in ``keep``."""
     t = docs.select(F.col(id_col).alias("id"), *[F.col(k) for k in keep], F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    t = t.withColumn("words", words_of(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")))
-    t = t.withColumn("hashes", _repeat_words(F.col("words"), window))
-    return t.select(
-        "id", *keep,
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _covered(F.col("hashes"), window)).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+    words = F.array_remove(F.split("t", SPACE), "")
+    of_words = let(
+        words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w, window).alias("n_repeat_words"))
     )
+    dup = let(F.filter(F.split("t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
+    symbols = F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long")
+    t = t.select("id", *keep, of_words.alias("w"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"))
+    return t.select("id", *keep, "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
 
 
 def line_words(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
