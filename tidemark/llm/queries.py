@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .language_model import score_texts
 from .packing import pack
 from .parity_join import parity_join
 from .quality_rules import quality_rules
@@ -27,6 +28,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"))
 
@@ -48,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_url_filter, op4_exact_dedup, op5_packing, op7_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scores, op3_url_filter, op4_exact_dedup, op5_packing, op7_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
