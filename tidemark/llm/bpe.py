@@ -6,7 +6,8 @@ token's longest prefix that is a token, and takes back the last token where none
 merging by rank would not merge across its border, so a sequence of compatible pairs is what the merges give.
 
 A word is a string of symbols: one character for each byte, the last raised by 256 as the end of the word.
-Words are encoded once and kept, up to ``MAX_KEPT`` of them in a worker.
+Words are encoded once and kept, up to ``MAX_KEPT`` of them in a worker, as are runs of characters between white
+space.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-MAX_KEPT = 200_000
+MAX_KEPT = 700_000
 END = "</w>"
 #: Below this code point composed letters are all that exists: NFC changes nothing and all libraries agree on classes.
 PLAIN = "\u0250"
@@ -99,7 +100,7 @@ class Encoder:
 
     def __init__(self, data: bytes, vocabulary: Vocabulary | None = None):
         self.data, v = data, vocabulary or Vocabulary(data)
-        self.v, self.pairs, self.split, self.base = v, v.pairs, v.split, v.base
+        self.v, self.pairs, self.split, self.base, self.real = v, v.pairs, v.split, v.base, v.real
         self.lengths = [len(s) for s in v.symbols]
         self.whole = {s: i for i, s in enumerate(v.symbols) if v.reached[i]}
         self.automaton = ahocorasick.Automaton()
@@ -108,7 +109,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.prefix = [next((self.whole[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in self.whole), -1) for s in v.symbols]
         self.fits: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, Kept] = {}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.library: Tokenizer | None = None
@@ -147,61 +148,75 @@ class Encoder:
     def encode_symbols(self, word: str) -> list[int]:
         if (t := self.whole.get(word)) is not None:
             return [t]
-        n, lengths, prefix, compatible = len(word), self.lengths, self.prefix, self.compatible
-        longest = [-1] * n
-        for end, (t, size) in self.automaton.iter(word):
-            at = end - size + 1
-            if longest[at] < 0 or lengths[longest[at]] < size:
-                longest[at] = t
-        out: list[int] = []
-        open_ = [True] * (n + 1)
-        at, t = 0, longest[0]
+        # Longest matches one after another, as far as all pairs are compatible.
+        out = [x[0] for _, x in self.automaton.iter_long(word)]
+        fits, last = self.fits, out[0]
+        for k in range(1, len(out)):
+            t = out[k]
+            key = last << 20 | t
+            if not (fits[key] if key in fits else self.compatible(last, t)):
+                return self._with_steps_back(word, out[:k], self.prefix[t])
+            last = t
+        return out
+
+    def _longest(self, word: str, at: int) -> int:
+        size, whole = self.automaton.longest_prefix(word[at:]), self.whole
+        while (t := whole.get(word[at : at + size])) is None:
+            size -= 1
+        return t
+
+    def _with_steps_back(self, word: str, out: list[int], t: int) -> list[int]:
+        """Goes on after the tokens ``out``, trying first ``t`` (-1: none is left to try there)."""
+        n, lengths, prefix, fits = len(word), self.lengths, self.prefix, self.fits
+        at, last, shut = sum([lengths[x] for x in out]), out[-1], set()
         while at < n:
-            last = out[-1] if out else -1
-            while t >= 0 and not (open_[at + lengths[t]] and (last < 0 or compatible(last, t))):
+            while t >= 0:
+                if (end := at + lengths[t]) not in shut:
+                    key = last << 20 | t
+                    if last < 0 or (fits[key] if key in fits else self.compatible(last, t)):
+                        break
                 t = prefix[t]
             if t >= 0:
                 out.append(t)
-                at += lengths[t]
-                t = longest[at] if at < n else -1
+                at, last = end, t
+                if at < n:
+                    t = self._longest(word, at)
             else:
-                open_[at] = False
+                shut.add(at)
                 t = out.pop()
                 at -= lengths[t]
-                t = prefix[t]
+                t, last = prefix[t], out[-1] if out else -1
         return out
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> list[int]:
         """Ids of one word as the pattern splits it."""
-        if (ids := self.words.get(word)) is None:
-            raw = word.encode().decode("latin-1")
-            ids = tuple(self.v.real[t] for t in self.encode_symbols(raw[:-1] + chr(ord(raw[-1]) + 256)))
-            if len(self.words) >= MAX_KEPT:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
-
-    def _plain(self, chunk: str) -> list[int]:
-        if max(chunk) < PLAIN:
-            found = self.find(chunk.lower())
-        else:  # rare letters: the library's own tables
-            if self.library is None:
-                self.library = Tokenizer.from_str(self.data.decode())
-            letters = _byte_letters()
-            split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
-            found = [bytes(letters[c] for c in p).decode() for p, _ in split]
-        return [i for w in found for i in self.word(w)]
+        raw = word if word.isascii() else word.encode().decode("latin-1")
+        real = self.real
+        return [real[t] for t in self.encode_symbols(raw[:-1] + chr(ord(raw[-1]) + 256))]
+
+    def pieces(self, chunk: str) -> list[str]:
+        """Words of a chunk, normalised."""
+        if chunk.isascii() or max(chunk) < PLAIN:
+            return self.find(chunk.lower())
+        if self.library is None:  # rare letters: the library's own tables
+            self.library = Tokenizer.from_str(self.data.decode())
+        letters = _byte_letters()
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [bytes(letters[c] for c in p).decode() for p, _ in found]
+
+    def is_plain(self, chunk: str) -> bool:
+        return self.special is None or "<|" not in chunk
 
     def chunk(self, chunk: str) -> list[int]:
         """Ids of a run of characters without white space."""
-        if self.special is None or "<|" not in chunk:
-            return self._plain(chunk)
+        if self.is_plain(chunk):
+            return [i for w in self.pieces(chunk) for i in self.word(w)]
         out: list[int] = []
         for k, part in enumerate(self.special.split(chunk)):
             if k % 2:
                 out.append(self.v.special[part])
             elif part:
-                out += self._plain(part)
+                out += [i for w in self.pieces(part) for i in self.word(w)]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -227,18 +242,57 @@ def shared_file(docs: DataFrame, vocabulary: str) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
 
-def kept(make: Callable[[str], object]) -> Callable[[str], object]:
-    """``make`` with its results kept, at most ``MAX_KEPT`` of them."""
-    known: dict[str, object] = {}
+class Kept:
+    """What ``form`` makes of a word's ids, and ``join`` of several words' forms, for words and chunks met before.
+
+    It belongs to a worker's encoder and so serves all its tasks. ``chunks`` may be read directly. Where half of
+    what may be kept is full, it becomes the old half, from which what is used again moves over.
+    """
+
+    def __init__(self, enc: Encoder, form: Callable, join: Callable):
+        self.enc, self.form, self.join = enc, form, join
+        self.words: dict = {}
+        self.chunks: dict = {}
+        self.old_words: dict = {}
+        self.old_chunks: dict = {}
+
+    def word(self, word: str):
+        out = self.old_words.get(word) or self.form(self.enc.word(word))
+        if len(self.words) >= MAX_KEPT // 2:
+            self.old_words = self.words.copy()
+            self.words.clear()
+        self.words[word] = out
+        return out
 
-    def get(chunk: str) -> object:
-        if len(known) >= MAX_KEPT:
-            known.clear()
-        known[chunk] = out = make(chunk)
+    def chunk(self, chunk: str):
+        enc, words = self.enc, self.words
+        if out := self.old_chunks.get(chunk):
+            pass
+        elif enc.is_plain(chunk):
+            found = [words.get(w) or self.word(w) for w in enc.pieces(chunk)]
+            out = found[0] if len(found) == 1 else self.join(found)
+        else:
+            out = self.form(enc.chunk(chunk))
+        if len(self.chunks) >= MAX_KEPT // 2:
+            self.old_chunks = self.chunks.copy()
+            self.chunks.clear()
+        self.chunks[chunk] = out
         return out
 
-    get.known = known
-    return get
+    @staticmethod
+    def of(enc: Encoder, name: str, form: Callable, join: Callable) -> Kept:
+        return enc.kept.setdefault(name, Kept(enc, form, join))
+
+
+def _hashable(enc: Encoder) -> Kept:
+    """Number of ids, the ids in decimal, and the decoded text."""
+    numbers = [str(i) for i in range(len(enc.offsets))]
+
+    def join(found: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+        n, ids, texts = zip(*found, strict=True)
+        return sum(n), " ".join(ids), " ".join(texts)
+
+    return Kept.of(enc, "hashable", lambda ids: (len(ids), " ".join([numbers[i] for i in ids]), enc.decode(ids)), join)
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,19 +306,16 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(data.value)
 
-        def make(chunk: str) -> tuple[int, str, str]:
-            ids = enc.chunk(chunk)
-            return len(ids), " ".join(map(str, ids)), enc.decode(ids)
-
-        miss = kept(make)
-        known = miss.known
+        kept = _hashable(enc)
+        known, miss = kept.chunks, kept.chunk
         for b in batches:
             n, ids, texts = [], [], []
             for text in b.column(1):
                 parts = [known.get(c) or miss(c) for c in chunks(text.as_py() or "")]
-                n.append(sum([p[0] for p in parts]))
-                ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                texts.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+                sizes, numbered, decoded = zip(*parts, strict=True) if parts else ((), (), ())
+                n.append(sum(sizes))
+                ids.append(hashlib.sha256(" ".join(numbered).encode()).hexdigest())
+                texts.append(hashlib.sha256(" ".join(decoded).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["id", "n", "i", "d"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -8,6 +8,7 @@ of a sliding window, which a monotone queue holds. Sequences whose length is a p
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _encoder, chunks, is_sentence_end, kept, shared_file
+from .bpe import Kept, _encoder, chunks, is_sentence_end, shared_file
 
 #: Costs in tokens of padding: a cut inside a document at a sentence's end, elsewhere, and each sequence.
 AT_SENTENCE, ELSEWHERE, SEQUENCE = 4.0, 64.0, 16.0
@@ -141,8 +142,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         enc = _encoder(data.value)
         ends = np.zeros(max(enc.v.text) + 1, dtype=bool)
         ends[[i for i, t in enc.v.text.items() if is_sentence_end(t)]] = True
-        miss = kept(lambda c: np.array(enc.chunk(c), dtype="<u4").tobytes())
-        known, last = miss.known, np.array([end_id], dtype="<u4").tobytes()
+        kept = Kept.of(enc, "bytes", lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
+        known, miss, last = kept.chunks, kept.chunk, np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(ends, length, TaskContext.get().partitionId() << 36)
         key_type = None
 
