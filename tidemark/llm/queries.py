@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .html_extract import extract_text
 from .language_model import score_texts
 from .packing import pack
 from .parity_join import parity_join
+from .quality_model import quality_model
 from .quality_rules import quality_rules
+from .toxicity import toxicity
 from .url_filter import url_filter
 
 
@@ -44,16 +47,34 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the library, and gone where this subpackage is
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scores, op3_url_filter, op4_exact_dedup, op5_packing, op7_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scores, op3_url_filter, op4_exact_dedup, op5_packing, op6_toxicity, op7_quality_rules, op8_html_text, op9_quality_model, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
