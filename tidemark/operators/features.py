@@ -14,7 +14,7 @@ LAUNCH = "2023-08-18"
 
 def parsed_date(c: str) -> Column:
     """Year-month-day, else month/day/year, else null."""
-    return F.coalesce(F.try_to_date(c, F.lit("yyyy-MM-dd")), F.try_to_date(c, F.lit("M/d/yyyy")))
+    return F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "M/d/yyyy"))
 
 
 def lenient(c: str, kind: str = "double") -> Column:

@@ -139,8 +139,8 @@ def hurst(prices: DataFrame, min_rows: int = 10) -> DataFrame:
 
 def lag1_autocorrelation(prices: DataFrame, min_rows: int = 3) -> DataFrame:
     df = _long_enough(prices, min_rows).withColumn("before", F.lag("price").over(old_first())).where("before is not null")
-    flat = (F.stddev_samp("price") == 0) | (F.stddev_samp("before") == 0)
-    return df.groupBy("card_id").agg(F.when(~flat, F.corr("price", "before")).alias("lag1_corr"))
+    spread = F.stddev_pop("price") * F.stddev_pop("before")  # corr() would fail on a flat series
+    return df.groupBy("card_id").agg((F.covar_pop("price", "before") / F.nullif(spread, F.lit(0.0))).alias("lag1_corr"))
 
 
 def ts_metrics(prices: DataFrame, min_rows: int = 10) -> DataFrame:

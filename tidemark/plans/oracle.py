@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 _VIEWS = """
-prices as (select cast(user_id as varchar) card_id, cast(ts as date) date, round(avg(value), 4) price from events group by all),
-long_prices as (select cast(l_suppkey as varchar) card_id, cast(l_shipdate as date) date, round(avg(l_extendedprice / nullif(l_quantity, 0)), 4) price from lineitem group by all),
-sparse_prices as (select cast(l_partkey as varchar) card_id, cast(l_shipdate as date) date, round(avg(l_extendedprice / nullif(l_quantity, 0)), 4) price from lineitem group by all),
+prices as (select cast(user_id as varchar) card_id, cast(ts as date) date, round(avg(value), 9) price from events group by all),
+long_prices as (select cast(l_suppkey as varchar) card_id, cast(l_shipdate as date) date, round(avg(l_extendedprice / nullif(l_quantity, 0)), 9) price from lineitem group by all),
+sparse_prices as (select cast(l_partkey as varchar) card_id, cast(l_shipdate as date) date, round(avg(l_extendedprice / nullif(l_quantity, 0)), 9) price from lineitem group by all),
 catalog as (select cast(p_partkey as varchar) id, p_partkey tcgplayer_id, p_name as name, p_brand set_name, p_type rarity, p_size cost, p_retailprice retail, date '1994-12-01' + cast(p_size * 10 as integer) released_at from part),
 listings as (
-  select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_shipdate as date)) item_id, cast(l_partkey as varchar) id, round(l_extendedprice / nullif(l_quantity, 0), 2) price_val,
+  select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_shipdate as date)) item_id, cast(l_partkey as varchar) id, round(l_extendedprice / nullif(l_quantity, 0), 9) price_val,
     l_returnflag = 'R' is_graded, cast(l_shipdate as date) date_pulled,
     concat_ws(' ', p_name, p_brand, p_type, (['japanese', 'fr', 'box', 'sleeve', 'psa 10', 'near mint', 'italian'])[(l_linenumber - 1) % 7 + 1]) listing_title,
     case when l_linestatus = 'O' then 'EPID' else 'TEXT' end pull_source
@@ -18,12 +18,12 @@ runs as (select 1 run_id, max(date) - 14 run_date from prices union all select 2
 past as (select p.*, run_id, run_date, row_number() over (partition by card_id, run_id order by date desc) rn from prices p join runs on date <= run_date),
 base as (select card_id, run_id, run_date, max_by(price, date) as last, avg(price) ma from past where rn <= 7 group by all),
 models as (
-  select card_id, run_id, run_date, 'Last' model, round(last, 4) pred_price from base union all
-  select card_id, run_id, run_date, 'MA7', round(ma, 4) from base union all
-  select card_id, run_id, run_date, 'Mean', round((last + ma) / 2, 4) from base
+  select card_id, run_id, run_date, 'Last' model, round(last, 9) pred_price from base union all
+  select card_id, run_id, run_date, 'MA7', round(ma, 9) from base union all
+  select card_id, run_id, run_date, 'Mean', round((last + ma) / 2, 9) from base
 ),
 forecasts as (
-  select card_id, run_id, run_date, run_date + cast(h as integer) target_date, model, pred_price, round(pred_price * 0.9, 4) conf_low, round(pred_price * 1.1, 4) conf_high
+  select card_id, run_id, run_date, run_date + cast(h as integer) target_date, model, pred_price, round(pred_price * 0.9, 9) conf_low, round(pred_price * 1.1, 9) conf_high
   from models, range(1, 8) r(h)
 )
 """
@@ -122,8 +122,8 @@ wide as (
 )
 """
 _FEATURES = """
-ok as (select card_id from sparse_prices group by card_id having count(distinct date) >= 30),
-own as (select * from sparse_prices where card_id in (select card_id from ok)),
+ok as (select card_id from prices group by card_id having count(distinct date) >= 25),
+own as (select * from prices where card_id in (select card_id from ok)),
 days as (select card_id, unnest(generate_series(min(date), max(date), interval 1 day))::date date from own group by card_id),
 filled as (select d.card_id, d.date, last_value(price ignore nulls) over (partition by d.card_id order by d.date) price from days d left join own p using (card_id, date)),
 meta as (
@@ -212,7 +212,7 @@ SQL: dict[str, str] = {
     "momentum_movers": _q("select * from movers", _MOMENTUM),
     "movers_sparkline": _q("select card_id, tag, date, price from movers left join (select * from prices where date > (select max(date) - 7 from prices)) using (card_id)", _MOMENTUM),
     "market_daily_dive": _q(
-        f"select date_pulled, id, name, set_name, rarity, {_LANGUAGE} as language, is_graded, pull_source, count(*) n_listings, round(quantile_cont(price_val, 0.05), 6) floor_price, round(avg(price_val), 6) avg_price, max(price_val) max_price from listings join catalog using (id) group by all"
+        f"select date_pulled, id, name, set_name, rarity, {_LANGUAGE} as language, is_graded, pull_source, count(*) n_listings, round(quantile_cont(price_val, 0.05), 6) floor_price, round(avg(price_val), 6) avg_price, round(max(price_val), 6) max_price from listings join catalog using (id) group by all"
     ),
     "listing_overview": _q("select date_pulled, rarity, is_graded, count(*) n from listings join catalog using (id) group by all"),
     "top20_active": _q(
@@ -232,7 +232,7 @@ SQL: dict[str, str] = {
     "selector_list": _q("select distinct set_name from catalog where rarity <> 'PROMO'"),
     "language_detect": _q(f"select {_LANGUAGE} as language, count(*) n from listings group by 1"),
     "display_name": _q("select id, name || ' - ' || set_name || ' - ' || rarity cardname, regexp_replace(name, '[ '']', '_', 'g') folder_name from catalog"),
-    "title_filter": _q("select item_id, id, price_val, listing_title from fits", _FITS),
+    "title_filter": _q("select item_id, id, round(price_val, 6) price_val, listing_title from fits", _FITS),
     "second_blacklist": _q("select id, count(*) n from listings where not regexp_matches(listing_title, 'D23|repack|pin|proxy|custom|oversized|coin|sleeve', 'i') group by id"),
     "not_promo": _q("select id, rarity from catalog where not regexp_matches(rarity, 'promo', 'i')"),
     "incremental_queue": _q(
@@ -320,7 +320,7 @@ SQL: dict[str, str] = {
         "join latest using (card_id) join (select card_id, model, pred_price from forecasts where run_id = 2 and target_date = run_date + 7) using (card_id, model)",
         _POOL, _LATEST,
     ),
-    "regression_eval": _q("select count(*) n, round(sum(round(o_totalprice, 2)), 1) actual, round(sum(round(o_totalprice * 0.75, 2)), 0) predicted from orders where o_totalprice > 1000"),
+    "regression_eval": _q("select count(*) n, round(sum(round(o_totalprice, 2)), 1) actual, round(sum(round(o_totalprice - 1.5, 2)), 1) predicted from orders where o_totalprice > 1000"),
     "hash_split": _q("select id, case when b < 70 then 'train' when b < 85 then 'val' else 'test' end split from (select id, (tcgplayer_id * 2654435761) % 100 b from catalog)"),
     "set_rarity_trend": _q(
         "select set_name, rarity, year, 'mean_price' measure, a as value from t union all select set_name, rarity, year, 'median_price', b from t",

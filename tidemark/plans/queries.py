@@ -108,8 +108,7 @@ def multi_hot(s, d):
 
 @query
 def feature_table(s, d):
-    prices = tb.sparse_prices(s, d)
-    df = fe.feature_table(ts.eligible_history(prices, 30), tb.catalog(s, d))
+    df = fe.feature_table(ts.eligible_history(tb.prices(s, d), 25), tb.catalog(s, d))
     return rounded(df, "price_scaled", "cost_scaled", "days_since_release_scaled")
 
 
@@ -293,7 +292,7 @@ def _titled(s, d) -> DataFrame:
 
 @query
 def title_filter(s, d):
-    return li.title_filter(_titled(s, d)).select("item_id", "id", "price_val", "listing_title")
+    return rounded(li.title_filter(_titled(s, d)).select("item_id", "id", "price_val", "listing_title"), "price_val")
 
 
 @query
@@ -569,8 +568,8 @@ def ml_diag_table(s, d):
 
 @query
 def regression_eval(s, d):
-    return ev.regression_eval(tb.table(s, d, "orders").select("o_totalprice", (F.col("o_totalprice") * 0.75).alias("pred")).where("o_totalprice > 1000"), "o_totalprice", "pred").groupBy().agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("actual"), 1).alias("actual"), F.round(F.sum("predicted"), 0).alias("predicted")
+    return ev.regression_eval(tb.table(s, d, "orders").select("o_totalprice", (F.col("o_totalprice") - 1.5).alias("pred")).where("o_totalprice > 1000"), "o_totalprice", "pred").groupBy().agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("actual"), 1).alias("actual"), F.round(F.sum("predicted"), 1).alias("predicted")
     )
 
 

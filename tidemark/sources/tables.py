@@ -35,7 +35,7 @@ def with_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def _daily(df: DataFrame, key: str, at: str, value) -> DataFrame:
     day = F.col(at).cast("date")
-    return df.groupBy(F.col(key).cast("string").alias("card_id"), day.alias("date")).agg(F.round(F.avg(value), 4).alias("price"))
+    return df.groupBy(F.col(key).cast("string").alias("card_id"), day.alias("date")).agg(F.round(F.avg(value), 9).alias("price"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.element_at(F.array(*[F.lit(x) for x in ("japanese", "fr", "box", "sleeve", "psa 10", "near mint", "italian")]), (F.col("l_linenumber") - 1) % 7 + 1)
     return line.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date")).alias("item_id"),
-        F.col("l_partkey").cast("string").alias("id"), F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 2).alias("price_val"),
+        F.col("l_partkey").cast("string").alias("id"), F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 9).alias("price_val"),
         (F.col("l_returnflag") == "R").alias("is_graded"), F.col("l_shipdate").cast("date").alias("date_pulled"),
         F.concat_ws(" ", "p_name", "p_brand", "p_type", extra).alias("listing_title"), F.when(F.col("l_linestatus") == "O", "EPID").otherwise("TEXT").alias("pull_source"),
     )
@@ -86,10 +86,10 @@ def forecasts(spark: SparkSession, sf_dir: str, horizon: int = 7) -> DataFrame:
     newest = W.partitionBy("card_id", "run_id").orderBy(F.desc("date"))
     past = p.join(F.broadcast(runs(p)), F.col("date") <= F.col("run_date")).withColumn("rn", F.row_number().over(newest)).where("rn <= 7")  # two runs
     base = past.groupBy("card_id", "run_id", "run_date").agg(F.max_by("price", "date").alias("last"), F.avg("price").alias("ma"))
-    model = lambda n, c: F.struct(F.lit(n).alias("model"), F.round(c, 4).alias("pred_price"))
+    model = lambda n, c: F.struct(F.lit(n).alias("model"), F.round(c, 9).alias("pred_price"))
     each = base.select("card_id", "run_id", "run_date", F.explode(F.array(model("Last", F.col("last")), model("MA7", F.col("ma")), model("Mean", (F.col("last") + F.col("ma")) / 2))).alias("m"))
     days = each.select("card_id", "run_id", "run_date", "m.*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
-    return days.select("card_id", "run_id", "run_date", F.expr("date_add(run_date, h)").alias("target_date"), "model", "pred_price", F.round(F.col("pred_price") * 0.9, 4).alias("conf_low"), F.round(F.col("pred_price") * 1.1, 4).alias("conf_high"))
+    return days.select("card_id", "run_id", "run_date", F.expr("date_add(run_date, h)").alias("target_date"), "model", "pred_price", F.round(F.col("pred_price") * 0.9, 9).alias("conf_low"), F.round(F.col("pred_price") * 1.1, 9).alias("conf_high"))
 
 
 def nested_history(spark: SparkSession, sf_dir: str) -> DataFrame:
