@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 def _window_hashes(words: Column, width: int) -> Column:
     """64-bit hashes of all windows of ``width`` words, built by doubling (1, 2, 4, 8), so ``width`` is a power of two."""
 
-    def doubled(h: Column, step: int) -> Column:
-        return F.slice(F.zip_with(h, F.slice(h, F.lit(1 + step), F.size(h)), lambda x, y: F.xxhash64(x, y)), F.lit(1), F.greatest(F.size(h) - step, F.lit(0)))
+    def doubled(step: int) -> Callable[[Column], Column]:
+        return lambda h: F.slice(F.zip_with(h, F.slice(h, F.lit(1 + step), F.size(h)), lambda x, y: F.xxhash64(x, y)), F.lit(1), F.greatest(F.size(h) - step, F.lit(0)))
 
     hashes, step = F.transform(words, lambda w: F.xxhash64(w)), 1
     while step < width:
-        hashes, step = let(hashes, lambda h, step=step: doubled(h, step)), 2 * step
+        hashes, step = let(hashes, doubled(step)), 2 * step
     return hashes
 
 
