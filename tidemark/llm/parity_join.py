@@ -14,9 +14,11 @@ index of at least ``t`` differ in at most d = (1 - t) / (1 + t) * (|A| + |B|) el
 3. Of sets with an equal key, all are compared with the smallest id alone: first within a task before anything is
    shuffled, then of all tasks. Bit sketches with too large a Hamming distance drop out; the others are verified on
    the sets themselves, and links make components.
-4. Where such a comparison failed, sets of different components may still be similar. Only documents of components
-   with a failure take part: those with an equal key are compared in blocks of bounded size, in memory, by bit
-   sketches; what passes is verified as before. No pair within a component is looked at again.
+4. Where such a comparison failed, sets of different components may still be similar. So members of keys that three
+   or more sets have are written out where they are met. Where the members of a key are of different components, a few
+   rounds compare them, if they are many, with one member each time, chosen by a hash, as long as this finds links. What is still apart
+   then is compared in blocks of bounded size, in memory, by bit sketches, and what passes is verified as before. No
+   pair within a component is looked at again.
 """
 
 from __future__ import annotations
@@ -40,10 +42,14 @@ CHUNK = 1 << 16
 #: A cell is frequent from this many documents on, or from this many times the mean of all cells.
 FREQUENT, TIMES = 32, 8
 #: Keys that a task gathers before it compares them and hands them on; keys in a bucket; members in a block.
-GATHER, BUCKET, BLOCK = 3_000_000, 1_500_000, 4096
+GATHER, BUCKET, BLOCK = 700_000, 1_000_000, 4096
 #: Bits of a set of ids that is sent to all executors: 1 MB. False hits cost time only.
 FILTER = 1 << 23
 LIGHT_TRIES, FULL_TRIES = 3, 40
+#: Rounds of comparing with one member before all that are still apart are compared: speed, not results.
+ROUNDS = 4
+#: Keys with fewer members need no such rounds: what they have is compared at once.
+LARGE = 16
 
 
 def band_of(n: int) -> int:
@@ -112,7 +118,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
     """(id, n, k1, k2, bits) of every text, and of each task (-1, chunk, counters) with ``n`` null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen = np.zeros(CELLS, np.uint32), set()
+        cells, seen, fresh, size = np.zeros(CELLS, np.uint32), set(), [], 0
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary())])
         for b in batches:
             n, k1, k2, bits = [], [], [], []
@@ -125,10 +131,13 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                 bits.append(sketch_of(s) if len(s) else None)
                 if digest not in seen:
                     seen.add(digest)
-                    cells += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32) if len(s) > CELLS // 8 else np.uint32(0)
-                    if len(s) <= CELLS // 8:
-                        np.add.at(cells, (s & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+                    fresh.append((s & np.uint64(CELLS - 1)).astype(np.int64))
+                    size += len(s)
+                    if size >= GATHER:
+                        cells, fresh, size = cells + np.bincount(np.concatenate(fresh), minlength=CELLS).astype(np.uint32), [], 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary())], schema=schema)
+        if fresh:
+            cells = cells + np.bincount(np.concatenate(fresh), minlength=CELLS).astype(np.uint32)
         if seen:
             pack = zstandard.ZstdCompressor(level=1).compress
             parts = [pack(cells[i : i + CHUNK].tobytes()) for i in range(0, CELLS, CHUNK)]
@@ -157,42 +166,61 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
 
 
 def _starred(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest id, and all (smallest, other) pairs, each once."""
+    """Order by key and id, where each key begins in that order, and all (smallest, other) pairs, each once."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
-    at = np.flatnonzero(first)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     least = np.repeat(ids[at], np.diff(np.concatenate([at, [len(keys)]])))
-    other = ~first & (ids != least)
+    other = ids != least
     pairs = np.unique(np.stack([least[other], ids[other]], axis=1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return keys[at], ids[at], pairs
+    return order, at, pairs
 
 
-def _star_pairs(docs: DataFrame, keys: Keys, width: int, buckets: int) -> DataFrame:
-    """(a, b): for each key its smallest id and every other id that has it."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+def _label(low: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """A key as a column: 48 bits and the bucket. Keys that clash are compared as one, which costs time only."""
+    return (low ^ (np.asarray(bucket).astype(np.uint64) << np.uint64(48))).view(np.int64)
+
+
+def _met(docs: DataFrame, keys: Keys, width: int, buckets: int) -> DataFrame:
+    """Rows (key, a, b). Without a key: the smallest id that has some key, and another id that has it. With a key:
+    a member ``a`` of a key that several have; all members of keys of three or more are there."""
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    low = np.uint64((1 << 48) - 1)
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
+    def rows(bucket, keys_=None, ids=None, key=None, a=None, b=None) -> pa.RecordBatch:
+        n = len(bucket)
+        cols = [pa.array(bucket, pa.int32()), keys_, ids, key, a, b]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, seen, pack = shared.value, {}, zstandard.ZstdCompressor(level=1).compress
+        make, seen, pack = shared.value, set(), zstandard.ZstdCompressor(level=1).compress
         found: list[np.ndarray] = []
         whose: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            k, i, pairs = _starred(np.concatenate(found), np.concatenate(whose))
-            bucket = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            k, i = np.concatenate(found), np.concatenate(whose)
+            order, at, pairs = _starred(k, i)
+            k, i = k[order], i[order]
+            several = np.diff(np.concatenate([at, [len(k)]])) > 1
+            bucket = ((k[at] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             ends = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
             used = [x for x in range(buckets) if ends[x] < ends[x + 1]]
             # Of a key the bucket gives the top; six bytes of the rest are enough, since pairs are verified.
-            blobs = [k[ends[x] : ends[x + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in used]
-            names = [pack(i[ends[x] : ends[x + 1]].tobytes()) for x in used]
-            none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), pa.array(names, pa.binary()), none, none], schema=schema)
+            first, names = k[at].view(np.uint8).reshape(-1, 8)[:, :6], i[at]
+            spans = [slice(ends[x], ends[x + 1]) for x in used]
+            yield rows(used, [first[x].tobytes() for x in spans], [pack(names[x].tobytes() + several[x].tobytes()) for x in spans])
+            rest = np.ones(len(k), bool)
+            rest[at] = False
+            own = np.repeat(bucket, np.diff(np.concatenate([at, [len(k)]])))[rest]
+            labels = _label(k[rest] & low, own)
+            for x in range(0, len(labels), 100_000):
+                y = slice(x, x + 100_000)
+                yield rows(own[y].astype(np.int32), key=labels[y], a=i[rest][y])
             for x in range(0, len(pairs), 100_000):
                 p = pairs[x : x + 100_000]
-                n = len(p)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(x, x + n) % buckets, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(p[:, 0]), pa.array(p[:, 1])], schema=schema)
+                yield rows(np.arange(x, x + len(p)) % buckets, a=p[:, 0], b=p[:, 1])
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -201,8 +229,8 @@ def _star_pairs(docs: DataFrame, keys: Keys, width: int, buckets: int) -> DataFr
                     continue
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 if digest in seen:
-                    continue  # the class's own row, or another that stands for it
-                seen[digest] = i
+                    continue  # another row of the task stands for this set
+                seen.add(digest)
                 found.append(make.of(s))
                 whose.append(np.full(len(found[-1]), i, np.int64))
                 size += len(found[-1])
@@ -215,18 +243,28 @@ def _star_pairs(docs: DataFrame, keys: Keys, width: int, buckets: int) -> DataFr
     def meet(t: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         known = t.filter(t.column("keys").is_valid())
-        a = t.filter(t.column("keys").is_null()).select(["a", "b"])
+        out = [t.filter(t.column("keys").is_null()).select(["key", "a", "b"])]
         if known.num_rows:
             raw = np.frombuffer(b"".join(known.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
             k = np.zeros((len(raw), 8), np.uint8)
             k[:, :6] = raw
-            ids = np.concatenate([np.frombuffer(unpack(x), np.int64) for x in known.column("ids").to_pylist()])
-            pairs = _starred(k.view(np.uint64).ravel(), ids)[2]
-            a = pa.concat_tables([a, pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})])
-        return a
-
-    parts = docs.mapInArrow(run, "bucket int, keys binary, ids binary, a bigint, b bigint")
-    return parts.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+            k = k.view(np.uint64).ravel()
+            parts = [unpack(x) for x in known.column("ids").to_pylist()]
+            sizes = [len(x) // 9 for x in parts]
+            ids = np.concatenate([np.frombuffer(x[: 8 * n], np.int64) for x, n in zip(parts, sizes, strict=True)])
+            more = np.concatenate([np.frombuffer(x[8 * n :], bool) for x, n in zip(parts, sizes, strict=True)])
+            order, at, pairs = _starred(k, ids)
+            k, ids, more = k[order], ids[order], more[order]
+            members = np.diff(np.concatenate([at, [len(k)]]))
+            wide = np.repeat((members + np.add.reduceat(more.astype(np.int64), at)) > 2, members) | more
+            labels = _label(k[wide], known.column("bucket")[0].as_py())
+            none = pa.nulls(len(pairs), pa.int64())
+            out.append(pa.table({"key": none, "a": pairs[:, 0], "b": pairs[:, 1]}))
+            out.append(pa.table({"key": labels, "a": ids[wide], "b": pa.nulls(len(labels), pa.int64())}))
+        return pa.concat_tables(out)
+
+    parts = docs.mapInArrow(run, "bucket int, keys binary, ids binary, key bigint, a bigint, b bigint")
+    return cut(parts.groupBy("bucket").applyInArrow(meet, "key bigint, a bigint, b bigint"), "met")
 
 
 def _flags(ids: DataFrame) -> np.ndarray:
@@ -257,8 +295,8 @@ def _of_flagged(docs: DataFrame, ids: DataFrame, make, schema: str, kinds: list[
     return rows.mapInArrow(run, schema)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys, width: int) -> tuple[DataFrame, DataFrame]:
-    """Links among ``pairs`` (a, b) and all of ``pairs`` as pairs of classes (a, b), both distinct."""
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys, width: int) -> DataFrame:
+    """Links among ``pairs`` (a, b), as distinct pairs of classes."""
     to_class = classes.select("id", "rep")
     pairs = pairs.join(to_class.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(to_class.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
     pairs = cut(pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
@@ -291,26 +329,28 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys,
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = close.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return cut(both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct(), "verified"), pairs
+    return cut(both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct(), "verified")
 
 
-def _cross_pairs(docs: DataFrame, active: DataFrame, classes: DataFrame, keys: Keys, width: int) -> DataFrame:
-    """(a, b): ids of different components that have a key in common and whose bit sketches are near.
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, root, m) of members (key, id: classes; m of them) of keys whose members are of different components."""
+    placed = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    across = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
+    return cut(placed.join(across, "key"), "apart")
 
-    ``active`` (id, root) are the classes that take part.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
 
-    def make(i: int, text: str | None) -> tuple[list, list]:
-        s = shingle_set(text, width)
-        k = np.unique(shared.value.of(s)).view(np.int64).tolist() if len(s) else []
-        return k, [i] * len(k)
+def _round_pairs(entries: DataFrame, k: int) -> DataFrame:
+    """(a, b): of each key one member, the first by a hash that changes with ``k``, and those of other components."""
+    entries = entries.where(F.col("m") >= LARGE)
+    first = entries.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(k))).alias("c"))
+    both = entries.join(first, "key").where(F.col("root") != F.col("c.root"))
+    return both.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+
 
-    entries = _of_flagged(docs, active, make, "key bigint, id bigint", [pa.int64(), pa.int64()]).join(active, "id").select("key", "id", "root")
-    entries = cut(entries, "entries")
-    across = entries.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
+def _cross_pairs(entries: DataFrame, classes: DataFrame, keys: Keys) -> DataFrame:
+    """(a, b): members of a key, of different components, whose bit sketches are near. ``entries`` (key, id, root)."""
     own = classes.where("id = rep").dropDuplicates(["id", "n", "k1", "k2"]).select("id", "n", "bits")
-    members = entries.join(across, "key").select("key", "id", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    members = entries.select("key", "id", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.join(own, "id").select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "id", "root", F.col("n").cast("int").alias("n"), "bits")
     ordered = members.repartition(F.col("key"), F.col("p"), F.col("q")).sortWithinPartitions("key", "p", "q", "part")
@@ -374,16 +414,23 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = profiles.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     classes = cut(profiles.where("id is not null").join(reps, ["n", "k1", "k2"]).select("id", "n", "k1", "k2", "rep", F.when(F.col("id") == F.col("rep"), F.col("bits")).alias("bits")), "classes")
 
-    links, tested = _verified(rows, _star_pairs(rows, keys, width, max(8, math.ceil(total / BUCKET))), classes, keys, width)
+    met = _met(rows, keys, width, max(8, math.ceil(total / BUCKET)))
+    links = _verified(rows, met.where("key is null").select("a", "b"), classes, keys, width)
     roots = components(links)
-    failed = tested.join(links, ["a", "b"], "left_anti")
-    rooted = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}r"))
-    failed = cut(failed.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b")), "failed")
-    live = failed.select(F.col("a").alias("root")).unionByName(failed.select(F.col("b").alias("root"))).distinct()
-    where = classes.where("id = rep").select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    active = cut(where.join(live, "root", "left_semi").select("id", "root"), "active")
-    if not active.isEmpty():
-        more, _ = _verified(rows, _cross_pairs(rows, active, classes, keys, width), classes, keys, width)
+    rep = classes.select("id", "rep").distinct()
+    members = met.where("key is not null").select("key", F.col("a").alias("id")).join(rep, "id").select("key", F.col("rep").alias("id")).distinct()
+    apart = _apart(members, roots)
+    for k in range(ROUNDS):
+        if apart.isEmpty():
+            break
+        more = _verified(rows, _round_pairs(apart, k), classes, keys, width)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = components(links)
+        apart = _apart(apart.select("key", "id"), roots)
+    if not apart.isEmpty():
+        more = _verified(rows, _cross_pairs(apart, classes, keys), classes, keys, width)
         roots = components(links.unionByName(more))
 
     of_class = classes.select("n", "k1", "k2", "rep").distinct().join(roots, F.col("rep") == F.col("id"), "left").select("n", "k1", "k2", F.coalesce("root", "rep").alias("root"))
