@@ -36,7 +36,7 @@ def market_daily_dive(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     df = listings.join(catalog, "id").withColumn("language", language(F.col("listing_title")))
     keys = ["date_pulled", "id", "name", "set_name", "rarity", "language", "is_graded", "pull_source"]
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_listings"), F.round(F.percentile("price_val", F.lit(0.05)), 6).alias("floor_price"), F.round(F.avg("price_val"), 6).alias("avg_price"), F.round(F.max("price_val"), 6).alias("max_price")
+        F.count(F.lit(1)).alias("n_listings"), F.round(F.percentile("price_val", F.lit(0.05)), 9).alias("floor_price"), F.round(F.avg("price_val"), 9).alias("avg_price"), F.max("price_val").alias("max_price")
     )
 
 

@@ -212,7 +212,7 @@ SQL: dict[str, str] = {
     "momentum_movers": _q("select * from movers", _MOMENTUM),
     "movers_sparkline": _q("select card_id, tag, date, price from movers left join (select * from prices where date > (select max(date) - 7 from prices)) using (card_id)", _MOMENTUM),
     "market_daily_dive": _q(
-        f"select date_pulled, id, name, set_name, rarity, {_LANGUAGE} as language, is_graded, pull_source, count(*) n_listings, round(quantile_cont(price_val, 0.05), 6) floor_price, round(avg(price_val), 6) avg_price, round(max(price_val), 6) max_price from listings join catalog using (id) group by all"
+        f"select date_pulled, id, name, set_name, rarity, {_LANGUAGE} as language, is_graded, pull_source, count(*) n_listings, round(quantile_cont(price_val, 0.05), 9) floor_price, round(avg(price_val), 9) avg_price, max(price_val) max_price from listings join catalog using (id) group by all"
     ),
     "listing_overview": _q("select date_pulled, rarity, is_graded, count(*) n from listings join catalog using (id) group by all"),
     "top20_active": _q(
@@ -232,7 +232,7 @@ SQL: dict[str, str] = {
     "selector_list": _q("select distinct set_name from catalog where rarity <> 'PROMO'"),
     "language_detect": _q(f"select {_LANGUAGE} as language, count(*) n from listings group by 1"),
     "display_name": _q("select id, name || ' - ' || set_name || ' - ' || rarity cardname, regexp_replace(name, '[ '']', '_', 'g') folder_name from catalog"),
-    "title_filter": _q("select item_id, id, round(price_val, 6) price_val, listing_title from fits", _FITS),
+    "title_filter": _q("select item_id, id, price_val, listing_title from fits", _FITS),
     "second_blacklist": _q("select id, count(*) n from listings where not regexp_matches(listing_title, 'D23|repack|pin|proxy|custom|oversized|coin|sleeve', 'i') group by id"),
     "not_promo": _q("select id, rarity from catalog where not regexp_matches(rarity, 'promo', 'i')"),
     "incremental_queue": _q(
