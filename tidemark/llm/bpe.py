@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-MAX_KEPT = 700_000
+MAX_KEPT = 300_000
 END = "</w>"
 #: Below this code point composed letters are all that exists: NFC changes nothing and all libraries agree on classes.
 PLAIN = "\u0250"
