@@ -95,7 +95,7 @@ def test_parity_join(spark, rows):
 
 def test_parity_join_of_chains_and_passages(spark, monkeypatch):
     """Chains of copies of copies, and a passage that all texts share, with tiny limits for every step."""
-    for name, value in (("GATHER", 400), ("BUCKET", 500), ("BLOCK", 4), ("FREQUENT", 6), ("ROUNDS", 1), ("LARGE", 3)):
+    for name, value in (("GATHER", 400), ("BUCKET", 500), ("BLOCK", 4), ("FREQUENT", 6), ("ROUNDS", 1), ("LARGE", 3), ("TURNS", 2)):
         monkeypatch.setattr(parity_join, name, value)
     rng, texts = random.Random(9), []
     passage = prose(100, 60).split()

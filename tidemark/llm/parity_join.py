@@ -50,6 +50,8 @@ LIGHT_TRIES, FULL_TRIES = 3, 40
 ROUNDS = 4
 #: Keys with fewer members need no such rounds: what they have is compared at once.
 LARGE = 16
+#: A round looks at every so many-th key: similar sets share many keys, and all keys are looked at in the end.
+TURNS = 8
 
 
 def band_of(n: int) -> int:
@@ -341,7 +343,7 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _round_pairs(entries: DataFrame, k: int) -> DataFrame:
     """(a, b): of each key one member, the first by a hash that changes with ``k``, and those of other components."""
-    entries = entries.where(F.col("m") >= LARGE)
+    entries = entries.where((F.col("m") >= LARGE) & (F.pmod(F.xxhash64("key"), F.lit(TURNS)) == k % TURNS))
     first = entries.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(k))).alias("c"))
     both = entries.join(first, "key").where(F.col("root") != F.col("c.root"))
     return both.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
