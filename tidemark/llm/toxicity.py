@@ -10,7 +10,7 @@ text itself; no score reads a column other than the text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,7 +121,7 @@ def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([x for r in rows for x in (r, pad)]), starts, sizes
 
 
-def _initial(rows: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> Model:
+def _initial(rows: Iterable[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> Model:
     have = np.ones((2, PAD + 1))
     for r, label in zip(rows, y, strict=True):
         have[int(label), np.unique(r)] += 1
@@ -142,9 +142,8 @@ def train(texts: list[np.ndarray], labels: list[int], epochs: int = 6, batch: in
     """A model of texts (word hashes) and labels; every fifth text calibrates thresholds and trains nothing."""
     rng, y = np.random.default_rng(seed), np.array(labels, np.float32)
     held = np.arange(len(y)) % 5 == 4
-    rows = [rows_of(h) for h in texts]
     fit = np.flatnonzero(~held)
-    model = _initial([rows[i] for i in fit], y[fit], rng)
+    model = _initial((rows_of(texts[i]) for i in fit), y[fit], rng)
     if not len(fit) or y[fit].min() == y[fit].max():
         model.bias, model.out[:] = (-9.0 if not len(fit) or not y[fit].max() else 9.0), 0
         return model
@@ -153,7 +152,7 @@ def train(texts: list[np.ndarray], labels: list[int], epochs: int = 6, batch: in
     for _ in range(epochs):
         order = rng.permutation(fit)
         for at in range(0, len(order), batch):
-            _step(model, [rows[i] for i in order[at : at + batch]], y[order[at : at + batch]], weight[order[at : at + batch]], square, rate)
+            _step(model, [rows_of(texts[i]) for i in order[at : at + batch]], y[order[at : at + batch]], weight[order[at : at + batch]], square, rate)
     _calibrate(model, [texts[i] for i in np.flatnonzero(held)], y[held])
     return model
 
