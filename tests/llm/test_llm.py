@@ -156,6 +156,37 @@ def test_language_model(spark, rows):
     assert language_model.score_texts(frame(spark, [])).count() == 0
 
 
+def brute_scores(tokens, held):
+    """Scores by the automaton of all words, and of all pairs and triples that occur twice."""
+    training = [ws for (_, ws), h in zip(tokens, held, strict=True) if not h]
+    counts = collections.Counter(w for ws in training for w in ws)
+    words = [*counts]
+    model, bit = language_model.Automaton(words, [counts[w] for w in words], sum(counts.values()), len(words)), language_model.SHIFT
+    flat = [[model.start, *[model.ids[w] for w in ws]] for ws in training]
+    pairs = collections.Counter(a << bit | b for ws in flat for a, b in itertools.pairwise(ws))
+    triples = collections.Counter((a << bit | b) << bit | c for ws in flat for a, b, c in zip(ws, ws[1:], ws[2:], strict=False))
+    pairs, triples = ({k: c for k, c in x.items() if c >= 2} for x in (pairs, triples))
+    model.add_pairs(pairs)
+    model.add_triples(triples, pairs)
+    unknown = math.log10(1 / model.denominator)
+    return [model.score([model.ids.get(w) for w in ws]) + unknown * sum(w not in model.ids for w in ws) for _, ws in tokens]
+
+
+@pytest.mark.parametrize("limits", [(1 << 20, 2_000_000), (300, 50)])
+def test_language_model_keeps_rare_pairs_in_much_text(spark, monkeypatch, limits):
+    """What occurs twice counts, however much other text there is, and however blocks and buckets are cut."""
+    monkeypatch.setattr(language_model, "BLOCK", limits[0])
+    monkeypatch.setattr(language_model, "BUCKET", limits[1])
+    much = limits[0] > 300
+    docs = [(k, f"rare{k // 4}a rare{k // 4}b rare{k // 4}c and rare{k // 4}d", "a") for k in range(80)]
+    docs += [(100 + k, prose(k, 100_000 if much else 100, 5), "a") for k in range(8)] + [(200, None, "a"), (201, "nowhere else", "a"), (None, "rare1a rare1b", "a")]
+    tokens = [(i, [w.encode() for w in (t or "").split()] + [b""]) for i, t, _ in docs]
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in tokens]
+    want = dict(zip([i for i, _ in tokens], brute_scores(tokens, held), strict=True))
+    got = {r.doc_id: r.score for r in language_model.score_texts(frame(spark, docs)).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_automaton_sums_to_one():
     model = language_model.Automaton([b"a", b"b", b"c", b""], [6, 4, 3, 2], 15, 4)
     bit = language_model.SHIFT

@@ -1,39 +1,46 @@
 """Scores of texts by a weighted backoff automaton.
 
-Words of the training documents are counted whole, then pairs of frequent words, then triples whose pairs are
-frequent. Frequent means at least 1 / ``STATES`` of all training tokens, so each order has at most ``STATES``
-n-grams at any size of input, and the automaton that is sent to executors is bounded. Counts of all other words stay
-in a table that grows with the corpus: what they add to a score comes from a join.
-
-States are the empty context, words, and pairs. An arc takes the next word and has its log-probability, discounted;
-a failure arc goes to the shorter context and has the weight of what is left, so that the probabilities of each
-state sum to one. One pass over a text from left to right carries the state and adds up logarithms.
+Words of the training documents are counted whole, and so are all pairs and triples; those that occur ``LEAST`` times
+or more are part of the model, at any size of input. States are the empty context, words, and pairs. An arc takes the
+next word and has its log-probability, discounted; a failure arc goes to the shorter context and has the weight of
+what is left, so that the probabilities of each state sum to one.
+
+No machine holds the automaton. Texts are cut into blocks of about ``BLOCK`` tokens, each written once as numbers of
+its own distinct words. A block asks for what it visits, by hash, from buckets that the hashes are dealt into:
+
+1. It sends its distinct words, pairs and triples with their counts in training, and gets the counts in all blocks.
+   Of the blocks that have an n-gram, one is told that it stands for it.
+2. It sends its contexts, with the sums of the n-grams that it stands for, and gets the weights of failure arcs.
+3. It walks its texts: each token takes an arc, or one or two failure arcs and then an arc.
+
+N-grams are told apart by 59 bits of hash. A block and a bucket have bounded sizes; how many there are grows with the input.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import word_list
+from .shingles import ODD, mix, word_hashes, word_list
 from .store import cut
 
-STATES = 1 << 18
+#: Occurrences in training from which on a pair or triple is part of the model.
+LEAST = 2
 DISCOUNT = 0.5
-#: n-grams a task gathers before it counts them.
-GATHER = 3_000_000
+#: Tokens in a block; keys in a bucket, about.
+BLOCK, BUCKET = 1 << 20, 2_000_000
+#: Bits of a key.
+KEY = 60
 SHIFT = 20
-UPPER, LOWER, SPACE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", r"[\x20\x09-\x0D]+"
-#: The end of a text as a token: no word is empty.
-END = b""
+#: The start and the end of a text as tokens: no word has white space or is empty.
+START, END = b"\n", b""
 
 
 def held_out(id_: Column, folds: int, fold: int) -> Column:
@@ -41,14 +48,11 @@ def held_out(id_: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(token, c): all words of all texts, A-Z lower-cased, and the end of each text as the empty token."""
-    words = F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), SPACE), "")
-    return docs.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-
-
 class Automaton:
-    """Arcs by state and word. State 0 is the empty context, 1 + word a word; pairs come after."""
+    """The same model whole and in one memory, for small tables: blocks must score as it does.
+
+    Arcs by state and word. State 0 is the empty context, 1 + word a word; pairs come after.
+    """
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, known: int):
         self.ids = {w: i for i, w in enumerate(words)}
@@ -114,39 +118,191 @@ class Automaton:
         return total
 
 
-def _counted(docs: DataFrame, ids, start: int, pairs, triples: bool) -> DataFrame:
-    """(key, c): pairs of frequent words, or triples of which both pairs are among ``pairs`` (sorted)."""
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Lowest bytes of all numbers, then the next ones, and so on: high bytes are alike and pack well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_planes(x).tobytes())
+
+
+def _unpacked(x: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Steps between sorted keys: four bytes of noise as they are, the others packed."""
+    planes = _planes(np.diff(keys, prepend=np.uint64(0)))
+    return planes[:4].tobytes() + zstandard.ZstdCompressor(level=1).compress(planes[4:].tobytes())
+
+
+def _unpacked_keys(x: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(x[: 4 * n] + zstandard.ZstdDecompressor().decompress(x[4 * n :]), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Texts (id, text, held) as blocks: ids, held and sizes of texts; hashes of distinct words, of which the first are
+    ``START`` and ``END``; all tokens as numbers of words, with a start and an end for each text."""
+    kind = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, keep = ids.value, pairs.value if triples else None
-        found: list[np.ndarray] = []
-        size = 0
+        block = TaskContext.get().partitionId() << 36
+        ids, held, sizes, flat, index = [], [], [], [], {START: 0, END: 1}
 
         def given() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "c"])
+            of_ids = pa.concat_arrays(ids)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(of_ids)], pa.int32()), of_ids)
+            out = np.concatenate(held)
+            trained = int((np.array(sizes, np.int64) * ~out).sum())
+            cols = [pa.array([block], pa.int64()), lists, pa.array([_packed(out)]), pa.array([_packed(np.array(sizes, np.int64))]), pa.array([word_hashes(list(index)).tobytes()]), pa.array([_packed(np.array(flat, np.uint32))]), pa.array([len(flat)], pa.int64()), pa.array([trained], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "held", "sizes", "words", "tokens", "n", "trained"])
 
         for b in batches:
-            for text in b.column(0):
-                get = known.get
-                w = np.array([start, *[get(x, -1) for x in word_list(text.as_py())], known[END]], np.int64)
-                ok = (w[1:] >= 0) & (w[:-1] >= 0)
-                two = (w[:-1] << SHIFT) | w[1:]
-                if triples:
-                    at = np.minimum(np.searchsorted(keep, two), len(keep) - 1)
-                    ok &= keep[at] == two
-                    three = ok[:-1] & ok[1:]
-                    found.append(((two[:-1] << SHIFT) | w[2:])[three])
-                else:
-                    found.append(two[ok])
-                size += len(found[-1])
-                if size >= GATHER:
+            at = 0
+            for k, text in enumerate(b.column(1)):
+                put, tokens = index.setdefault, word_list(text.as_py())
+                flat.append(0)
+                flat.extend([put(t, len(index)) for t in tokens])
+                flat.append(1)
+                sizes.append(len(tokens) + 1)
+                if len(flat) >= BLOCK or k == b.num_rows - 1:
+                    ids.append(b.column(0).slice(at, k + 1 - at))
+                    held.append(np.array(b.column(2).slice(at, k + 1 - at).to_pylist(), bool))
+                    at = k + 1
+                if len(flat) >= BLOCK:
                     yield given()
-                    found, size = [], 0
-        if size:
+                    block, ids, held, sizes, flat, index = block + 1, [], [], [], [], {START: 0, END: 1}
+        if flat:
             yield given()
 
-    return docs.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    return cut(rows.select("id", "text", "held").mapInArrow(run, f"block bigint, ids array<{kind.simpleString()}>, held binary, sizes binary, words binary, tokens binary, n bigint, trained bigint"), "blocks")
+
+
+class _Block:
+    """Distinct n-grams of a block, where they are, and their keys. Keys of words are odd, of pairs and triples even."""
+
+    def __init__(self, held: bytes, sizes: bytes, words: bytes, tokens: bytes):
+        h, flat = np.frombuffer(words, np.uint64), _unpacked(tokens, np.uint32).astype(np.int64)
+        self.held, self.sizes, self.n = _unpacked(held, bool), _unpacked(sizes, np.int64), len(h)
+        at = np.flatnonzero(flat)  # all but starts
+        self.token = flat[at]
+        pairs, self.pair = np.unique(flat[at - 1] * self.n + self.token, return_inverse=True)
+        self.first, self.second = pairs // self.n, pairs % self.n
+        self.third = np.flatnonzero(flat[at - 1])  # tokens with two before them
+        triples, where, self.triple = np.unique(self.pair[self.third - 1] * self.n + self.token[self.third], return_index=True, return_inverse=True)
+        self.before, self.after = triples // self.n, self.pair[self.third[where]]  # pairs in a triple
+        one, spare = np.uint64(1), np.uint64(64 - KEY)
+        two = mix(mix(h * ODD[0])[self.first] * ODD[1] + mix(h * ODD[2])[self.second])
+        three = mix(mix(two * ODD[3])[self.before] * ODD[4] + mix(h * ODD[5])[triples % self.n])
+        self.keys = [mix(h) >> spare | one, two >> spare & ~one, three >> spare & ~one]
+
+    def counts(self) -> list[np.ndarray]:
+        train = np.repeat(~self.held, self.sizes)
+        return [np.bincount(x[t], minlength=len(k)) for x, t, k in zip((self.token, self.pair, self.triple), (train, train, train[self.third]), self.keys, strict=True)]
+
+    def learn(self, answer: np.ndarray, total: int, known: int) -> None:
+        """Counts of all blocks (doubled, and one more where this block stands for the n-gram)."""
+        ends = np.cumsum([len(k) for k in self.keys])[:-1]
+        self.c1, self.c2, self.c3 = np.split(answer >> 1, ends)
+        _, self.own2, self.own3 = np.split((answer & 1).astype(bool), ends)
+        self.p1 = (self.c1 + 1) / (total + known + 1)
+        self.whole = self.c1.copy()
+        self.whole[0] = self.c1[1]  # as many starts as ends
+        self.known2, self.known3 = self.c2 >= LEAST, self.c3 >= LEAST
+        self.p2 = np.where(self.known2, (self.c2 - DISCOUNT) / np.maximum(self.whole[self.first], 1), 1.0)
+        self.p3 = np.where(self.known3, (self.c3 - DISCOUNT) / np.maximum(self.c2[self.before], 1), 1.0)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which words and pairs can have arcs: all others are followed by nothing that is known."""
+        return np.flatnonzero(self.whole >= LEAST), np.flatnonzero(self.known2)
+
+    def sums(self) -> list[np.ndarray]:
+        """Of each context, probabilities of the known n-grams that this block stands for, here and one word shorter."""
+        words, pairs = self.contexts()
+        x, y = self.own2 & self.known2, self.own3 & self.known3
+        one = [np.bincount(self.first[x], p[x], self.n)[words] for p in (self.p2, self.p1[self.second])]
+        two = [np.bincount(self.before[y], p[y], len(self.c2))[pairs] for p in (self.p3, self.p2[self.after])]
+        return [np.concatenate(z) for z in zip(one, two, strict=True)]
+
+    def scored(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, sum of single words, and score of each text."""
+        words, pairs = self.contexts()
+        fail1, fail2 = np.zeros(self.n), np.zeros(len(self.c2))
+        fail1[words], fail2[pairs] = np.split(weights, [len(words)])
+        single = np.log10(self.p1)
+        of_pair = np.where(self.known2, np.log10(self.p2), fail1[self.first] + single[self.second])
+        of_triple = np.where(self.known3, np.log10(self.p3), fail2[self.before] + of_pair[self.after])
+        step = of_pair[self.pair]
+        step[self.third] = of_triple[self.triple]
+        at = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        return tuple(np.add.reduceat(x, at) for x in ((self.c1 > 0)[self.token].astype(np.int64), single[self.token], step))
+
+
+def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> list[tuple]:
+    """Rows (block, bucket, m, keys, x, y) in the order of keys; m of them."""
+    order = np.argsort(keys)
+    keys, values = keys[order], [v[order] for v in values]
+    ends = np.searchsorted(((keys >> np.uint64(KEY - 32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
+    spans = [(k, slice(ends[k], ends[k + 1])) for k in range(buckets) if ends[k] < ends[k + 1]]
+    return [(block, k, int(s.stop - s.start), _packed_keys(keys[s]), *[_packed(v[s]) for v in values], *[None] * (2 - len(values))) for k, s in spans]
+
+
+ASKED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("m", pa.int64()), ("keys", pa.binary()), ("x", pa.binary()), ("y", pa.binary())])
+ASKED_SQL = "block bigint, bucket int, m bigint, keys binary, x binary, y binary"
+ANSWER = pa.schema([("block", pa.int64()), ("step", pa.int32()), ("bucket", pa.int32()), ("answer", pa.binary()), ("kinds", pa.int64())])
+ANSWER_SQL = "block bigint, step int, bucket int, answer binary, kinds bigint"
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _answered(asked: DataFrame, step: int) -> DataFrame:
+    """Step 0: counts. Step 1: logarithms of weights. ``kinds``: words of the bucket that training has, once a bucket."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        parts = [_unpacked_keys(x, m) for x, m in zip(t.column("keys").to_pylist(), t.column("m").to_pylist(), strict=True)]
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        times = np.diff(np.concatenate([at, [len(keys)]]))
+
+        def total(name: str, kind) -> np.ndarray:
+            return np.add.reduceat(np.concatenate([_unpacked(x, kind) for x in t.column(name).to_pylist()])[order], at)
+
+        kinds = 0
+        if step:
+            weight = np.log10(np.maximum(1 - total("x", np.float64), 1e-12) / np.maximum(1 - total("y", np.float64), 1e-12))
+            of = np.repeat(weight, times)
+        else:
+            c = total("x", np.int64)
+            kinds = int(((keys[at] & np.uint64(1) == 1) & (c > 0)).sum())
+            of = np.repeat(c * 2, times)
+            of[at] += 1
+        out = np.empty_like(of)
+        out[order] = of
+        blobs = [_packed(x) for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])]
+        n = len(blobs)
+        return pa.table([t.column("block").combine_chunks(), pa.array([step] * n, pa.int32()), t.column("bucket").combine_chunks(), pa.array(blobs, pa.binary()), pa.array([kinds] + [0] * (n - 1), pa.int64())], schema=ANSWER)
+
+    return cut(asked.groupBy("bucket").applyInArrow(run, ANSWER_SQL), "answers")
+
+
+def _block_of(t: pa.Table) -> _Block:
+    return _Block(*[t.column(c)[0].as_py() for c in ("held", "sizes", "words", "tokens")])
+
+
+def _received(answers: pa.Table, keys: np.ndarray, step: int, kind) -> np.ndarray:
+    """What was asked with ``_asked``, in the order of ``keys``."""
+    rows = sorted((b, a) for s, b, a in zip(*[answers.column(c).to_pylist() for c in ("step", "bucket", "answer")], strict=True) if s == step)
+    out = np.empty(len(keys), kind)
+    out[np.argsort(keys)] = np.concatenate([_unpacked(a, kind) for _, a in rows]) if rows else []
+    return out
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
@@ -157,55 +313,40 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens are unknown; an empty table gives an empty result. A word of any length is a word.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("held", held_out(F.col("id"), folds, fold))
-    training = rows.where("not held")
-    counts = cut(word_counts(training, "text"), "words")
-    total, known = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.where((F.col("c") * STATES >= total) | (F.col("token") == "")).orderBy(F.desc("c"), "token").collect()  # at most STATES + 1
-    words, freq = [r.token.encode() for r in head], [r.c for r in head]
-    if END not in words:
-        words, freq = [*words, END], [*freq, 0]
-    model, context = Automaton(words, freq, total, known), docs.sparkSession.sparkContext
-    ids = context.broadcast(model.ids)
-    texts = training.select("text")
-    common = lambda df: {r.key: r.c for r in df.where((F.col("c") * STATES >= total) & (F.col("c") > 1)).collect()}  # noqa: E731  at most STATES
-    pairs = common(_counted(texts, ids, model.start, None, False))
-    model.add_pairs(pairs)
-    if pairs:
-        model.add_triples(common(_counted(texts, ids, model.start, context.broadcast(np.array(sorted(pairs), np.int64)), True)), pairs)
-    shared = context.broadcast(model)
     kind = rows.schema["id"].dataType
+    blocks = _blocks(rows)
+    size, total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    buckets = max(8, math.ceil(size / BUCKET))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, at = shared.value, TaskContext.get().partitionId() << 36
-        get, unigram, end, hashed = m.ids.get, m.unigram, m.ids[END], xxhash.xxh64_intdigest
+    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score, base, n, rest, times = [], [], [], [], []
-            for text in b.column(1):
-                tokens = word_list(text.as_py())
-                own = [get(t) for t in tokens]
-                own.append(end)
-                tail = Counter([t for t, i in zip(tokens, own, strict=False) if i is None])
-                score.append(m.score(own))
-                base.append(sum([unigram[i] for i in own if i is not None]))
-                n.append(len(own))
-                rest.append(np.array([hashed(t, 42) for t in tail], np.uint64).view(np.int64))
-                times.append(list(tail.values()))
-            size = len(n)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(range(at, at + size), pa.int64()), pa.array(score, pa.float64()), pa.array(base, pa.float64()), pa.array(n, pa.int64()), pa.array(rest, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
-                names=["id", "held", "row", "score", "base", "n", "h", "tf"],
-            )
-            at += size
-
-    scored = cut(rows.select("id", "text", "held").mapInArrow(run, f"id {kind.simpleString()}, held boolean, row bigint, score double, base double, n bigint, h array<bigint>, tf array<int>"), "scored")
-    tails = scored.select("row", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("row", "x.h", "x.tf")
-    by_hash = counts.select(F.xxhash64("token").alias("h"), "c")
-    unigram = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.denominator)))
-    summed = tails.join(by_hash, "h", "left").groupBy("row").agg(F.sum(F.col("tf") * unigram).alias("more"), F.sum(F.when(F.col("c").isNull(), F.col("tf")).otherwise(0)).cast("long").alias("unknown"))
-    out = scored.select("id", "held", "row", "score", "base", "n").join(summed, "row", "left")
-    no_end = 0 if freq[words.index(END)] else 1  # the end token was never seen
-    zero = F.lit(0.0)
+            for k in range(b.num_rows):
+                t = pa.Table.from_batches([b.slice(k, 1)])
+                x = _block_of(t)
+                yield from _columns(_asked(t.column("block")[0].as_py(), np.concatenate(x.keys), [np.concatenate(x.counts()).astype(np.int64)], buckets), ASKED).to_batches()
+
+    counts = _answered(blocks.select("block", "held", "sizes", "words", "tokens").mapInArrow(ask_counts, ASKED_SQL), 0)
+    known = counts.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+
+    def learned(t: pa.Table, answers: pa.Table) -> tuple[_Block, np.ndarray]:
+        x = _block_of(t)
+        x.learn(_received(answers, np.concatenate(x.keys), 0, np.int64), total, known)
+        words, pairs = x.contexts()
+        return x, np.concatenate([x.keys[0][words], x.keys[1][pairs]])
+
+    def ask_weights(t: pa.Table, answers: pa.Table) -> pa.Table:
+        x, keys = learned(t, answers)
+        return _columns(_asked(t.column("block")[0].as_py(), keys, x.sums(), buckets), ASKED)
+
+    def walk(t: pa.Table, answers: pa.Table) -> pa.Table:
+        x, keys = learned(t, answers)
+        found, base, score = x.scored(_received(answers, keys, 1, np.float64))
+        return pa.table({"id": t.column("ids").combine_chunks().flatten(), "held": x.held, "n": x.sizes, "found": found, "base": base, "score": score})
+
+    by_block = lambda df: df.groupBy("block")
+    weights = _answered(by_block(blocks).cogroup(by_block(counts)).applyInArrow(ask_weights, ASKED_SQL), 1)
+    out = by_block(blocks).cogroup(by_block(counts.unionByName(weights))).applyInArrow(walk, f"id {kind.simpleString()}, held boolean, n bigint, found bigint, base double, score double")
     return out.select(
-        F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("n") - F.coalesce("unknown", F.lit(0)) - no_end).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", zero)).alias("base_score"), (F.col("score") + F.coalesce("more", zero)).alias("score"),
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("found").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )
