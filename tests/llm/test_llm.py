@@ -156,6 +156,19 @@ def test_language_model(spark, rows):
     assert language_model.score_texts(frame(spark, [])).count() == 0
 
 
+def test_keys_hold_the_guarantee_with_frequent_shingles():
+    """Also where few shingles are light, so that one set may stop at a stage that the other must emit."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        frequent = np.zeros(parity_join.CELLS, bool)
+        a = [rng.getrandbits(64) for _ in range(rng.randrange(4, 40))]
+        frequent[[x & (parity_join.CELLS - 1) for x in a if rng.random() < 0.7]] = True
+        b = rng.sample(a, -(-3 * len(a) // 4))
+        keys = parity_join.Keys(3, 4, frequent)
+        x, y = (keys.of(np.array(sorted(s), np.uint64)) for s in (a, b))
+        assert np.intersect1d(x, y).size
+
+
 def brute_scores(tokens, held):
     """Scores by the automaton of all words, and of all pairs and triples that occur twice."""
     training = [ws for (_, ws), h in zip(tokens, held, strict=True) if not h]

@@ -89,7 +89,7 @@ class Keys:
         out = []
         for stage in range(LIGHT_TRIES + FULL_TRIES):
             base, t = (light, stage) if stage < LIGHT_TRIES else (s, stage - LIGHT_TRIES)
-            if not len(base) or (t and base is light and len(light) <= need):
+            if not len(base):
                 continue
             u = np.sort(mix(base * ODD[1] + np.uint64(t))) if t else base
             word = ((u >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)  # rises with u
