@@ -1,6 +1,8 @@
 """Edge rows: gaps, nulls, flat series, ties, empty tables, repeated writes."""
 
 import datetime as dt
+import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,15 @@ def test_metrics_of_short_and_flat_series(spark):
     assert rows[0].samp_entropy is None and rows[0].hurst_exp is None and rows[0].lag1_corr is None
 
 
+def test_sample_entropy_takes_the_whole_series(spark):
+    x = [1.0 + k % 7 for k in range(100)] + [float((k * k * 31 + k * 17) % 23) for k in range(300)]
+    sd = statistics.stdev(x)
+    near = [sum(all(abs(x[i + k] - x[j + k]) < 0.2 * sd for k in range(m)) for i in range(len(x) - 2) for j in range(i + 1, len(x) - 2)) for m in (2, 3)]
+    want = pytest.approx(math.log(near[0] / near[1]))
+    assert ts.sample_entropy(series(spark, x)).first().samp_entropy == want
+    assert ts.ts_metrics(series(spark, x)).first().samp_entropy == want
+
+
 def test_label_codes_leave_null_out(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",)], "x string")
     assert {r.x: r.i for r in ts.label_codes(df, "x", "i").collect()} == {"a": 0, "b": 1, None: None}

@@ -106,13 +106,12 @@ def _long_enough(prices: DataFrame, n: int) -> DataFrame:
     return prices.withColumn("n", F.count(F.lit(1)).over(card())).where(F.col("n") >= n)
 
 
-def sample_entropy(prices: DataFrame, min_rows: int = 10, max_rows: int = 256) -> DataFrame:
-    """Sample entropy (m = 2, r = 0.2 sd) of each card's newest ``max_rows`` prices; null if undefined.
+def sample_entropy(prices: DataFrame, min_rows: int = 10) -> DataFrame:
+    """Sample entropy (m = 2, r = 0.2 sd) of each card's whole series; null if undefined.
 
     Pairs of templates are counted inside the card's own array, so no pair is ever a row.
     """
-    recent = _long_enough(newest(prices, 1, max_rows), min_rows)
-    whole = recent.groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("date", "price"))).alias("s"), F.stddev_samp("price").alias("sd")).select("card_id", "sd", F.col("s.price").alias("x"))
+    whole = _long_enough(prices, min_rows).groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("date", "price"))).alias("s"), F.stddev_samp("price").alias("sd")).select("card_id", "sd", F.col("s.price").alias("x"))
     r = 0.2 * F.col("sd")
     at = lambda i, k: F.element_at("x", i + k)
     near = lambda i, j, k: F.abs(at(i, k) - at(j, k)) < r
