@@ -69,6 +69,88 @@ def test_label_codes_leave_null_out(spark):
     assert {r.x: r.i for r in ts.label_codes(df, "x", "i").collect()} == {"a": 0, "b": 1, None: None}
 
 
+def test_exact_quantiles(spark):
+    """Against numpy: negative, zero, equal and missing values, null keys, one value, none."""
+    import numpy as np
+
+    from tidemark.functions.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(0, 3, 500).round(2), "b": np.zeros(7), None: np.exp(rng.normal(0, 9, 200)), "c": np.array([-5.0]), "d": np.concatenate([np.full(50, 2.0), [-1.0, 1e-300, 1e300]])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("none", None)]
+    probs = {"lo": 0.0, "q1": 0.25, "m": 0.5, "p9": 0.9, "hi": 1.0}
+    got = {r.k: r for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", probs).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert [got[k][n] for n in probs] == pytest.approx(list(np.quantile(x, list(probs.values()))), rel=1e-12)
+
+
+@pytest.mark.parametrize("sizes", [(5, 1, 3), (1, 1), (1,), (4, 4, 4)])
+def test_row_thirds_are_those_of_one_window(spark, sizes):
+    rows = [(f"c{k}", D(2024, 1, 1) + dt.timedelta(days=i), float((k * 7) % 3)) for k, n in enumerate(sizes) for i in range(n)]
+    got = {(r.card_id, r.date): r.volatility_tier for r in ts.row_thirds(spark.createDataFrame(rows, "card_id string, date date, v double"), "v").collect()}
+    n = len(rows)
+    want = [t for t in range(3) for _ in range(n // 3 + (t < n % 3))]
+    assert [got[c, d] for c, d, _ in sorted(rows, key=lambda r: (r[2], r[0], r[1]))] == [t + 1 for t in want]
+
+
+def test_split_windows_need_enough_days(spark):
+    df = series(spark, [float(k) for k in range(20)], "long").union(series(spark, [1.0] * 9, "short"))
+    got = [(r.split, r.inputs, r.targets) for r in ts.split_windows(df, 2, 1, min_days=10, hold=16, skip=5).orderBy("split", "start_date").collect()]
+    assert got == [("test", [17.0, 18.0], [19.0]), ("train", [0.0, 1.0], [2.0]), ("train", [1.0, 2.0], [3.0]), ("val", [12.0, 13.0], [14.0])]
+
+
+def test_unscaled_prices_are_the_prices(spark):
+    df = ts.minmax_by_card(series(spark, [4.0, 4.0], "flat").union(series(spark, [1.0, 5.0, None], "wide")))
+    rows = df.select("price", ts.unscaled(F.col("price_scaled"), F.col("card_min_price"), F.col("card_max_price")).alias("back")).collect()
+    assert all(r.price == r.back for r in rows)
+
+
+def test_loess_of_a_parabola_is_the_parabola(spark):
+    rows = [("g", float(x), 2.0 + 3 * x - 0.5 * x * x) for x in range(12)] + [("one", 3.0, 7.0), ("one", 4.0, None)]
+    got = {(r.g, r.x): r.smooth for r in ev.loess(spark.createDataFrame(rows, "g string, x double, y double"), "g", "x", "y").collect()}
+    assert got == pytest.approx({(g, x): y for g, x, y in rows if y is not None})
+
+
+def test_batch_forecast_takes_any_model_in_batches(spark):
+    def model(contexts, horizon):
+        assert len(contexts) <= 2
+        return [[[x.mean()] * horizon] for x in contexts]
+
+    df = series(spark, [1.0, 3.0, 9.0, 9.0], "a").union(series(spark, [2.0, 2.0, 5.0, 5.0], "b")).union(series(spark, [5.0], "short"))
+    got = sorted((r.card_id, r.run_date.day, r.target_date.day, r.pred_price) for r in fc.batch_forecast(df, model, horizon=2, batch=2, min_days=1).collect())
+    assert got == [("a", 2, 3, 2.0), ("a", 2, 4, 2.0), ("b", 2, 3, 2.0), ("b", 2, 4, 2.0)]
+
+
+def test_runs_with_repeated_rows(spark):
+    rows = [("a", "m", D(2024, 1, 9), 1, D(2024, 1, 2), 5.0), ("a", "m", D(2024, 1, 9), 1, D(2024, 1, 3), 6.0), ("a", "m", D(2024, 1, 9), 1, D(2024, 1, 3), 4.0)]
+    df = spark.createDataFrame(rows, "card_id string, model string, target_date date, run_id int, run_date date, pred_price double")
+    assert [(r.run_date.day, r.pred_price) for r in fc.by_run(df, True).collect()] == [(3, 4.0)]
+
+
+def test_tabular_matrix_of_gaps(spark):
+    rows = [("1", "x", "Character", "Epic", "Ruby, Steel", "3", "NA", None, "2", "2023-08-19", "1.5", None), ("2", None, "NA", None, None, "NA", "5", "1", None, None, None, "NA")]
+    names = "id name type_clean rarity ink cost strength willpower lore released_at price_foil price_nonfoil".split()
+    got = {r.id: r for r in fe.tabular_matrix(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), ["Character"], ["Epic"]).collect()}
+    assert (got["1"].ink_Ruby, got["1"].ink_Steel, got["1"].ink_Amber, got["1"].is_character, got["1"].character_id) == (1, 1, 0, 1, 0)
+    assert got["1"].log_price == pytest.approx(math.log(2.5)) and got["2"].log_price is None and got["2"].cost is None and got["2"].character_id is None
+    assert (got["2"].is_character, got["2"].type_clean_Character, got["2"].rarity_Epic, got["2"].ink_Ruby) == (0, 0, 0, 0)
+
+
+def test_landed_replies(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"total":1,"itemSummaries":[{"itemId":"1","title":"Elsa PSA 10","currentBidPrice":{"value":"US $1,234.50"}}]}\n{"total":0}\n{oops\n')
+    rows = li.api_items(tb.read_json(spark, str(tmp_path), li.RESPONSE), "EPID").collect()
+    assert [(r.item_id, r.price_val, r.is_graded, r.listing_type, r.posted_date) for r in rows] == [("1", 1234.5, True, "UNKNOWN", None)]
+
+
+def test_files_and_order(spark, tmp_path):
+    for name in ("b.front.avif", "a.avif", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert sorted(r.id for r in tb.files_by_id(spark, str(tmp_path), "avif").collect()) == ["a", "b"]
+    df = spark.createDataFrame([("z",), ("y",), ("x",), (None,)], "s string")
+    assert {r.s: r.p for r in df.select("s", fe.ordinal("s", ["y", "x"]).alias("p")).collect()} == {"y": 0, "x": 1, "z": 2, None: 2}
+
+
 def test_title_filter(spark):
     rows = [
         ("1", "elsa snow", "queen of ice", "Epic", "21", "Elsa Snow queen enchanted", "TEXT", 20.0, True),
@@ -122,7 +204,7 @@ def test_absent_source_is_empty(spark, tmp_path):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], tb.PRICE_SCHEMA)
-    for f in (ts.gapfill_daily, ts.minmax_by_card, ts.chaos_index, ts.ts_metrics, ts.price_cv, ts.rebased, lambda p: ts.sliding_windows(p, 3, 2)):
+    for f in (ts.gapfill_daily, ts.minmax_by_card, ts.chaos_index, ts.ts_metrics, ts.price_cv, ts.rebased, ts.sample_entropy, lambda p: ts.sliding_windows(p, 3, 2), lambda p: ts.split_windows(p, 3, 2), fc.batch_forecast):
         assert f(none).count() == 0
 
 

@@ -1 +1 @@
-
+"""Functions that several operators share."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.quantiles import exact_quantiles
+
 from .timeseries import newest
 
 
@@ -23,9 +25,9 @@ def residuals(forecasts: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def rollup(residuals_: DataFrame) -> DataFrame:
-    return residuals_.groupBy("model_type", "horizon", "target_date").agg(
-        F.avg("error_abs_pct").alias("mean_error_pct"), F.percentile("error_abs_pct", F.lit(0.5)).alias("median_error_pct"), F.count("card_id").alias("card_count")
-    )
+    keys = ["model_type", "horizon", "target_date"]
+    mean = residuals_.groupBy(*keys).agg(F.avg("error_abs_pct").alias("mean_error_pct"), F.count("card_id").alias("card_count"))
+    return mean.join(exact_quantiles(residuals_, keys, "error_abs_pct", {"median_error_pct": 0.5}), keys, "left")
 
 
 def pool(forecasts: DataFrame, prices: DataFrame, tiers: DataFrame) -> DataFrame:
@@ -80,8 +82,16 @@ def naive_baselines(prices: DataFrame, cutoff: DataFrame, days: int = 7, mean_of
 
 
 def fan(p: DataFrame) -> DataFrame:
-    q = F.percentile("ape", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    return p.groupBy("model", "day_offset").agg(q.alias("q")).select("model", "day_offset", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median_ape", "p75_ape", "p90_ape"))])
+    names = {"median_ape": 0.5, "p75_ape": 0.75, "p90_ape": 0.9}
+    q = exact_quantiles(p, ["model", "day_offset"], "ape", names)
+    return q.select("model", "day_offset", *[F.round(n, 6).alias(n) for n in names])
+
+
+def outliers(p: DataFrame, sigmas: float = 2.0) -> DataFrame:
+    """Mean error by card and model, and whether it is over the model's mean by so many standard deviations."""
+    each = p.groupBy("card_id", "model").agg(F.avg("ape").alias("mape"))
+    limit = each.groupBy("model").agg((F.avg("mape") + sigmas * F.coalesce(F.stddev_samp("mape"), F.lit(0.0))).alias("_limit"))
+    return each.join(F.broadcast(limit), "model").select("card_id", "model", "mape", F.coalesce(F.round("mape", 9) > F.round("_limit", 9), F.lit(False)).alias("is_outlier"))
 
 
 def error_trend(p: DataFrame, volatility: DataFrame) -> DataFrame:
@@ -91,11 +101,14 @@ def error_trend(p: DataFrame, volatility: DataFrame) -> DataFrame:
 
 
 def box_stats(p: DataFrame, *keys: str) -> DataFrame:
-    q = F.percentile("ape", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    df = p.groupBy(*keys).agg(q.alias("q"), F.min("ape").alias("lo"), F.max("ape").alias("hi"), F.count("ape").alias("n"))
-    one, three = F.col("q")[0], F.col("q")[2]
-    reach = 1.5 * (three - one)
-    return df.select(*keys, F.round(one, 6).alias("q1"), F.round(F.col("q")[1], 6).alias("median"), F.round(three, 6).alias("q3"), F.round(F.greatest("lo", one - reach), 6).alias("low"), F.round(F.least("hi", three + reach), 6).alias("high"), "n")
+    q = exact_quantiles(p, list(keys), "ape", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    ends = p.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min("ape").alias("lo"), F.max("ape").alias("hi"), F.count("ape").alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & q[k].eqNullSafe(ends[f"{k}_"])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    df = q.join(ends, same).withColumns({"low": F.greatest("lo", F.col("q1") - reach), "high": F.least("hi", F.col("q3") + reach)})
+    return df.select(*keys, *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "low", "high")], "n")
 
 
 def regression_eval(df: DataFrame, actual: str, pred: str) -> DataFrame:
@@ -103,25 +116,30 @@ def regression_eval(df: DataFrame, actual: str, pred: str) -> DataFrame:
 
 
 def loess(df: DataFrame, by: str, x: str, y: str, span: float = 0.75) -> DataFrame:
-    """Locally weighted linear fit at each distinct x of a group; groups are small tables of means."""
+    """Locally weighted quadratic fit at each distinct x of a group; groups are small tables of means.
+
+    The nearest ``span`` of the points have tricube weights by distance. Where three weights aren't positive, the
+    weighted mean stands in.
+    """
 
     def fit(pdf):
         import numpy as np
+        import pandas as pd
 
-        pdf = pdf.dropna().sort_values(x)
+        pdf = pdf.dropna()
         xs, ys = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        k = max(2, int(np.ceil(span * len(xs))))
+        k = max(1, int(np.floor(span * len(xs) + 1e-5)))
         out = []
         for x0 in np.unique(xs):
             d = np.abs(xs - x0)
-            h = max(np.sort(d)[min(k, len(d)) - 1], 1e-12)
+            h = max(np.sort(d)[k - 1], 1e-12)
             w = np.clip(1 - (d / h) ** 3, 0, 1) ** 3
-            mx, my = np.average(xs, weights=w), np.average(ys, weights=w)
-            var = np.average((xs - mx) ** 2, weights=w)
-            slope = np.average((xs - mx) * (ys - my), weights=w) / var if var > 0 else 0.0
-            out.append((pdf[by].iloc[0], float(x0), float(my + slope * (x0 - mx))))
-        import pandas as pd
-
+            s = [float((w * (xs - x0) ** i).sum()) for i in range(5)]
+            t = [float((w * (xs - x0) ** i * ys).sum()) for i in range(3)]
+            a, b, c = s[2] * s[4] - s[3] ** 2, s[1] * s[4] - s[2] * s[3], s[1] * s[3] - s[2] ** 2
+            det = s[0] * a - s[1] * b + s[2] * c
+            flat = abs(det) < 1e-9 * max(1.0, s[0]) ** 3
+            out.append((pdf[by].iloc[0], float(x0), t[0] / s[0] if flat else (t[0] * a - s[1] * (t[1] * s[4] - t[2] * s[3]) + s[2] * (t[1] * s[3] - t[2] * s[2])) / det))
         return pd.DataFrame(out, columns=[by, x, "smooth"])
 
     return df.groupBy(by).applyInPandas(fit, f"{by} {df.schema[by].dataType.simpleString()}, {x} double, smooth double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeseries import gapfill_daily, label_codes, minmax_by_card, minmax_global, zscore
+from .timeseries import gapfill_daily, label_codes, minmax_by_card, scaled, zscore
 
 #: Inks, and the day the game was launched.
 INKS = ("Amber", "Amethyst", "Emerald", "Ruby", "Sapphire", "Steel")
@@ -30,19 +30,46 @@ def multi_hot(df: DataFrame, column: str, words: tuple[str, ...] = INKS, prefix:
 
 
 def feature_table(prices: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Gap-filled prices with the catalog's columns, age, scaled numbers and codes. Cards that the catalog lacks go."""
+    """Gap-filled prices with the catalog's columns, age, scaled numbers and codes. Cards that the catalog lacks go.
+
+    Codes and extremes come from one row for each card: its columns, and the first and last day that it has a price.
+    """
     meta = catalog.where(~F.coalesce(F.lower("rarity").contains("promo"), F.lit(True))).select(F.col("id").alias("card_id"), "name", "set_name", "rarity", "released_at", "cost")
-    df = gapfill_daily(prices).join(meta, "card_id").dropna(subset=["price"])
-    age = F.datediff("date", "released_at")
-    df = df.withColumn("days_since_release", F.when(age < 0, 0).otherwise(age))
-    df = minmax_global(minmax_by_card(df), "cost", "days_since_release")
+    known = F.min(F.when(F.col("price").isNotNull(), F.col("date")))
+    spans = prices.groupBy("card_id").agg(known.alias("_first"), F.max("date").alias("_last")).where("_first is not null")
+    cards = meta.join(spans, "card_id")
+    floor = lambda days: F.when(days < 0, 0).otherwise(days)
+    age = lambda day: floor(F.datediff(day, "released_at"))
+    ends = cards.agg(F.min("cost").alias("cost_lo"), F.max("cost").alias("cost_hi"), F.min(age("_first")).alias("days_lo"), F.max(age("_last")).alias("days_hi"))
+    coded = cards.drop("_first", "_last")
     for c, out in (("name", "name_idx"), ("set_name", "set_idx"), ("rarity", "rarity_idx")):
-        df = label_codes(df, c, out)
-    return df
-
-
-def tabular_matrix(catalog: DataFrame, types: list[str]) -> DataFrame:
-    """Log target, dummies, multi-hot words and z-scores of one row for each card."""
-    price = F.coalesce("price_foil", "price_nonfoil", F.lit(0.0))
-    df = catalog.withColumns({"log_price": F.log1p(price), "cost": F.coalesce("cost", F.lit(0)).cast("double"), "age": F.datediff("released_at", F.lit(LAUNCH).cast("date")).cast("double")})
-    return zscore(one_hot(df, "rarity", types), "cost", "age")
+        coded = label_codes(coded, c, out)
+    df = gapfill_daily(prices).where("price is not null").join(coded, "card_id").withColumn("days_since_release", age("date"))
+    df = minmax_by_card(df).join(F.broadcast(ends))
+    df = df.withColumns({"cost_scaled": scaled(F.col("cost").cast("double"), F.col("cost_lo"), F.col("cost_hi")), "days_since_release_scaled": scaled(F.col("days_since_release").cast("double"), F.col("days_lo"), F.col("days_hi"))})
+    return df.drop("cost_lo", "cost_hi", "days_lo", "days_hi")
+
+
+def tabular_matrix(catalog: DataFrame, types: list[str], rarities: list[str], inks: tuple[str, ...] = INKS) -> DataFrame:
+    """One row of numbers for each card, for a model beside its image: id, character_id, is_character, multi-hot inks,
+    dummies of type and rarity, z-scores of cost, strength, willpower, lore and days since launch, and log_price.
+
+    "NA" is null. Strength, willpower and lore that a card lacks are 0; a card without price has no log_price.
+    """
+    text = lambda c: F.nullif(F.col(c).cast("string"), F.lit("NA")).alias(c)
+    number = lambda c: F.nullif(F.col(c).cast("string"), F.lit("NA")).try_cast("double")
+    df = catalog.select(
+        "id", text("name"), text("type_clean"), text("rarity"), text("ink"), number("cost").alias("cost"), *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in ("strength", "willpower", "lore")],
+        F.datediff(F.col("released_at").cast("date"), F.lit(LAUNCH).cast("date")).cast("double").alias("days_since_launch"), F.log1p(F.coalesce(number("price_foil"), number("price_nonfoil"))).alias("log_price"),
+    )
+    df = df.withColumn("is_character", F.coalesce(F.contains("type_clean", F.lit("Character")), F.lit(False)).cast("int"))
+    df = multi_hot(one_hot(one_hot(label_codes(df, "name", "character_id"), "type_clean", types), "rarity", rarities), "ink", inks)
+    numbers = ("cost", "strength", "willpower", "lore", "days_since_launch")
+    df = zscore(df, *numbers).drop("name", "type_clean", "rarity", "ink", *numbers)
+    return df.withColumnsRenamed({f"{c}_z": c for c in numbers})
+
+
+def ordinal(column: str, first: list[str]) -> Column:
+    """Places of a stated order; values that it doesn't name come after all that it does."""
+    place = F.array_position(F.array(*[F.lit(v) for v in first]), F.col(column))
+    return F.when(place > 0, place - 1).otherwise(len(first)).cast("int")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 #: Patterns that tell a title's language, in order; all other titles are English.
 LANGUAGES = (("Japanese", r"japanese|jpn|\bjp\b"), ("Chinese", r"chinese|\bchn\b|\bcn\b"), ("French", r"french|\bfr\b"), ("German", r"german|\bger\b"), ("Italian", r"italian|\bita\b"))
-#: Words that rule a title out (unanchored: "case" also hits "showcase"), and words for rare cards.
+#: Words that rule a title out (unanchored: "case" also hits "showcase").
 BLACKLIST = r"case|box|proxy|replica|repro|custom|fan art|digital|wafer"
 SECOND_BLACKLIST = r"(?i)D23|repack|pin|proxy|custom|oversized|coin|sleeve"
+#: Words that a title has beside a rare card's name, and companies and words that tell a graded one.
 RARITY_WORDS = ("enchanted", "promo", "alt art", "aa", "variant")
+GRADED = "psa|cgc|bgs|sgc|grade|graded|slab"
 PRICE_FLOOR = 20.0
 
 
@@ -107,3 +109,37 @@ def rule_grader(title: Column) -> Column:
 def unioned(frames: list[DataFrame]) -> DataFrame:
     """All rows, by name, with null for columns that one side lacks."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+#: Replies of a marketplace's search, as they are landed: one JSON object for each.
+RESPONSE = (
+    "total int, itemSummaries array<struct<itemId: string, title: string, itemWebUrl: string, price: struct<value: string>, currentBidPrice: struct<value: string>, "
+    "buyingOptions: array<string>, itemCreationDate: string>>"
+)
+
+
+def api_items(responses: DataFrame, source: str) -> DataFrame:
+    """A listing for each item of landed replies; replies without items give none."""
+    i = responses.select(F.explode("itemSummaries").alias("i")).select("i.*")
+    price = F.coalesce("price.value", "currentBidPrice.value")
+    return i.select(
+        F.col("itemId").alias("item_id"), F.col("title").alias("listing_title"), F.regexp_replace(price, "[^0-9.]", "").try_cast("double").alias("price_val"), F.col("itemWebUrl").alias("item_url"),
+        F.lower("title").rlike(GRADED).alias("is_graded"), F.lit(source).alias("pull_source"), F.coalesce(F.array_join("buyingOptions", ", "), F.lit("UNKNOWN")).alias("listing_type"), F.substring("itemCreationDate", 1, 10).alias("posted_date"),
+    )
+
+
+def cheapest(cards: DataFrame, listings: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` cheapest listings of each card: a table function of the card, joined laterally."""
+    return cards.sparkSession.sql(
+        f"select c.id, c.name, l.item_id, l.price_val from {{cards}} c, lateral (select item_id, price_val from {{listings}} x where x.id = c.id order by price_val, item_id limit {int(k)}) l",
+        cards=cards, listings=listings,
+    )
+
+
+def verified(listings: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Listings whose enrichment calls them a match, with its grading in place of the title's. One row for each item."""
+    keep = ["grade_val", "grading_company", "is_graded"]
+    good = enriched.where("is_valid").groupBy("item_id").agg(F.min(F.struct(*keep)).alias("e")).select("item_id", "e.*")
+    rest = [c for c in listings.columns if c not in (*keep, "item_id")]
+    one = listings.groupBy("item_id").agg(F.min(F.struct(*rest)).alias("r")).select("item_id", "r.*")
+    return one.join(good, "item_id")

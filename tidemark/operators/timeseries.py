@@ -52,6 +52,11 @@ def scaled(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(x.isNull(), None).when(hi == lo, 0.5).otherwise((x - lo) / F.nullif(hi - lo, F.lit(0)))
 
 
+def unscaled(x: Column, lo: Column, hi: Column) -> Column:
+    """The price behind a scaled one; of a span without width, that price."""
+    return x * (hi - lo) + lo
+
+
 def minmax_by_card(prices: DataFrame) -> DataFrame:
     df = prices.withColumns({"card_min_price": F.min("price").over(card()), "card_max_price": F.max("price").over(card())})
     return df.withColumn("price_scaled", scaled(F.col("price"), F.col("card_min_price"), F.col("card_max_price")))
@@ -97,6 +102,25 @@ def sliding_windows(prices: DataFrame, look: int, ahead: int) -> DataFrame:
     return df.select("card_id", F.col("date").alias("start_date"), F.slice("w", 1, look).alias("inputs"), F.slice("w", look + 1, ahead).alias("targets"))
 
 
+def split_windows(prices: DataFrame, look: int, ahead: int, min_days: int = 180, hold: int = 40, skip: int = 20) -> DataFrame:
+    """(card_id, split, start_date, inputs, targets, target_dates): the training set of a forecaster.
+
+    Cards with fewer than ``min_days`` rows give nothing. Of the others, ``train`` has all but the ``hold`` newest rows,
+    ``val`` the ``look + ahead`` rows before the ``skip`` newest, ``test`` the newest ``look + ahead`` rows; each gives
+    every window of inputs and targets it has room for.
+    """
+    n = look + ahead
+    df = prices.withColumns({"_n": F.count(F.lit(1)).over(card()), "_rn": F.row_number().over(new_first())}).where(F.col("_n") >= min_days)
+    split = F.array(
+        F.when(F.col("_rn") > hold, "train"), F.when((F.col("_rn") > skip) & (F.col("_rn") <= n + skip), "val"), F.when(F.col("_rn") <= n, "test")
+    )
+    df = df.withColumn("split", F.explode(F.array_compact(split)))
+    frame = W.partitionBy("card_id", "split").orderBy("date").rowsBetween(0, n - 1)
+    df = df.withColumn("w", F.collect_list(F.struct("price", "date")).over(frame)).where(F.size("w") == n)
+    part = lambda field, a, k: F.slice(F.col(f"w.{field}"), a, k)
+    return df.select("card_id", "split", F.col("date").alias("start_date"), part("price", 1, look).alias("inputs"), part("price", look + 1, ahead).alias("targets"), part("date", look + 1, ahead).alias("target_dates"))
+
+
 def context_window(prices: DataFrame, size: int = 256) -> DataFrame:
     last = newest(prices, 1, size).groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("date", "price"))).alias("w"))
     return last.select("card_id", F.size("w").alias("n"), F.col("w.price").alias("context"))
@@ -106,12 +130,11 @@ def _long_enough(prices: DataFrame, n: int) -> DataFrame:
     return prices.withColumn("n", F.count(F.lit(1)).over(card())).where(F.col("n") >= n)
 
 
-def sample_entropy(prices: DataFrame, min_rows: int = 10) -> DataFrame:
-    """Sample entropy (m = 2, r = 0.2 sd) of each card's whole series; null if undefined.
+def _entropy() -> Column:
+    """Sample entropy of the array ``x`` with standard deviation ``sd``; null if undefined.
 
     Pairs of templates are counted inside the card's own array, so no pair is ever a row.
     """
-    whole = _long_enough(prices, min_rows).groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("date", "price"))).alias("s"), F.stddev_samp("price").alias("sd")).select("card_id", "sd", F.col("s.price").alias("x"))
     r = 0.2 * F.col("sd")
     at = lambda i, k: F.element_at("x", i + k)
     near = lambda i, j, k: F.abs(at(i, k) - at(j, k)) < r
@@ -121,10 +144,17 @@ def sample_entropy(prices: DataFrame, min_rows: int = 10) -> DataFrame:
         close = F.filter(later, lambda j: near(i, j, 0) & near(i, j, 1))
         return F.struct(F.size(close).cast("long").alias("b"), F.size(F.filter(close, lambda j: near(i, j, 2))).cast("long").alias("a"))
 
-    counted = whole.withColumn("c", F.transform(F.sequence(F.lit(1), F.size("x") - 3), of))
-    total = lambda f: F.aggregate("c", F.lit(0).cast("long"), lambda acc, y: acc + y[f])
-    both = counted.select("card_id", "sd", total("a").alias("a"), total("b").alias("b"))
-    return both.select("card_id", F.when((F.col("sd") > 0) & (F.col("a") > 0), F.ln(F.col("b") / F.nullif(F.col("a"), F.lit(0)))).alias("samp_entropy"))
+    counted = F.transform(F.sequence(F.lit(1), F.size("x") - 3), of)
+    none = F.lit(0).cast("long")
+    both = F.aggregate(counted, F.struct(none.alias("b"), none.alias("a")), lambda acc, y: F.struct((acc["b"] + y["b"]).alias("b"), (acc["a"] + y["a"]).alias("a")))
+    value = F.element_at(F.transform(F.array(both), lambda y: F.when(y["a"] > 0, F.ln(y["b"] / F.nullif(y["a"], F.lit(0))))), 1)
+    return F.when(F.col("sd") > 0, value)
+
+
+def sample_entropy(prices: DataFrame, min_rows: int = 10) -> DataFrame:
+    """Sample entropy (m = 2, r = 0.2 sd) of each card's whole series."""
+    whole = _long_enough(prices, min_rows).groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("date", "price"))).alias("s"), F.stddev_samp("price").alias("sd"))
+    return whole.select("card_id", "sd", F.col("s.price").alias("x")).select("card_id", _entropy().alias("samp_entropy"))
 
 
 def hurst(prices: DataFrame, min_rows: int = 10) -> DataFrame:
@@ -143,13 +173,21 @@ def lag1_autocorrelation(prices: DataFrame, min_rows: int = 3) -> DataFrame:
 
 
 def ts_metrics(prices: DataFrame, min_rows: int = 10) -> DataFrame:
-    base = _long_enough(prices, min_rows).groupBy("card_id").agg(
+    """All statistics of a card's series from one exchange by card: windows, then one aggregate."""
+    before, sd = F.lag("price").over(old_first()), F.stddev_samp("price").over(card())
+    df = _long_enough(prices, min_rows).withColumns({"before": before, "sd": sd, "y": F.col("price") - F.avg("price").over(card())})
+    df = df.withColumn("c", F.sum("y").over(old_first().rowsBetween(W.unboundedPreceding, 0)))
+    after = F.when(F.col("before").isNotNull(), F.col("price"))
+    spread = F.max("c") - F.min("c")
+    each = df.groupBy("card_id").agg(
         F.count(F.lit(1)).alias("n_days"), F.max_by("price", "date").alias("current_price"), F.avg("price").alias("avg_price"),
         (F.stddev_samp("price") / F.nullif(F.avg("price"), F.lit(0.0))).alias("cv"), F.skewness("price").alias("skewness"),
+        F.first("sd").alias("sd"), F.sort_array(F.collect_list(F.struct("date", "price"))).alias("s"),
+        F.when((F.first("sd") > 0) & (spread > 0), F.ln(spread / F.nullif(F.first("sd"), F.lit(0.0))) / F.ln(F.first("n"))).alias("hurst_exp"),
+        (F.covar_pop(after, "before") / F.nullif(F.stddev_pop(after) * F.stddev_pop("before"), F.lit(0.0))).alias("lag1_corr"),
     )
-    for extra in (sample_entropy(prices, min_rows), hurst(prices, min_rows), lag1_autocorrelation(prices)):
-        base = base.join(extra, "card_id", "left")
-    return base
+    each = each.withColumn("x", F.col("s.price")).withColumn("samp_entropy", _entropy())
+    return each.select("card_id", "n_days", "current_price", "avg_price", "cv", "skewness", "samp_entropy", "hurst_exp", "lag1_corr")
 
 
 def chaos_index(prices: DataFrame, holdout: int = 30, tiers: bool = True) -> DataFrame:
@@ -170,6 +208,22 @@ def thirds(df: DataFrame, by: Column, *tie: str) -> DataFrame:
     return df.withColumn("volatility_tier", F.ntile(3).over(W.orderBy(by, *tie)))
 
 
+def row_thirds(rows: DataFrame, by: str) -> DataFrame:
+    """Thirds over the daily rows of all cards, in the order of ``by`` (one value for each card), card and date.
+
+    A window over all rows would sort them in one task. Rows before a card are counted on the table of cards, and
+    rows within it by card.
+    """
+    cards = rows.groupBy("card_id").agg(F.first(by).alias("_by"), F.count(F.lit(1)).alias("_n"))
+    order = W.orderBy("_by", "card_id")
+    cards = cards.withColumn("_before", F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    total = cards.agg(F.sum("_n").alias("_all"))
+    df = rows.join(cards.select("card_id", "_before"), "card_id").join(F.broadcast(total)).withColumn("_rn", F.col("_before") + F.row_number().over(old_first()) - 1)
+    size, more = F.floor(F.col("_all") / 3), F.col("_all") % 3  # the first ``more`` thirds have a row more
+    tier = F.when(F.col("_rn") < more * (size + 1), F.floor(F.col("_rn") / (size + 1))).otherwise(F.floor((F.col("_rn") - more) / F.nullif(size, F.lit(0))))
+    return df.withColumn("volatility_tier", (tier + 1).cast("int")).drop("_before", "_all", "_rn")
+
+
 def price_cv(prices: DataFrame, holdout: int = 30) -> DataFrame:
     df = prices.withColumns({"n": F.count(F.lit(1)).over(card()), "rn": F.row_number().over(new_first())}).where((F.col("n") > holdout) & (F.col("rn") > holdout))
     return df.groupBy("card_id").agg(F.avg("price").alias("avg_price"), F.stddev_samp("price").alias("sd_price"), (F.stddev_samp("price") / F.nullif(F.avg("price"), F.lit(0.0))).alias("price_cv"))

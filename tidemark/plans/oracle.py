@@ -69,7 +69,7 @@ pool as (
 _ENTROPY = """
 recent as (select card_id, date, price, count(*) over (partition by card_id) n, stddev_samp(price) over (partition by card_id) sd, row_number() over (partition by card_id order by date desc) rn from prices),
 tpl as (
-  select card_id, sd, row_number() over w i, price x1, lead(price, 1) over w x2, lead(price, 2) over w x3 from recent where n >= 10 and rn <= 256
+  select card_id, sd, row_number() over w i, price x1, lead(price, 1) over w x2, lead(price, 2) over w x3 from recent where n >= 10
   window w as (partition by card_id order by date)
 ),
 pairs as (
@@ -140,6 +140,10 @@ _TYPES = ", ".join(f"cast(rarity = '{t}' as integer) as \"rarity_{t}\"" for t in
 _FC = "card_id, run_id, run_date, target_date, model, pred_price, conf_low, conf_high"
 
 
+def _cents(c: str) -> str:
+    return f"array_to_string(list_transform({c}, lambda x: cast(cast(round(x * 100) as bigint) as varchar)), ',')"
+
+
 def _q(body: str, *extra: str) -> str:
     return "with " + ",".join([_VIEWS, *extra]) + body
 
@@ -171,17 +175,31 @@ SQL: dict[str, str] = {
         _FEATURES,
     ).replace("select card_id, date, price, name, set_name, rarity, released", "select card_id, date, price, meta.name, meta.set_name, meta.rarity, released"),
     "tabular_matrix": _q(
-        f"select id, rarity, cost, released_at, round(ln(1 + coalesce(foil, non, 0)), 6) log_price, age, {_TYPES}, round((cost - (avg(cost) over ())) / (stddev_samp(cost) over ()), 6) cost_z, "
-        "round((age - (avg(age) over ())) / (stddev_samp(age) over ()), 6) age_z from (select id, rarity, cast(cost as double) as cost, released_at, cast(released_at - date '2023-08-18' as double) age, case when cost % 3 > 0 then retail end foil, retail / 2 as non from catalog)"
+        "select id, character_id, cast(coalesce(contains(type_clean, 'Character'), false) as integer) is_character, "
+        + ", ".join(f"cast(contains(name, '{w}') as integer) ink_{w}" for w in ("red", "blue", "small", "bolt"))
+        + ", "
+        + ", ".join(f"coalesce(cast(type_clean = '{t}' as integer), 0) as \"type_clean_{t}\"" for t in ("Character", "Action", "Item - Character"))
+        + f", {_TYPES}, round(ln(1 + coalesce(foil, non)), 6) log_price, "
+        + ", ".join(f"round(({c} - avg({c}) over ()) / (stddev_samp({c}) over ()), 6) {c}" for c in ("cost", "strength", "willpower", "lore", "days_since_launch"))
+        + " from (select id, name, rarity, cast(dense_rank() over (order by name) - 1 as integer) character_id, case cost % 4 when 0 then 'Character' when 1 then 'Action' when 2 then 'Item - Character' end type_clean, "
+        "cast(cost as double) as cost, cast(cost % 5 as double) strength, cast(cost % 7 as double) willpower, cast(cost % 3 as double) lore, cast(released_at - date '2023-08-18' as double) days_since_launch, "
+        "case when cost % 3 > 0 then retail end foil, case when cost % 9 > 0 then retail / 2 end as non from catalog)"
     ),
     "sliding_windows": _q(
-        "select card_id, start_date, 14 n_inputs, w[14] last_input, w[15] first_target from (select card_id, date start_date, list(price) over (partition by card_id order by date rows between current row and 20 following) w from prices) where len(w) = 21"
+        f"select card_id, start_date, {_cents('w[1:14]')} inputs, {_cents('w[15:21]')} targets from (select card_id, date start_date, list(price) over (partition by card_id order by date rows between current row and 20 following) w from prices) where len(w) = 21"
+    ),
+    "split_windows": _q(
+        f"select card_id, split, start_date, {_cents('w[1:30]')} inputs, {_cents('w[31:45]')} targets, array_to_string(list_transform(t[31:45], lambda x: cast(x as varchar)), ',') target_dates from "
+        "(select card_id, split, date start_date, list(price) over z w, list(date) over z t from parts window z as (partition by card_id, split order by date rows between current row and 44 following)) where len(w) = 45",
+        "ranked as (select *, row_number() over (partition by card_id order by date desc) rn, count(*) over (partition by card_id) n from long_prices)",
+        "parts as (select *, 'train' split from ranked where n >= 180 and rn > 40 union all select *, 'val' from ranked where n >= 180 and rn between 21 and 65 union all select *, 'test' from ranked where n >= 180 and rn <= 45)",
     ),
+    "price_unscaled": _q("select card_id, date, round(price, 6) price from prices"),
     "split_train": _q("select card_id, date, price from (select *, row_number() over (partition by card_id order by date desc) rn from long_prices) where rn > 40"),
     "split_val": _q("select card_id, date, price from (select *, row_number() over (partition by card_id order by date desc) rn from long_prices) where rn between 21 and 65"),
     "split_test": _q("select card_id, date, price from (select *, row_number() over (partition by card_id order by date desc) rn from long_prices) where rn <= 45"),
     "context_window": _q(
-        "select card_id, cast(count(*) as integer) n, min_by(price, date) first_price, max_by(price, date) last_price from (select *, row_number() over (partition by card_id order by date desc) rn from long_prices) where rn <= 256 group by card_id"
+        f"select card_id, cast(len(w) as integer) n, {_cents('w')} context from (select card_id, list(price order by date) w from (select *, row_number() over (partition by card_id order by date desc) rn from long_prices) where rn <= 256 group by card_id)"
     ),
     "day_offsets": _q("select *, cast(row_number() over (partition by card_id order by date) - count(*) over (partition by card_id) as integer) as \"offset\" from prices"),
     "sample_entropy": _q("select * from entropy", _ENTROPY),
@@ -216,12 +234,11 @@ SQL: dict[str, str] = {
     ),
     "listing_overview": _q("select date_pulled, rarity, is_graded, count(*) n from listings join catalog using (id) group by all"),
     "top20_active": _q(
-        "select id, n, name, rarity from (select id, count(*) n from l where date_pulled = (select max(date_pulled) from l) group by id) join catalog using (id) order by n desc, id limit 20", "l as (select * from listings where date_pulled < date '2001-06-01')"
+        "select id, n, name, rarity from (select id, count(*) n from listings where date_pulled = (select max(date_pulled) from listings) group by id) join catalog using (id) order by n desc, id limit 20"
     ),
     "top10_active": _q(
-        "select id, n, name, set_name, price, cast(row_number() over (order by n desc, id) as integer) as rank from (select id, count(*) n from l where date_pulled = (select max(date_pulled) from l) group by id order by n desc, id limit 10) "
-        "left join catalog using (id) left join (select card_id id, max_by(price, date) price from sparse_prices group by card_id) using (id)",
-        "l as (select * from listings where date_pulled < date '2001-06-01')",
+        "select id, n, name, set_name, price, cast(row_number() over (order by n desc, id) as integer) as rank from (select id, count(*) n from listings where date_pulled = (select max(date_pulled) from listings) group by id order by n desc, id limit 10) "
+        "left join catalog using (id) left join (select card_id id, max_by(price, date) price from sparse_prices group by card_id) using (id)"
     ),
     "volume_by_day": _q("select date_pulled, is_graded, count(*) n from listings group by all"),
     "raw_float_value": _q(
@@ -242,6 +259,42 @@ SQL: dict[str, str] = {
         "select case when bad then 'ERROR' else 'OK' end status, case when not bad then true end is_valid, case when not bad then g end is_graded, case when not bad and g then 'PSA' end grading_company, case when not bad and g then '10' end grade_val, count(*) n "
         "from (select split_part(item_id, '-', 2) = '6' bad, listing_title like '%psa 10' g from listings) group by all"
     ),
+    "rarity_in_stated_order": _q("select rarity, count(*) n, cast(coalesce(list_position(['STANDARD', 'PROMO', 'SMALL'], rarity) - 1, 3) as integer) place from catalog group by rarity"),
+    "verified_listings": _q(
+        "select distinct item_id, id, price_val, date_pulled, g is_graded, case when g then 'PSA' end grading_company, case when g then '10' end grade_val from (select *, listing_title like '%psa 10' g from listings) where split_part(item_id, '-', 2) <> '6'"
+    ),
+    "cheapest_listings": _q(
+        "select id, name, item_id, price_val from (select id, item_id, price_val, row_number() over (partition by id order by price_val, item_id) rn from listings) join catalog using (id) where rn <= 3"
+    ),
+    "api_listings": _q(
+        "select item_id, listing_title, price_val, regexp_matches(lower(listing_title), 'psa|cgc|bgs|sgc|grade|graded|slab') is_graded, case n % 3 when 1 then 'FIXED_PRICE' when 2 then 'AUCTION, BEST_OFFER' else 'UNKNOWN' end listing_type, cast(date_pulled as varchar) posted_date "
+        "from (select *, cast(split_part(item_id, '-', 2) as integer) n from listings)"
+    ),
+    "files_by_id": "select cast(n_nationkey as varchar) id, 'set' || (n_nationkey % 3) || '/' || n_nationkey || '.front.avif' file from nation where n_nationkey % 5 <> 0",
+    "column_probe": _q("select card_id, cast(null as date) date, price from prices"),
+    "lenient_casts": "select p_partkey, case when p_partkey % 3 = 1 then cast(p_size as double) end as cost, case when p_partkey % 3 = 1 then p_size else 0 end cost_code from part",
+    "create_if_absent": _q("select true is_valid, count(distinct item_id) n from listings where split_part(item_id, '-', 2) <> '6'"),
+    "csv_inferred": _q("select * from prices"),
+    "batch_forecast": _q(
+        "select card_id, target[1] - 1 run_date, target[h] target_date, round(quantile_cont(last + step * 0.1 * k * h, 0.5), 4) pred_price, round(quantile_cont(last + step * 0.1 * k * h, 0.1), 4) conf_low, round(quantile_cont(last + step * 0.1 * k * h, 0.9), 4) conf_high, 'Drift' model "
+        "from b, range(1, 31) r(h), range(8, 13) s(k) group by card_id, target, h",
+        "whole as (select card_id, list(price order by date) p, list(date order by date) t from long_prices group by card_id having count(*) >= 180)",
+        "seen as (select card_id, p[greatest(len(p) - 30 - 255, 1):len(p) - 30] c, t[len(t) - 29:] target from whole)",
+        "b as (select card_id, target, c[len(c)] as last, (c[len(c)] - c[1]) / greatest(1, len(c) - 1) step from seen)",
+    ),
+    "error_loess": _q(
+        "select model, x0 day_offset, round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)), 5) smooth from moments",
+        _POOL,
+        "means as (select model, cast(day_offset as double) x, avg(ape) y from pool group by all)",
+        "near as (select a.model, a.x x0, b.x - a.x d, b.y, row_number() over (partition by a.model, a.x order by abs(b.x - a.x)) r, count(*) over (partition by a.model, a.x) n from means a join means b using (model))",
+        "reach as (select model, x0, max(abs(d)) h from near where r <= floor(0.75 * n + 1e-5) group by all)",
+        "weighed as (select *, greatest(0, 1 - (abs(d) / h) ** 3) ** 3 w from near join reach using (model, x0))",
+        "moments as (select model, x0, sum(w) s0, sum(w * d) s1, sum(w * d ** 2) s2, sum(w * d ** 3) s3, sum(w * d ** 4) s4, sum(w * y) t0, sum(w * d * y) t1, sum(w * d ** 2 * y) t2 from weighed group by all)",
+    ),
+    "outlier_flags": _q(
+        "select card_id, model, round(mape, 6) mape, coalesce(round(mape, 9) > round(a + 2 * coalesce(s, 0), 9), false) is_outlier from e join (select model, avg(mape) a, stddev_samp(mape) s from e group by model) using (model)",
+        _POOL, "e as (select card_id, model, avg(ape) mape from pool group by all)",
+    ),
     "union_schema_drift": _q("select id, count(*) filter (where is_graded) titles, count(*) filter (where not is_graded) sources from listings group by id"),
     "flatten_history": _q("select cast(l_suppkey as varchar) card_id, l_returnflag variant_id, cast(epoch(l_shipdate) as bigint) as timestamp, cast(l_shipdate as date) date, round(l_extendedprice, 2) price from lineitem"),
     "history_metadata": _q("select distinct cast(l_suppkey as varchar) card_id, l_returnflag variant_id from lineitem"),
@@ -320,7 +373,7 @@ SQL: dict[str, str] = {
         "join latest using (card_id) join (select card_id, model, pred_price from forecasts where run_id = 2 and target_date = run_date + 7) using (card_id, model)",
         _POOL, _LATEST,
     ),
-    "regression_eval": _q("select count(*) n, round(sum(round(o_totalprice, 2)), 1) actual, round(sum(round(o_totalprice - 1.5, 2)), 1) predicted from orders where o_totalprice > 1000"),
+    "regression_eval": "select round(o_totalprice, 2) actual, round(o_totalprice - 1.5, 2) predicted, round((o_totalprice - 1.5) - o_totalprice, 2) difference from orders",
     "hash_split": _q("select id, case when b < 70 then 'train' when b < 85 then 'val' else 'test' end split from (select id, (tcgplayer_id * 2654435761) % 100 b from catalog)"),
     "set_rarity_trend": _q(
         "select set_name, rarity, year, 'mean_price' measure, a as value from t union all select set_name, rarity, year, 'median_price', b from t",
@@ -328,11 +381,12 @@ SQL: dict[str, str] = {
     ),
     "rarity_by_median": _q("select rarity, m median_retail, cast(row_number() over (order by m, rarity) as integer) place from (select rarity, quantile_cont(retail, 0.5) m from catalog group by rarity)"),
     "quote_latest": _q("select id, item_id, pull_source from listings qualify row_number() over (partition by id order by pull_source desc, date_pulled, item_id) = 1"),
-    "match_rate_by_day": _q("select cast(date_trunc('month', date_pulled) as date) as month, round(count(ok) / count(*), 6) match_rate from listings left join (select distinct item_id, 1 ok from fits) using (item_id) group by 1", _FITS),
+    "match_rate_by_day": _q("select date_pulled, round(count(ok) / count(*), 6) match_rate from listings left join (select distinct item_id, 1 ok from fits) using (item_id) group by 1", _FITS),
     "model_divergence": _q(
         "select card_id, run_id, target_date, round(abs(max(pred_price) filter (where model = 'Last') - max(pred_price) filter (where model = 'MA7')), 4) divergence from forecasts group by all"
     ),
     "blue_chip_index": _q(
-        "select cast(date_trunc('year', date) as date) as year, round(avg(i), 6) index_value from (select date, price / first_value(price) over (partition by card_id order by date) i from long_prices where card_id in (select card_id from (select card_id, round(avg(price), 4) m from long_prices group by 1 order by m desc, card_id limit 50))) group by 1"
+        "select cast(date_trunc('year', date) as date) as year, round(sum(i * m) / sum(m), 6) index_value from (select date, m, price / first_value(price) over (partition by card_id order by date) i from long_prices join dear using (card_id)) group by 1",
+        "dear as (select card_id, round(avg(price), 4) m from long_prices group by 1 order by m desc, card_id limit 50)",
     ),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -36,10 +36,14 @@ def rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a table that a query writes: in the shared folder the session names, else under /tmp."""
+    """A new folder for a table that a query writes, in the shared folder the session names; on one machine, under /tmp."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
@@ -114,15 +118,35 @@ def feature_table(s, d):
 
 @query
 def tabular_matrix(s, d):
-    cat = tb.catalog(s, d).select("id", "rarity", "cost", "released_at", F.when(F.col("cost") % 3 > 0, F.col("retail")).alias("price_foil"), (F.col("retail") / 2).alias("price_nonfoil"))
-    return rounded(fe.tabular_matrix(cat, TYPES), "log_price", "cost_z", "age_z").drop("price_foil", "price_nonfoil")
+    c = F.col("cost")
+    kind = F.when(c % 4 == 0, "Character").when(c % 4 == 1, "Action").when(c % 4 == 2, "Item - Character").otherwise("NA")
+    numbers = {n: F.when(c % m > 0, (c % m).cast("string")).otherwise("NA") for n, m in (("strength", 5), ("willpower", 7), ("lore", 3))}
+    cat = tb.catalog(s, d).withColumns({"type_clean": kind, "ink": F.col("name"), **numbers, "price_foil": F.when(c % 3 > 0, F.col("retail")), "price_nonfoil": F.when(c % 9 > 0, F.col("retail") / 2)})
+    out = fe.tabular_matrix(cat, ["Character", "Action", "Item - Character"], TYPES, ("red", "blue", "small", "bolt"))
+    return rounded(out, "log_price", "cost", "strength", "willpower", "lore", "days_since_launch")
+
+
+def _cents(c: str) -> Column:
+    """Prices as whole cents in one string, so that whole windows can be compared."""
+    return F.array_join(F.transform(c, lambda x: F.round(x * 100).cast("long").cast("string")), ",").alias(c)
 
 
 @query
 def sliding_windows(s, d):
-    return ts.sliding_windows(tb.prices(s, d), 14, 7).select("card_id", "start_date", F.array_join("inputs", ",").alias("inputs"), F.array_join("targets", ",").alias("targets")).select(
-        "card_id", "start_date", F.size(F.split("inputs", ",")).alias("n_inputs"), F.element_at(F.split("inputs", ","), -1).cast("double").alias("last_input"), F.element_at(F.split("targets", ","), 1).cast("double").alias("first_target")
-    )
+    return ts.sliding_windows(tb.prices(s, d), 14, 7).select("card_id", "start_date", _cents("inputs"), _cents("targets"))
+
+
+@query
+def split_windows(s, d):
+    out = ts.split_windows(tb.long_prices(s, d), 30, 15)
+    return out.select("card_id", "split", "start_date", _cents("inputs"), _cents("targets"), F.array_join(F.transform("target_dates", lambda x: x.cast("string")), ",").alias("target_dates"))
+
+
+@query
+def price_unscaled(s, d):
+    """Scaled prices back in money."""
+    df = ts.minmax_by_card(tb.prices(s, d))
+    return df.select("card_id", "date", F.round(ts.unscaled(F.col("price_scaled"), F.col("card_min_price"), F.col("card_max_price")), 6).alias("price"))
 
 
 @query
@@ -142,7 +166,7 @@ def split_test(s, d):
 
 @query
 def context_window(s, d):
-    return ts.context_window(tb.long_prices(s, d), 256).select("card_id", "n", F.col("context")[0].alias("first_price"), F.element_at("context", -1).alias("last_price"))
+    return ts.context_window(tb.long_prices(s, d), 256).select("card_id", "n", _cents("context"))
 
 
 @query
@@ -189,7 +213,7 @@ def tiers_by_card(s, d):
 def tiers_by_row(s, d):
     """Thirds over daily rows, not over cards: another result."""
     v = ts.chaos_index(tb.prices(s, d), 7, tiers=False).select("card_id", F.round("chaos_cv", 9).alias("v"))
-    return ts.thirds(tb.prices(s, d).join(v, "card_id"), F.col("v"), "card_id", "date").select("card_id", "date", "volatility_tier")
+    return ts.row_thirds(tb.prices(s, d).join(v, "card_id"), "v").select("card_id", "date", "volatility_tier")
 
 
 @query
@@ -239,12 +263,12 @@ def listing_overview(s, d):
 
 @query
 def top20_active(s, d):
-    return li.top_active(tb.listings(s, d).where(F.col("date_pulled") < "2001-06-01"), tb.catalog(s, d))
+    return li.top_active(tb.listings(s, d), tb.catalog(s, d))
 
 
 @query
 def top10_active(s, d):
-    return mk.top_listed(tb.listings(s, d).where(F.col("date_pulled") < "2001-06-01"), tb.catalog(s, d), tb.sparse_prices(s, d))
+    return mk.top_listed(tb.listings(s, d), tb.catalog(s, d), tb.sparse_prices(s, d))
 
 
 @query
@@ -314,8 +338,7 @@ def incremental_queue(s, d):
 @query
 def parse_enrichment(s, d):
     """Replies of the rule grader, some of them cut off."""
-    df = tb.listings(s, d).select("item_id", li.rule_grader(F.col("listing_title")).alias("json"), F.split("item_id", "-")[1].cast("int").alias("n"))
-    return li.parse_enrichment(df.withColumn("json", F.when(F.col("n") == 6, F.lit("{oops")).otherwise(F.col("json")))).groupBy("status", "is_valid", "is_graded", "grading_company", "grade_val").agg(F.count(F.lit(1)).alias("n"))
+    return _enriched(s, d).groupBy("status", "is_valid", "is_graded", "grading_company", "grade_val").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -325,6 +348,28 @@ def union_schema_drift(s, d):
     return li.unioned([old, new]).groupBy("id").agg(F.count("listing_title").alias("titles"), F.count("pull_source").alias("sources"))
 
 
+@query
+def rarity_in_stated_order(s, d):
+    first = ["STANDARD", "PROMO", "SMALL"]
+    df = tb.catalog(s, d).groupBy("rarity").agg(F.count(F.lit(1)).alias("n"))
+    return df.withColumn("place", fe.ordinal("rarity", first)).orderBy("place", "rarity")
+
+
+def _enriched(s, d) -> DataFrame:
+    df = tb.listings(s, d).select("item_id", li.rule_grader(F.col("listing_title")).alias("json"), F.split("item_id", "-")[1].cast("int").alias("n"))
+    return li.parse_enrichment(df.withColumn("json", F.when(F.col("n") == 6, F.lit("{oops")).otherwise(F.col("json"))))
+
+
+@query
+def verified_listings(s, d):
+    return li.verified(tb.listings(s, d), _enriched(s, d)).select("item_id", "id", "price_val", "date_pulled", "is_graded", "grading_company", "grade_val")
+
+
+@query
+def cheapest_listings(s, d):
+    return li.cheapest(tb.catalog(s, d).select("id", "name"), tb.listings(s, d))
+
+
 # ---- nested sources, files
 
 
@@ -377,6 +422,67 @@ def csv_round_trip(s, d):
     return tb.read_csv(s, path, tb.PRICE_SCHEMA)
 
 
+@query
+def csv_inferred(s, d):
+    path = scratch(s, "csv")
+    tb.prices(s, d).write.option("header", True).csv(path)
+    return tb.read_csv(s, path).select(F.col("card_id").cast("string").alias("card_id"), "date", "price")
+
+
+@query
+def api_listings(s, d):
+    """Replies of a search, one for each card, landed as JSON text and read back."""
+    l = tb.listings(s, d).withColumn("n", F.split("item_id", "-")[1].cast("int"))
+    price = F.struct(F.concat(F.lit("USD "), F.col("price_val").cast("string")).alias("value"))
+    options = F.when(F.col("n") % 3 == 1, F.array(F.lit("FIXED_PRICE"))).when(F.col("n") % 3 == 2, F.array(F.lit("AUCTION"), F.lit("BEST_OFFER")))
+    item = F.struct(
+        F.col("item_id").alias("itemId"), F.col("listing_title").alias("title"), F.when(F.col("n") % 2 == 0, price).alias("price"), F.when(F.col("n") % 2 == 1, price).alias("currentBidPrice"),
+        options.alias("buyingOptions"), F.concat(F.col("date_pulled").cast("string"), F.lit("T12:00:00.000Z")).alias("itemCreationDate"),
+    )
+    replies = l.groupBy("id").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list(item).alias("itemSummaries"))).alias("value"))
+    path = scratch(s, "replies")
+    replies.select("value").unionByName(s.createDataFrame([('{"total":0}',)], "value string")).write.text(path)
+    return li.api_items(tb.read_json(s, path, li.RESPONSE), "TEXT").select("item_id", "listing_title", "price_val", "is_graded", "listing_type", "posted_date")
+
+
+@query
+def files_by_id(s, d):
+    """Paths of landed images by id: only files with the suffix count."""
+    path = scratch(s, "images")
+    names = tb.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), (F.col("n_nationkey") % 5 == 0).alias("other")).collect()  # 25 rows
+    hadoop = s._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(s._jsc.hadoopConfiguration())
+    for r in names:
+        out = fs.create(hadoop(f"{path}/set{int(r.id) % 3}/{r.id}.front.{'txt' if r.other else 'avif'}"))
+        out.writeBytes(r.id)
+        out.close()
+    return tb.files_by_id(s, path, "avif").select("id", F.regexp_extract("path", r"[^/]+/[^/]+$", 0).alias("file"))
+
+
+@query
+def column_probe(s, d):
+    """A frame that lacks a column and has another's type wrong, brought to a schema."""
+    return tb.with_columns(tb.prices(s, d).select("card_id", F.col("price").cast("string").alias("price"), F.lit(1).alias("more")), tb.PRICE_SCHEMA)
+
+
+@query
+def lenient_casts(s, d):
+    raw = F.when(F.col("p_partkey") % 3 == 0, "NA").when(F.col("p_partkey") % 3 == 1, F.col("p_size").cast("string")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" gold")))
+    return tb.table(s, d, "part").withColumn("cost", raw).select("p_partkey", fe.lenient("cost").alias("cost"), F.coalesce(fe.lenient("cost", "int"), F.lit(0)).alias("cost_code"))
+
+
+@query
+def create_if_absent(s, d):
+    """A table is created, filled, and created again: what it has stays."""
+    path = scratch(s, "created")
+    name = f"tidemark_{path.rsplit('-', 1)[1]}"
+    sinks.create_if_absent(s, name, "item_id string, is_valid boolean", path)
+    _enriched(s, d).where("is_valid").groupBy("item_id").agg(F.max("is_valid").alias("is_valid")).write.mode("append").parquet(path)
+    s.catalog.refreshTable(name)
+    sinks.create_if_absent(s, name, "item_id string, is_valid boolean", path)
+    return s.table(name).groupBy("is_valid").agg(F.count("item_id").alias("n"))
+
+
 @query
 def missing_source(s, d):
     return tb.read_or_empty(s, scratch(s, "absent"), tb.PRICE_SCHEMA)
@@ -446,6 +552,11 @@ def forecast_quantiles(s, d):
     return fc.quantiles(base.select("card_id", "run_date", F.array(*[path(k) for k in range(-5, 6)]).alias("paths")))
 
 
+@query
+def batch_forecast(s, d):
+    return rounded(fc.batch_forecast(tb.long_prices(s, d), horizon=30), "pred_price", "conf_low", "conf_high", to=4)
+
+
 @query
 def gru_ensemble(s, d):
     f = tb.forecasts(s, d)
@@ -557,7 +668,12 @@ def error_boxstats(s, d):
 
 @query
 def error_loess(s, d):
-    return ev.loess(_pool(s, d).groupBy("model", "day_offset").agg(F.avg("ape").alias("mape")), "model", "day_offset", "mape")
+    return rounded(ev.loess(_pool(s, d).groupBy("model", "day_offset").agg(F.avg("ape").alias("mape")), "model", "day_offset", "mape"), "smooth", to=5)
+
+
+@query
+def outlier_flags(s, d):
+    return rounded(ev.outliers(_pool(s, d)), "mape")
 
 
 @query
@@ -568,9 +684,7 @@ def ml_diag_table(s, d):
 
 @query
 def regression_eval(s, d):
-    return ev.regression_eval(tb.table(s, d, "orders").select("o_totalprice", (F.col("o_totalprice") - 1.5).alias("pred")).where("o_totalprice > 1000"), "o_totalprice", "pred").groupBy().agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("actual"), 1).alias("actual"), F.round(F.sum("predicted"), 1).alias("predicted")
-    )
+    return ev.regression_eval(tb.table(s, d, "orders").select("o_totalprice", (F.col("o_totalprice") - 1.5).alias("pred")), "o_totalprice", "pred")
 
 
 @query
@@ -608,7 +722,7 @@ def quote_latest(s, d):
 def match_rate_by_day(s, d):
     ok = li.title_filter(_titled(s, d)).select("item_id").distinct().withColumn("ok", F.lit(1))
     df = tb.listings(s, d).join(ok, "item_id", "left")
-    return df.groupBy(F.trunc("date_pulled", "month").alias("month")).agg(F.round(F.count("ok") / F.count(F.lit(1)), 6).alias("match_rate"))
+    return df.groupBy("date_pulled").agg(F.round(F.count("ok") / F.count(F.lit(1)), 6).alias("match_rate"))
 
 
 @query
@@ -619,7 +733,8 @@ def model_divergence(s, d):
 
 @query
 def blue_chip_index(s, d):
-    """Mean rebased price of the fifty dearest cards, by year."""
+    """Rebased prices of the fifty dearest cards, each weighted by its mean price, by year."""
     p = tb.long_prices(s, d)
     dear = p.groupBy("card_id").agg(F.round(F.avg("price"), 4).alias("m")).orderBy(F.desc("m"), "card_id").limit(50)
-    return ts.rebased(p.join(dear.select("card_id"), "card_id", "left_semi")).groupBy(F.trunc("date", "year").alias("year")).agg(F.round(F.avg("index"), 6).alias("index_value"))
+    df = ts.rebased(p.join(F.broadcast(dear), "card_id"))
+    return df.groupBy(F.trunc("date", "year").alias("year")).agg(F.round(F.sum(F.col("index") * F.col("m")) / F.sum("m"), 6).alias("index_value"))

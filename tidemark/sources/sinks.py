@@ -41,3 +41,8 @@ def insert_if_absent(spark: SparkSession, df: DataFrame, path: str, keys: list[s
 
 def retained(df: DataFrame, day: str, as_of: str, days: int = 90) -> DataFrame:
     return df.where(F.col(day) >= F.date_sub(F.lit(as_of).cast("date"), days))
+
+
+def create_if_absent(spark: SparkSession, table: str, columns: str, path: str) -> None:
+    """A table over a folder, unless there is one of that name; what it has stays. Keys are for ``insert_if_absent``."""
+    spark.sql(f"create table if not exists {table} ({columns}) using parquet location '{path}'")

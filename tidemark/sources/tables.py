@@ -20,6 +20,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Landed JSON text, one object a line; a line that can't be read is a row of nulls."""
+    return spark.read.schema(schema).json(path)
+
+
+def files_by_id(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(id, path) of all files under a folder with a suffix; the id is the name up to its first point. Contents aren't
+    read; empty files don't count."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(path)
+    return files.select(F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("id"), "path")
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet folder, or an empty frame of ``schema`` where there is none."""
     jvm = spark._jvm
