@@ -8,8 +8,6 @@ of a sliding window, which a monotone queue holds. Sequences whose length is a p
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -19,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Kept, _encoder, chunks, is_sentence_end, shared_file
+from .bpe import _lanes, is_sentence_end, shared_file
 
 #: Costs in tokens of padding: a cut inside a document at a sentence's end, elsewhere, and each sequence.
 AT_SENTENCE, ELSEWHERE, SEQUENCE = 4.0, 64.0, 16.0
@@ -104,7 +102,7 @@ class Packer:
         begins = [0, *cuts]
         for a, b, d, q in zip(bounds[:-1], bounds[1:], of_doc, of_seq, strict=True):
             key, _, before, whole = self.open[d]
-            out.append((key, before + a - int(starts[d]), b - a, zlib.crc32(data[4 * a : 4 * b]), whole, self.sequence + q, a - begins[q]))
+            out.append((key, before + a - int(starts[d]), b - a, bytes(data[4 * a : 4 * b]), whole, self.sequence + q, a - begins[q]))
         self.sequence += len(cuts)
         left = []
         if upto < len(ids):
@@ -127,7 +125,7 @@ class Packer:
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row for each piece: id, start, length, ids (little-endian, four bytes each), doc_tokens, sequence_id, offset.
 
     Null and empty texts are a document of the end id alone. Rows that repeat an id are packed one by one. A text
     of any length is cut into as many pieces as it needs. Sequence ids hold the task's number in their upper bits.
@@ -136,29 +134,30 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     data = shared_file(docs, vocabulary)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
-    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    kinds = [pa.binary() if n == "ids" else pa.int64() for n in names[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(data.value)
-        ends = np.zeros(max(enc.v.text) + 1, dtype=bool)
-        ends[[i for i, t in enc.v.text.items() if is_sentence_end(t)]] = True
-        kept = Kept.of(enc, "bytes", lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
-        known, miss, last = kept.chunks, kept.chunk, np.array([end_id], dtype="<u4").tobytes()
+        lanes = _lanes(data.value)
+        text = lanes.enc.v.text
+        ends = np.zeros(max(text) + 1, dtype=bool)
+        ends[[i for i, t in text.items() if is_sentence_end(t)]] = True
         packer = Packer(ends, length, TaskContext.get().partitionId() << 36)
         key_type = None
 
         def table(pieces: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*pieces, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), *[pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True)]], names=names)
 
         for b in batches:
-            key_type = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = b"".join([known.get(c) or miss(c) for c in chunks(text.as_py() or "")]) + last
-                if pieces := packer.add(key, np.frombuffer(raw, dtype="<u4")):
-                    yield table(pieces)
+            key_type, keys = b.column(0).type, b.column(0).to_pylist()
+            for x, y, at, ids in lanes.ids(b.column(1), end_id):
+                ids, at = ids.astype("<u4"), at.tolist()
+                for k in range(x, y):
+                    if pieces := packer.add(keys[k], ids[at[k - x] : at[k - x + 1]]):
+                        yield table(pieces)
         if pieces := packer.end():
             yield table(pieces)
 
-    out = rows.mapInArrow(run, "id {}, {}".format(kind.simpleString(), ", ".join(f"{n} bigint" for n in names[1:])))
+    out = rows.mapInArrow(run, "id {}, {}".format(kind.simpleString(), ", ".join(f"{n} {'binary' if n == 'ids' else 'bigint'}" for n in names[1:])))
     return out.withColumnRenamed("id", id_col)
