@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,16 +19,19 @@ def components(links: DataFrame) -> DataFrame:
     moved: DataFrame | None = None
     while not open_.isEmpty():
         both = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "step")
-        far = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        step = cut(step.join(far, "to").select("id", F.col("next").alias("to")), "step")
+        near = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "step")
+        far = near.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        step = cut(near.join(far, "to").select("id", F.col("next").alias("to")), "step")
         at = lambda c: step.select(F.col("id").alias(c), F.col("to").alias(f"{c}2"))  # noqa: E731, B023
-        open_ = cut(open_.join(at("a"), "a").join(at("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "links")
+        left = cut(open_.join(at("a"), "a").join(at("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "links")
         if moved is None:
-            moved = step.select("id", F.col("to").alias("root"))
+            moved = cut(step.select("id", F.col("to").alias("root")), "roots")
         else:
-            moved = moved.join(step.select(F.col("id").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-        moved = cut(moved, "roots")
+            old, moved = moved, cut(moved.join(step.select(F.col("id").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
+            discard(old)
+        discard(open_, near, step)
+        open_ = left
+    discard(open_)
     if moved is None:
         return links.select(F.col("a").alias("id"), F.col("a").alias("root")).limit(0)
     return moved

@@ -4,21 +4,24 @@ A sketch of a set is made by XOR: each element flips bits in one of ``k`` words,
 words (and no more bits, where an element flips one) than the sets' symmetric difference has elements. Sets with an
 index of at least ``t`` differ in at most d = (1 - t) / (1 + t) * (|A| + |B|) elements.
 
-1. Profiles: each text's number of shingles, a 128-bit digest, and a bit sketch. Texts with equal sets form a class
-   that its smallest id stands for. Counters of shingles in 2^20 cells tell frequent shingles.
-2. Bands of sizes, each 4/3 wide; a set belongs to its own band and the next, so any two that can be similar meet.
+1. Profiles: each text's number of shingles, a 128-bit digest, and a bit sketch. Texts with equal sets are a class,
+   named by 64 bits of the digest; from here on classes are compared, never ids or copies. Counters of shingles in
+   2^20 cells tell frequent shingles.
+2. Bands of sizes, each 1 / t wide; a set belongs to its own band and the next, so any two that can be similar meet.
    Words of sketches with more than d words, of which at least one is equal and not empty, are the join keys. First
    only shingles that aren't frequent count, which cannot raise the difference; a set with too few of these for the
    argument to hold adds keys of all its shingles, dealt out anew until it holds. So a passage that many documents
    share is no key of documents that have much else.
-3. Of sets with an equal key, all are compared with the smallest id alone: first within a task before anything is
+3. Of classes with an equal key, all are compared with the smallest name alone: first within a task before anything is
    shuffled, then of all tasks. Bit sketches with too large a Hamming distance drop out; the others are verified on
    the sets themselves, and links make components.
-4. Where such a comparison failed, sets of different components may still be similar. So members of keys that three
-   or more sets have are written out where they are met. Where the members of a key are of different components, a few
-   rounds compare them, if they are many, with one member each time, chosen by a hash, as long as this finds links. What is still apart
-   then is compared in blocks of bounded size, in memory, by bit sketches, and what passes is verified as before. No
-   pair within a component is looked at again.
+4. Where such a comparison failed, classes of different components may still be similar. Two that have a key in common
+   were both compared with that key's smallest, so failed comparisons connect them: what they connect is a group, and
+   every pair that isn't decided is within one. A group's members are compared in blocks of bounded size, in memory, by
+   bit sketches, each pair once. First a block gives a spanning forest of what is near, so no more pairs than
+   members; these are verified, and links make larger components. Then all near pairs that are still across
+   components are verified.
+5. A group of more than ``GROUP`` members is compared by key instead: only members that have a key in common meet.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import ODD, mix, shingle_set
-from .store import cut
+from .store import cut, discard
 
 CELLS = 1 << 20
 CHUNK = 1 << 16
@@ -46,24 +49,8 @@ GATHER, BUCKET, BLOCK = 700_000, 1_000_000, 4096
 #: Bits of a set of ids that is sent to all executors: 1 MB. False hits cost time only.
 FILTER = 1 << 23
 LIGHT_TRIES, FULL_TRIES = 3, 40
-#: Rounds of comparing with one member before all that are still apart are compared: speed, not results.
-ROUNDS = 4
-#: Keys with fewer members need no such rounds: what they have is compared at once.
-LARGE = 16
-#: A round looks at every so many-th key: similar sets share many keys, and all keys are looked at in the end.
-TURNS = 8
-
-
-def band_of(n: int) -> int:
-    return int(math.floor(math.log(n) / math.log(4 / 3) + 1e-9))
-
-
-def band_top(band: int) -> int:
-    """The largest size in a band."""
-    n = int((4 / 3) ** (band + 1)) + 2
-    while band_of(n) > band:
-        n -= 1
-    return n
+#: Members of a group from which on they are compared by key: speed, not results.
+GROUP = 100_000
 
 
 class Keys:
@@ -71,19 +58,30 @@ class Keys:
 
     def __init__(self, num: int, den: int, frequent: np.ndarray):
         self.num, self.den, self.frequent = num, den, frequent
+        self.step = math.log(max(den / num, 1.05))
         self.tops: dict[int, int] = {}
 
+    def band_of(self, n: int) -> int:
+        return int(math.floor(math.log(n) / self.step + 1e-9))
+
+    def band_top(self, band: int) -> int:
+        """The largest size in a band; of a band without sizes, that of the band before."""
+        n = int(math.exp(self.step * (band + 1))) + 2
+        while self.band_of(n) > band:
+            n -= 1
+        return n
+
     def differ(self, total: int) -> int:
         """The most elements that the symmetric difference of similar sets with ``total`` elements has."""
         return (self.den - self.num) * total // (self.den + self.num)
 
     def of(self, s: np.ndarray) -> np.ndarray:
         light = s[~self.frequent[(s & np.uint64(CELLS - 1)).astype(np.int64)]]
-        own = band_of(len(s))
+        own = self.band_of(len(s))
         return np.concatenate([self._in_band(s, light, own), self._in_band(s, light, own + 1)])
 
     def _in_band(self, s: np.ndarray, light: np.ndarray, band: int) -> np.ndarray:
-        top = self.tops.setdefault(band, band_top(band))
+        top = self.tops[band] if band in self.tops else self.tops.setdefault(band, self.band_top(band))
         need = self.differ(len(s) + min(top, len(s) * self.den // self.num))
         words = int(1.12 * self.differ(2 * top)) + 2
         out = []
@@ -100,6 +98,11 @@ class Keys:
         return np.concatenate([*out, mix(s ^ mix(np.uint64([band * 64 + 63])))])  # each element is a key
 
 
+def _name(digest: bytes) -> int:
+    """The name of a class: the first 64 bits of the digest of its set."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def sketch_of(s: np.ndarray) -> bytes:
     """Parity bits, about three for each element; a power of two from 512 to 65,536."""
     bits = min(1 << 16, max(512, 1 << (3 * len(s)).bit_length()))
@@ -120,7 +123,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
     """(id, n, k1, k2, bits) of every text, and of each task (-1, chunk, counters) with ``n`` null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen, fresh, size = np.zeros(CELLS, np.uint32), set(), [], 0
+        cells, seen, fresh, size = np.zeros(CELLS, np.uint32), set(), [], 0  # a class has its sketch once in a task
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary())])
         for b in batches:
             n, k1, k2, bits = [], [], [], []
@@ -128,9 +131,9 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                 s = shingle_set(text.as_py(), width)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
-                k1.append(int.from_bytes(digest[:8], "little", signed=True))
+                k1.append(_name(digest))
                 k2.append(int.from_bytes(digest[8:], "little", signed=True))
-                bits.append(sketch_of(s) if len(s) else None)
+                bits.append(sketch_of(s) if len(s) and digest not in seen else None)
                 if digest not in seen:
                     seen.add(digest)
                     fresh.append((s & np.uint64(CELLS - 1)).astype(np.int64))
@@ -167,15 +170,17 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
     return cells >= max(FREQUENT, TIMES * total / CELLS)
 
 
-def _starred(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key and id, where each key begins in that order, and all (smallest, other) pairs, each once."""
+def _starred(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key and id; in that order where each key begins, how many members it has, and each member's smallest."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    least = np.repeat(ids[at], np.diff(np.concatenate([at, [len(keys)]])))
-    other = ids != least
-    pairs = np.unique(np.stack([least[other], ids[other]], axis=1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return order, at, pairs
+    times = np.diff(np.concatenate([at, [len(keys)]]))
+    return order, at, times, np.repeat(ids[at], times)
+
+
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([c.astype(np.int64) for c in columns], axis=1), axis=0)
 
 
 def _label(low: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
@@ -183,16 +188,20 @@ def _label(low: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
     return (low ^ (np.asarray(bucket).astype(np.uint64) << np.uint64(48))).view(np.int64)
 
 
-def _met(docs: DataFrame, keys: Keys, width: int, buckets: int) -> DataFrame:
-    """Rows (key, a, b). Without a key: the smallest id that has some key, and another id that has it. With a key:
-    a member ``a`` of a key that several have; all members of keys of three or more are there."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def _met(docs: DataFrame, keys: Keys, width: int, buckets: int, members: bool = False) -> DataFrame:
+    """Rows (key, a, b, w) of classes. Without a key: the smallest that has some key, and another that has it; ``w`` is 1
+    if there is a third. With ``members``, also with a key: a member ``a`` of a key; all members of keys of three or
+    more are there.
+
+    Of a key that three or more have in a task only the first is sent to the key's bucket. The others, and pairs, are
+    dealt out evenly: they pass through the exchange, but need not meet."""
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), *[(c, pa.int64()) for c in "kabw"]])
     low = np.uint64((1 << 48) - 1)
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
-    def rows(bucket, keys_=None, ids=None, key=None, a=None, b=None) -> pa.RecordBatch:
+    def rows(bucket, keys_=None, ids=None, key=None, a=None, b=None, w=None) -> pa.RecordBatch:
         n = len(bucket)
-        cols = [pa.array(bucket, pa.int32()), keys_, ids, key, a, b]
+        cols = [pa.array(bucket, pa.int32()), keys_, ids, key, a, b, w]
         return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,26 +212,28 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             k, i = np.concatenate(found), np.concatenate(whose)
-            order, at, pairs = _starred(k, i)
+            order, at, times, least = _starred(k, i)
             k, i = k[order], i[order]
-            several = np.diff(np.concatenate([at, [len(k)]])) > 1
-            bucket = ((k[at] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            ends = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+            several = np.repeat(times, times) > 2
+            up = ~several
+            up[at] = True
+            bucket = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            ends = np.searchsorted(bucket[up], np.arange(buckets + 1).astype(np.uint64))
             used = [x for x in range(buckets) if ends[x] < ends[x + 1]]
             # Of a key the bucket gives the top; six bytes of the rest are enough, since pairs are verified.
-            first, names = k[at].view(np.uint8).reshape(-1, 8)[:, :6], i[at]
+            first, names, more = k[up].view(np.uint8).reshape(-1, 8)[:, :6], i[up], several[up]
             spans = [slice(ends[x], ends[x + 1]) for x in used]
-            yield rows(used, [first[x].tobytes() for x in spans], [pack(names[x].tobytes() + several[x].tobytes()) for x in spans])
-            rest = np.ones(len(k), bool)
-            rest[at] = False
-            own = np.repeat(bucket, np.diff(np.concatenate([at, [len(k)]])))[rest]
-            labels = _label(k[rest] & low, own)
+            yield rows(used, [first[x].tobytes() for x in spans], [pack(names[x].tobytes() + more[x].tobytes()) for x in spans])
+            rest = ~up & members
+            labels, others = _label(k[rest] & low, bucket[rest]), i[rest]
             for x in range(0, len(labels), 100_000):
                 y = slice(x, x + 100_000)
-                yield rows(own[y].astype(np.int32), key=labels[y], a=i[rest][y])
+                yield rows(np.arange(x, x + len(labels[y])) % buckets, key=labels[y], a=others[y])
+            star = several & (i != least)
+            pairs = _distinct(least[star], i[star])
             for x in range(0, len(pairs), 100_000):
                 p = pairs[x : x + 100_000]
-                yield rows(np.arange(x, x + len(p)) % buckets, a=p[:, 0], b=p[:, 1])
+                yield rows(np.arange(x, x + len(p)) % buckets, a=p[:, 0], b=p[:, 1], w=np.ones(len(p), np.int64))
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -234,7 +245,7 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int) -> DataFrame:
                     continue  # another row of the task stands for this set
                 seen.add(digest)
                 found.append(make.of(s))
-                whose.append(np.full(len(found[-1]), i, np.int64))
+                whose.append(np.full(len(found[-1]), _name(digest), np.int64))
                 size += len(found[-1])
                 if size >= GATHER:
                     yield from flush()
@@ -245,7 +256,7 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int) -> DataFrame:
     def meet(t: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         known = t.filter(t.column("keys").is_valid())
-        out = [t.filter(t.column("keys").is_null()).select(["key", "a", "b"])]
+        out = [t.filter(t.column("keys").is_null()).select(list("kabw"))]
         if known.num_rows:
             raw = np.frombuffer(b"".join(known.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
             k = np.zeros((len(raw), 8), np.uint8)
@@ -255,18 +266,20 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int) -> DataFrame:
             sizes = [len(x) // 9 for x in parts]
             ids = np.concatenate([np.frombuffer(x[: 8 * n], np.int64) for x, n in zip(parts, sizes, strict=True)])
             more = np.concatenate([np.frombuffer(x[8 * n :], bool) for x, n in zip(parts, sizes, strict=True)])
-            order, at, pairs = _starred(k, ids)
+            order, at, times, least = _starred(k, ids)
             k, ids, more = k[order], ids[order], more[order]
-            members = np.diff(np.concatenate([at, [len(k)]]))
-            wide = np.repeat((members + np.add.reduceat(more.astype(np.int64), at)) > 2, members) | more
-            labels = _label(k[wide], known.column("bucket")[0].as_py())
-            none = pa.nulls(len(pairs), pa.int64())
-            out.append(pa.table({"key": none, "a": pairs[:, 0], "b": pairs[:, 1]}))
-            out.append(pa.table({"key": labels, "a": ids[wide], "b": pa.nulls(len(labels), pa.int64())}))
-        return pa.concat_tables(out)
+            wide = np.repeat((times > 2) | (np.add.reduceat(more.astype(np.int64), at) > 0), times)
+            star = ids != least
+            pairs = _distinct(least[star], ids[star], wide[star])
+            out.append(pa.table({"k": pa.nulls(len(pairs), pa.int64()), "a": pairs[:, 0], "b": pairs[:, 1], "w": pairs[:, 2]}))
+            if members:
+                labels = _label(k[wide], known.column("bucket")[0].as_py())
+                none = pa.nulls(len(labels), pa.int64())
+                out.append(pa.table({"k": labels, "a": ids[wide], "b": none, "w": none}))
+        return pa.concat_tables(out).rename_columns(["key", "a", "b", "w"])
 
-    parts = docs.mapInArrow(run, "bucket int, keys binary, ids binary, key bigint, a bigint, b bigint")
-    return cut(parts.groupBy("bucket").applyInArrow(meet, "key bigint, a bigint, b bigint"), "met")
+    parts = docs.mapInArrow(run, "bucket int, keys binary, ids binary, k bigint, a bigint, b bigint, w bigint")
+    return cut(parts.groupBy("bucket").applyInArrow(meet, "key bigint, a bigint, b bigint, w bigint"), "met", release=True)
 
 
 def _flags(ids: DataFrame) -> np.ndarray:
@@ -279,31 +292,25 @@ def _flags(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _of_flagged(docs: DataFrame, ids: DataFrame, make, schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    """``make(id, text)`` lists of rows of the documents among ``ids``, and of a few others."""
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(_flags(ids)))
+def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """(c, s): the sets of the classes in ``names`` (c), from the texts of the ids that stand for them."""
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(_flags(classes.join(names, "c", "left_semi").select("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(packed.value).astype(bool)
         for b in batches:
-            ok = flags[np.asarray(b.column(2))]
-            out: list[list] = [[] for _ in kinds]
-            for i, text in zip(b.column(0).filter(pa.array(ok)).to_pylist(), b.column(1).filter(pa.array(ok)), strict=True):
-                for part, values in zip(out, make(i, text.as_py()), strict=True):
-                    part.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[f"c{i}" for i in range(len(kinds))])
+            sets = [shingle_set(text.as_py(), width) for text in b.column(0).filter(pa.array(flags[np.asarray(b.column(1))]))]
+            data = [s.tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(xxhash.xxh3_128_digest(x)) for x in data], pa.int64()), pa.array(data, pa.binary())], names=["c", "s"])
 
-    rows = docs.where("id is not null").select("id", "text", F.xxhash64("id").bitwiseAND(FILTER - 1).alias("h"))
-    return rows.mapInArrow(run, schema)
+    rows = docs.where("id is not null").select("text", F.xxhash64("id").bitwiseAND(FILTER - 1).alias("h"))
+    sets = rows.mapInArrow(run, "c bigint, s binary").join(names, "c", "left_semi")
+    return cut(sets.dropDuplicates(["c"]), "sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys, width: int) -> DataFrame:
-    """Links among ``pairs`` (a, b), as distinct pairs of classes."""
-    to_class = classes.select("id", "rep")
-    pairs = pairs.join(to_class.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(to_class.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-    pairs = cut(pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
-    own = classes.where("id = rep").dropDuplicates(["id", "n", "k1", "k2"])
-    side = lambda c: own.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}"))
+    """Links among distinct ``pairs`` (a, b) of classes."""
+    side = lambda c: classes.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}"))
     num, den = keys.num, keys.den
     fit = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
 
@@ -316,10 +323,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys,
                 keep.append(int(np.bitwise_count(folded(sa, size) ^ folded(sb, size)).sum()) <= keys.differ(na + nb))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a bigint, b bigint").distinct(), "close")
-    ids = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id")))
-    sets = _of_flagged(docs, ids, lambda i, text: ([i], [shingle_set(text, width).tobytes()]), "id bigint, s binary", [pa.int64(), pa.binary()])
-    sets = cut(sets.join(ids.distinct(), "id", "left_semi"), "sets")
+    close = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a bigint, b bigint"), "close")
+    names = close.select(F.col("a").alias("c")).unionByName(close.select(F.col("b").alias("c"))).distinct()
+    sets = _sets_of(docs, classes, names, width)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,35 +336,46 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys,
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = close.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return cut(both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct(), "verified")
-
-
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, root, m) of members (key, id: classes; m of them) of keys whose members are of different components."""
-    placed = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    both = close.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    out = cut(both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint"), "verified")
+    discard(close, sets)
+    return out
+
+
+def _groups(pairs: DataFrame, roots: DataFrame, classes: DataFrame, step: float) -> DataFrame:
+    """(key, id): classes of a group, for each band. Failed comparisons among ``pairs`` connect components; keys belong
+    to a band, so only those connect that both have the band as their own or the next."""
+    band = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)
+    own = classes.select(F.col("c").alias("id"), band.alias("own")).join(roots, "id", "left").select("id", "own", F.coalesce("root", "id").alias("root"))
+    both = pairs
+    for c in "ab":
+        both = both.join(own.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}"), F.col("root").alias(f"root_{c}")), c)
+    bands = F.when(F.col("own_a") == F.col("own_b"), F.array(F.col("own_a"), F.col("own_a") + 1)).when(F.abs(F.col("own_a") - F.col("own_b")) == 1, F.array(F.greatest("own_a", "own_b")))
+    failed = both.where("root_a <> root_b").select("root_a", "root_b", F.explode(bands).alias("band"))
+    node = lambda root: F.xxhash64(F.col(root), F.col("band"))
+    group = components(failed.select(F.least(node("root_a"), node("root_b")).alias("a"), F.greatest(node("root_a"), node("root_b")).alias("b")).distinct())
+    placed = own.select("id", "root", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band")).select("id", node("root").alias("node"))
+    return cut(placed.join(group.select(F.col("id").alias("node"), F.col("root").alias("key")), "node").select("key", "id"), "groups")
+
+
+def _blocks(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, root, m) of entries (key, id) of keys whose members, ``m`` of them, are of different components."""
+    placed = entries.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     across = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
-    return cut(placed.join(across, "key"), "apart")
-
-
-def _round_pairs(entries: DataFrame, k: int) -> DataFrame:
-    """(a, b): of each key one member, the first by a hash that changes with ``k``, and those of other components."""
-    entries = entries.where((F.col("m") >= LARGE) & (F.pmod(F.xxhash64("key"), F.lit(TURNS)) == k % TURNS))
-    first = entries.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(k))).alias("c"))
-    both = entries.join(first, "key").where(F.col("root") != F.col("c.root"))
-    return both.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+    return placed.join(across, "key")
 
 
-def _cross_pairs(entries: DataFrame, classes: DataFrame, keys: Keys) -> DataFrame:
-    """(a, b): members of a key, of different components, whose bit sketches are near. ``entries`` (key, id, root)."""
-    own = classes.where("id = rep").dropDuplicates(["id", "n", "k1", "k2"]).select("id", "n", "bits")
+def _near_pairs(entries: DataFrame, classes: DataFrame, keys: Keys, forest: bool) -> DataFrame:
+    """(key, a, b): members of a key, of different components, whose bit sketches are near. ``entries`` (key, id, root,
+    m). With ``forest``, of each block only pairs that join what no pair before has joined; else all."""
     members = entries.select("key", "id", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.join(own, "id").select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "id", "root", F.col("n").cast("int").alias("n"), "bits")
+    own = classes.select(F.col("c").alias("id"), F.col("n").cast("int").alias("n"), "bits")
+    members = members.join(own, "id").select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "id", "root", "n", "bits")
     ordered = members.repartition(F.col("key"), F.col("p"), F.col("q")).sortWithinPartitions("key", "p", "q", "part")
 
-    def compare(rows: list[tuple], out: set[tuple[int, int]]) -> None:
-        """``rows``: (part, id, root, n, bits) of one block against another, or against itself."""
+    def compare(rows: list[tuple]) -> Iterator[np.ndarray]:
+        """``rows``: (part, id, root, n, bits) of one block against another, or against itself; ids of pairs."""
         size = min(len(r[4]) for r in rows)
         bits = np.stack([folded(r[4], size) for r in rows])
         part, ids, root, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
@@ -371,32 +388,43 @@ def _cross_pairs(entries: DataFrame, classes: DataFrame, keys: Keys) -> DataFram
                 continue
             z = np.flatnonzero(ok) + y.start
             far = np.bitwise_count(bits[z] ^ bits[x]).sum(axis=1)
-            limit = (keys.den - keys.num) * (n[z] + n[x]) // (keys.den + keys.num)
-            out.update((int(min(ids[x], i)), int(max(ids[x], i))) for i in ids[z[far <= limit]].tolist())
+            z = z[far <= (keys.den - keys.num) * (n[z] + n[x]) // (keys.den + keys.num)]
+            if not len(z):
+                continue
+            if forest:
+                joined, first = np.unique(root[z], return_index=True)
+                z = z[first]
+                root[np.isin(root, joined)] = root[x]
+            yield np.stack([np.minimum(ids[z], ids[x]), np.maximum(ids[z], ids[x])], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, out = None, [], set()
-
-        def given() -> pa.RecordBatch:
-            x = np.array(sorted(out), np.int64).reshape(-1, 2)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+        group, rows = (None,), []
+
+        def of_group() -> Iterator[pa.RecordBatch]:
+            out, size = [], 0
+            for pairs in compare(rows) if len(rows) > 1 else ():
+                out.append(pairs)
+                size += len(pairs)
+                if size >= 100_000:
+                    yield given(out)
+                    out, size = [], 0
+            if out:
+                yield given(out)
+
+        def given(out: list[np.ndarray]) -> pa.RecordBatch:
+            x = np.concatenate(out)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), group[0], np.int64)), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["key", "a", "b"])
 
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
-            for key, p, q, part, i, root, n, bits in zip(*cols, strict=True):
+            for key, p, q, *row in zip(*cols, strict=True):
                 if (key, p, q) != group:
-                    if len(rows) > 1:
-                        compare(rows, out)
-                    if len(out) >= 100_000:
-                        yield given()
+                    yield from of_group()
                     group, rows = (key, p, q), []
-                rows.append((part, i, root, n, bits))
-        if len(rows) > 1:
-            compare(rows, out)
-        yield given()
+                rows.append(tuple(row))
+        yield from of_group()
 
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return cut(ordered.mapInArrow(run, "key bigint, a bigint, b bigint"), "near")
 
 
 def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
@@ -413,28 +441,34 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = Keys(num, den, _frequent(table))
     profiles = table.where("n is not null")
     total = profiles.agg(F.sum("n")).first()[0] or 0
-    reps = profiles.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    classes = cut(profiles.where("id is not null").join(reps, ["n", "k1", "k2"]).select("id", "n", "k1", "k2", "rep", F.when(F.col("id") == F.col("rep"), F.col("bits")).alias("bits")), "classes")
-
-    met = _met(rows, keys, width, max(8, math.ceil(total / BUCKET)))
-    links = _verified(rows, met.where("key is null").select("a", "b"), classes, keys, width)
+    # A task that has a class first in a row with a null id has its sketch there.
+    by_set = profiles.where("n > 0").groupBy(F.col("k1").alias("c")).agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    classes = cut(by_set.where("id is not null"), "classes")
+
+    buckets = max(8, math.ceil(total / BUCKET))
+    met = _met(rows, keys, width, buckets)
+    pairs = cut(met.groupBy("a", "b").agg(F.max("w").alias("w")), "pairs")
+    links = _verified(rows, pairs.select("a", "b"), classes, keys, width)
     roots = components(links)
-    rep = classes.select("id", "rep").distinct()
-    members = met.where("key is not null").select("key", F.col("a").alias("id")).join(rep, "id").select("key", F.col("rep").alias("id")).distinct()
-    apart = _apart(members, roots)
-    for k in range(ROUNDS):
-        if apart.isEmpty():
-            break
-        more = _verified(rows, _round_pairs(apart, k), classes, keys, width)
-        if more.isEmpty():
+    groups = _groups(pairs.where("w = 1"), roots, classes, keys.step)
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    entries = groups.join(sizes.where(F.col("size") <= GROUP), "key", "left_semi")
+    large = groups.join(sizes.where(F.col("size") > GROUP), "key", "left_semi").select("id")
+    if not large.isEmpty():
+        texts = rows.join(classes.join(large, classes.c == large.id, "left_semi").select("id"), "id", "left_semi")
+        met = _met(texts, keys, width, buckets, members=True)
+        entries = entries.unionByName(met.where("key is not null").select("key", F.col("a").alias("id")).distinct())
+    for forest in (True, False):
+        near = _near_pairs(_blocks(entries, roots), classes, keys, forest)
+        if near.isEmpty():
             break
-        links = links.unionByName(more)
+        links = links.unionByName(_verified(rows, near.select("a", "b").distinct(), classes, keys, width))
         roots = components(links)
-        apart = _apart(apart.select("key", "id"), roots)
-    if not apart.isEmpty():
-        more = _verified(rows, _cross_pairs(apart, classes, keys), classes, keys, width)
-        roots = components(links.unionByName(more))
-
-    of_class = classes.select("n", "k1", "k2", "rep").distinct().join(roots, F.col("rep") == F.col("id"), "left").select("n", "k1", "k2", F.coalesce("root", "rep").alias("root"))
-    out = profiles.select("id", "n", "k1", "k2").join(of_class, ["n", "k1", "k2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
+        entries = entries.join(near.select("key").distinct(), "key", "left_semi")  # other keys have no near pair left
+
+    own = classes.select("c", "id").join(roots.select(F.col("id").alias("c"), "root"), "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
+    least = own.groupBy("root").agg(F.min("id").alias("least"))
+    of_class = own.join(least, "root").select(F.col("c").alias("k1"), "least")
+    out = profiles.select("id", "n", "k1").join(of_class, "k1", "left")
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

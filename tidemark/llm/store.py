@@ -6,20 +6,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only by a session on one machine that names no checkpoint folder, as in tests.
 FALLBACK = "file:///tmp/checkpoints"
 
 
 def folder(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK
+    """The folder in spark.checkpoint.dir. A cluster must name one: its executors share no other."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or FALLBACK
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The copy survives the loss of any executor and nothing before it runs again.
+    The copy survives the loss of any executor and nothing before it runs again. Shuffle files that led to it are of
+    no use then. Spark deletes them when the driver's collector finds them unreferenced; after a large shuffle,
+    ``release`` asks it to look.
     """
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that no result needs any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._tidemark_folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
