@@ -4,11 +4,11 @@ Urls that a rule allows train one smoothed variable-order Markov model, urls tha
 without a rule is blocked where the difference of the two log-likelihoods, divided by the url's length, falls short
 of a threshold that held-out ruled urls calibrate. DataFrame functions only.
 
-Characters map to 64 symbols, so a context of up to five symbols and the next one fit in one long. A context is
-part of the model if at least 1 / ``MAX_CONTEXTS`` of all training positions have it, so each order has at most
-``MAX_CONTEXTS`` contexts with 64 continuations at any size of input: the model that is broadcast is bounded.
-The log-ratio of the longest known context is written as a sum over orders of what each order adds, so scoring
-takes one lookup for each position and order and no search for the longest context.
+Characters map to 64 symbols, so a context of up to five symbols and the next one fit in one long. Every context and
+continuation that training urls have is part of the model. The log-ratio of the longest known context is written as a
+sum over orders of what each order adds, so no search for the longest context is needed, and the sum is made once for
+each distinct window of six symbols. The model and the sums of windows are broadcast if they have at most
+``BROADCAST_ROWS`` rows; beyond that they are joined by key.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Symbols 1 to 62; 0 is any other character, 63 the start.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789:/.?#=&-_%+~,;@!$'()*[]|^ {"
-ORDERS, MAX_CONTEXTS, START = 6, 2048, 63
+ORDERS, START = 6, 63
+BROADCAST_ROWS = 500_000
+#: Bins of scores that the threshold is chosen from.
+BINS = 4000
 #: Every so many-th ruled url (by crc32) calibrates the threshold and trains nothing.
 FOLDS = 5
 
@@ -87,8 +90,6 @@ def train(urls: DataFrame) -> DataFrame:
     grams = cut(each.groupBy("x.k", "x.g", "x.c").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb")), "url-grams")
     types = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
     contexts = grams.groupBy("k", "c").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"), types("ca").alias("ta"), types("cb").alias("tb"))
-    total = grams.where("k = 0").agg(F.sum(F.col("ca") + F.col("cb"))).first()[0] or 0
-    contexts = contexts.where((F.col("na") + F.col("nb")) * MAX_CONTEXTS >= total)
     grams = grams.join(contexts, ["k", "c"])
     out, lower = [], None
     share = lambda c, n, t, p: (F.col(c) + F.col(t) * p) / F.nullif(F.col(n) + F.col(t), F.lit(0))
@@ -110,33 +111,42 @@ def train(urls: DataFrame) -> DataFrame:
     return model
 
 
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """``urls`` (row, url) with the log-ratio over the length; null for an empty url."""
+    """Distinct ``urls`` (url) with the log-ratio over the length; none for an empty url."""
     model = cut(model, "url-model")
-    grams = F.broadcast(model.where("gram").select(F.col("key").alias("g"), F.col("delta").alias("dg")))
-    contexts = F.broadcast(model.where("not gram").select(F.col("key").alias("c"), F.col("delta").alias("dc")))
-    w = urls.select("url").distinct().select("url", F.explode(_windows(F.col("url"))).alias("w"))
-    w = w.select("url", "w", F.explode(F.array(*[F.struct(_gram(F.col("w"), k).alias("g"), _context(F.col("w"), k).alias("c")) for k in range(ORDERS)])).alias("x")).select("url", "x.g", "x.c")
-    sums = w.join(grams, "g", "left").join(contexts, "c", "left").groupBy("url").agg((F.sum(F.coalesce("dg", "dc", F.lit(0.0))) * ORDERS / F.count(F.lit(1))).alias("llr"))
-    return sums
+    grams = _small(model.where("gram").select(F.col("key").alias("g"), F.col("delta").alias("dg")))
+    contexts = _small(model.where("not gram").select(F.col("key").alias("c"), F.col("delta").alias("dc")))
+    places = urls.select("url").distinct().select("url", F.explode(_windows(F.col("url"))).alias("w"))
+    each = places.select("w").distinct().select("w", F.explode(F.array(*[F.struct(_gram(F.col("w"), k).alias("g"), _context(F.col("w"), k).alias("c")) for k in range(ORDERS)])).alias("x")).select("w", "x.g", "x.c")
+    sums = cut(each.join(grams, "g", "left").join(contexts, "c", "left").groupBy("w").agg(F.sum(F.coalesce("dg", "dc", F.lit(0.0))).alias("d")), "url-windows")
+    return places.join(_small(sums), "w").groupBy("url").agg(F.avg("d").alias("llr"))
 
 
 def _threshold(held: DataFrame) -> float:
     """The cut of scores that best separates held-out allowed from blocked urls; 0 where one kind is missing.
 
-    Scores are counted in 2,001 bins, so what reaches the driver is bounded.
+    Scores are counted in bins between the least and the greatest, so what reaches the driver is bounded.
     """
-    bins = held.where("llr is not null").groupBy(F.least(F.greatest(F.floor(F.col("llr") * 200), F.lit(-1000)), F.lit(1000)).alias("bin")).agg(
+    held = held.where("llr is not null")
+    lo, hi = held.agg(F.min("llr"), F.max("llr")).first()
+    if lo is None:
+        return 0.0
+    step = (hi - lo) / BINS or 1.0
+    bins = held.groupBy(F.floor((F.col("llr") - lo) / step).alias("bin")).agg(
         F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("good"), 0).otherwise(1)).alias("b")
     ).orderBy("bin").collect()
     na, nb = sum(r.a for r in bins), sum(r.b for r in bins)
     if not na or not nb:
         return 0.0
-    best, at, below_a, below_b = -1.0, 0.0, 0, 0
-    for r in bins:  # between what is below and what is at or above
+    best, at, below_a, below_b, last = -1.0, 0.0, 0, 0, bins[0].bin - 1
+    for r in bins:  # in the middle between the bins below and this one
         if (gain := below_b / nb - below_a / na) > best:
-            best, at = gain, r.bin / 200
-        below_a, below_b = below_a + r.a, below_b + r.b
+            best, at = gain, lo + (last + 1 + r.bin) / 2 * step
+        below_a, below_b, last = below_a + r.a, below_b + r.b, r.bin
     return at
 
 
