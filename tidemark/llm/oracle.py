@@ -20,14 +20,17 @@ windows as (
 twice as (select doc_id, i from windows qualify count(*) over (partition by doc_id, win) > 1),
 covered as (select doc_id, count(distinct i + o) n from twice, range(8) r(o) group by doc_id),
 line as (
-  select doc_id, source, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) flat
-  from (select doc_id, source, unnest(lines) l from w)
+  select doc_id, source, md5(t) txt, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) flat
+  from (select doc_id, source, t, unnest(lines) l from w)
+),
+size as (select source, count(distinct md5(t)) n from d group by source),
+common as (
+  select l.source, flat from line l join size s on l.source is not distinct from s.source
+  group by l.source, flat having count(distinct txt) >= 5 and 100 * count(distinct txt) > 5 * any_value(s.n)
 ),
-of_doc as (select doc_id, source, flat, sum(len(flat) - len(replace(flat, ' ', '')) + 1)::bigint words from line group by all),
-common as (select source, flat from of_doc group by all having count(*) > 100),
 removed as (
-  select doc_id, sum(words)::bigint all_words, coalesce(sum(words) filter (where c.flat is not null), 0)::bigint removed_words
-  from of_doc o left join common c on o.source is not distinct from c.source and o.flat = c.flat group by doc_id
+  select doc_id, sum(len(l.flat) - len(replace(l.flat, ' ', '')) + 1)::bigint removed_words
+  from line l join common c on l.source is not distinct from c.source and l.flat = c.flat group by doc_id
 ),
 base as (
   select w.doc_id, len(words)::bigint n_words, coalesce(list_sum(list_transform(words, lambda s: len(s))), 0)::bigint word_chars,
@@ -37,7 +40,7 @@ base as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
-       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and coalesce(all_words - removed_words >= 0.5 * all_words, true) as kept,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * (n_words - coalesce(removed_words, 0)) >= 50 * n_words as kept,
        coalesce(removed_words, 0)::bigint as removed_words
 from base left join removed using (doc_id)
 """

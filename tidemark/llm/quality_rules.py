@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .expressions import let
+from .store import cut
 
 #: Characters that count as symbols, and the white space between words.
 SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Hosts up to which their recurring lines are sent to all executors; beyond, they are joined by host.
+BROADCAST_HOSTS = 20_000
 
 
 def _window_hashes(words: Column, width: int) -> Column:
@@ -62,35 +65,69 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return t.select("id", *keep, "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
 
 
-def line_words(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(id, host, line, words): each line with words of each row, as the hash of its normalised form."""
-    t = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    lines = t.select("id", "host", F.explode(F.split("t", "\n")).alias("s")).where(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
-    flat = F.trim(F.regexp_replace(F.lower("s"), SPACE, " "))
-    return lines.select("id", "host", F.xxhash64(flat).alias("line"), (F.length(flat) - F.length(F.replace(flat, F.lit(" "))) + 1).cast("long").alias("words"))
+def _lines(text: Column) -> Column:
+    """Lines with a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
+def common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", percent: int = 5, min_docs: int = 5) -> DataFrame:
+    """(host, common): hashes of the normalised lines that more than ``percent`` of a hundred distinct documents of a
+    host have, and ``min_docs`` of them at least.
+
+    Documents of a host with equal texts are one. Of all lines of a host's documents fewer than 100 / ``percent``
+    times the mean number of lines of a document can be so frequent, so the lists are short.
+    """
+    lines = F.array_distinct(F.transform(_lines(F.col(text_col)), lambda s: F.xxhash64(_normal(s))))
+    own = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc"), lines.alias("lines"))
+    own = own.groupBy("host", "doc").agg(F.first("lines").alias("lines"))
+    counted = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    sizes = own.groupBy("host").agg(F.count(F.lit(1)).alias("size")).select(F.col("host").alias("host2"), "size")
+    frequent = counted.join(sizes, F.col("host").eqNullSafe(F.col("host2"))).where(100 * F.col("n") > percent * F.col("size"))
+    return frequent.groupBy("host").agg(F.collect_list("line").alias("common"))
+
+
+def _with_common(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """``rows`` with the lines that are common on their ``host``."""
+    common = cut(common, "common-lines").select(F.col("host").alias("host2"), "common")
+    common = F.broadcast(common) if common.count() <= BROADCAST_HOSTS else common
+    none = F.array().cast("array<bigint>")
+    return rows.join(common, F.col("host").eqNullSafe(F.col("host2")), "left").drop("host2").withColumn("common", F.coalesce("common", none))
+
+
+def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", percent: int = 5, min_docs: int = 5) -> DataFrame:
+    """One row for each input row: id and the text without the lines that are common on its host. Null texts stay null.
+
+    Other lines, empty ones too, stay as they are.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(host_col).alias("host"))
+    rows = _with_common(rows, common_lines(docs, text_col, host_col, percent, min_docs))
+    kept = F.filter(F.split("t", "\n"), lambda s: ~(s.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(F.col("common"), F.xxhash64(_normal(s)))))
+    return rows.select(F.col("id").alias(id_col), F.when(F.size("common") == 0, F.col("t")).otherwise(F.array_join(kept, "\n")).alias(text_col))
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 100, min_left: float = 0.5, min_words: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", percent: int = 5, min_docs: int = 5, min_left: int = 50, min_words: int = 20
 ) -> DataFrame:
     """One row for each input row: counts, base_failed, removed_words and kept.
 
-    A line that more than ``max_docs`` distinct documents of one host have is removed from all documents of that
-    host; a document of which less than ``min_left`` of its words stays is rejected, as is one that fails a base
-    rule. Null texts count as empty and fail for want of words. Rows that repeat an id are one document with
-    the lines of all of them. A null host is a host of its own, a null id one document.
+    A line that more than ``percent`` of a hundred distinct documents of one host have, and ``min_docs`` at least, is
+    removed from all documents of that host; a document of which less than ``min_left`` of a hundred words stay is
+    rejected, as is one that fails a base rule. Null texts count as empty and fail for want of words. Every row is
+    judged by itself, whatever its id; rows of a host with equal texts are one document where lines are counted. A
+    null host is a host of its own. An empty table gives an empty result. ``without_common_lines`` gives the texts.
     """
-    base = base_counts(docs, id_col, text_col)
-    of_doc = line_words(docs, id_col, text_col, host_col).groupBy("id", "host", "line").agg(F.sum("words").alias("words"))
-    common = of_doc.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select(F.col("host").alias("host2"), F.col("line").alias("line2"))
-    # (id, host, line) is unique by now, so a hot line weighs on the join alone, which Spark can split.
-    flagged = of_doc.join(common, F.col("host").eqNullSafe(F.col("host2")) & (F.col("line") == F.col("line2")), "left")
-    cut_words = F.sum(F.when(F.col("line2").isNotNull(), F.col("words")).otherwise(0))
-    removed = flagged.groupBy(F.col("id").alias("id2")).agg(cut_words.alias("removed_words"), F.sum("words").alias("all_words"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    both = base.join(removed, F.col("id").eqNullSafe(F.col("id2")), "left").select(base["*"], zero("removed_words"), zero("all_words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(host_col).alias("host"))
+    words = lambda s: let(_normal(s), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).cast("long").alias("n")))
+    rows = rows.withColumn("lines", F.transform(_lines(F.col("t")), words))
+    each = _with_common(base_counts(rows, "id", "t", keep=("host", "lines")), common_lines(docs, text_col, host_col, percent, min_docs))
+    removed = F.aggregate("lines", F.lit(0).cast("long"), lambda a, s: a + F.when(F.array_contains(F.col("common"), s["h"]), s["n"]).otherwise(F.lit(0).cast("long")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return both.select(
+    each = each.withColumn("removed_words", removed)
+    return each.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("all_words") - F.col("removed_words") >= min_left * F.col("all_words"))).alias("kept"), "removed_words",
+        (~failed & (100 * (F.col("n_words") - F.col("removed_words")) >= min_left * F.col("n_words"))).alias("kept"), "removed_words",
     )
