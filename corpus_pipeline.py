@@ -2,13 +2,15 @@
 
 Each stage works on all rows that the one before kept and returns the columns of documents; the last returns pieces
 of sequences. Rows with a null id or text pass like others: a null text counts as empty. Rows that repeat an id are
-judged one by one by quality, toxicity and exact dedup; near duplicates go by id.
+judged one by one. An empty table stays empty. Other columns are carried along, whatever their names, but for names
+that begin with an underscore.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.llm.exact_dedup import exact_dedup, normalised
 from tidemark.llm.packing import pack
@@ -42,19 +44,30 @@ def _id(c: str) -> Column:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id."""
+    """Of documents with equal texts the one with the smallest id; of rows that repeat both, the first by their other
+    columns as JSON."""
     stays = exact_dedup(docs).where("kept").select(_id("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = W.partitionBy("_id", "_sha").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
     keyed = docs.withColumns({"_id": _id("doc_id"), "_sha": F.sha2(normalised(F.col("text")), 256)})
-    return keyed.join(stays, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    return keyed.join(stays, ["_id", "_sha"], "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*docs.columns)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of near duplicates reach, the one with the smallest id."""
-    goes = parity_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that links of near duplicates reach, the one with the smallest id (a null id comes last).
+
+    Rows go by a hash of id and text, so that those which repeat an id with other texts are documents of their own.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    rows = cut(parity_join(keyed.select("_row", "text"), id_col="_row").select("_row", "component_id").distinct(), "components")
+    ids = keyed.select("_row", "doc_id").join(rows, "_row")
+    stays = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("component_id", F.col("first._row").alias("_first"))
+    goes = cut(rows.join(stays, "component_id").where("_row <> _first").select("_row"), "goes")
+    return keyed.join(goes, "_row", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their token ids."""
     return pack(docs, VOCABULARY)
 
 
