@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -69,7 +70,7 @@ def shingles(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def brute_components(sets):
+def brute_components(sets, num=3, den=4):
     root = {i: i for i in sets}
 
     def find(x):
@@ -79,7 +80,7 @@ def brute_components(sets):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+        if sets[a] and sets[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: find(i) for i in sets}
@@ -93,9 +94,10 @@ def test_parity_join(spark, rows):
     assert parity_join.parity_join(frame(spark, [])).count() == 0
 
 
-def test_parity_join_of_chains_and_passages(spark, monkeypatch):
+@pytest.mark.parametrize("group", [100_000, 5])
+def test_parity_join_of_chains_and_passages(spark, monkeypatch, group):
     """Chains of copies of copies, and a passage that all texts share, with tiny limits for every step."""
-    for name, value in (("GATHER", 400), ("BUCKET", 500), ("BLOCK", 4), ("FREQUENT", 6), ("ROUNDS", 1), ("LARGE", 3), ("TURNS", 2)):
+    for name, value in (("GATHER", 400), ("BUCKET", 500), ("BLOCK", 4), ("FREQUENT", 6), ("GROUP", group)):
         monkeypatch.setattr(parity_join, name, value)
     rng, texts = random.Random(9), []
     passage = prose(100, 60).split()
@@ -111,6 +113,24 @@ def test_parity_join_of_chains_and_passages(spark, monkeypatch):
     assert got == want
 
 
+def test_parity_join_at_the_limit(spark):
+    """Texts that share six words, with one or two of their own: many pairs are similar at exactly 3/4 of other widths."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(["p q r s t u", *[f"w{rng.randrange(4)}" for _ in range(rng.randrange(3))]]), "a") for i in range(200)]
+    docs += [(500, prose(40, 30), "a"), (500, prose(41, 30), "a"), (501, prose(40, 30) + " more", "a"), (502, "x " + prose(41, 30), "a")]
+    for width, num, den in ((1, 3, 4), (5, 3, 4), (2, 1, 2), (1, 9, 10)):
+        kinds = {}
+        for i, t, _ in docs:
+            kinds.setdefault((i, frozenset(parity_join.shingle_set(t, width).tolist())), len(kinds))
+        sets = {k: s for (_, s), k in kinds.items()}
+        ids = {k: i for (i, _), k in kinds.items()}
+        root = brute_components(sets, num, den)
+        least = {r: min(ids[k] for k in root if root[k] == r) for r in root.values()}
+        want = sorted((i, least[root[kinds[i, frozenset(parity_join.shingle_set(t, width).tolist())]]]) for i, t, _ in docs)
+        got = parity_join.parity_join(frame(spark, docs), width=width, num=num, den=den).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]
@@ -229,6 +249,50 @@ def test_url_filter(spark):
     assert url_filter.url_filter(df.where("false")).count() == 0
 
 
+def brute_url_scores(urls):
+    """Log-ratios by the longest known context, with Witten-Bell smoothing, from (url, good) to score."""
+    symbol = {c: k % 63 for k, c in enumerate(url_filter.ALPHABET, 1)}
+    coded = lambda u: [63] * 5 + [symbol.get(c, 0) for c in u.translate({c: c + 32 for c in range(65, 91)})]
+    counts = {good: collections.defaultdict(collections.Counter) for good in (True, False)}
+    for u, good in urls:
+        x = coded(u)
+        for i in range(5, len(x)):
+            for k in range(6):
+                counts[good][tuple(x[i - k : i])][x[i]] += 1
+
+    def p(good, context, c):
+        lower = p(good, context[1:], c) if context else 1 / 64
+        seen = counts[good].get(context)
+        return (seen[c] + len(seen) * lower) / (sum(seen.values()) + len(seen)) if seen else lower
+
+    def score(u):
+        x = coded(u)
+        return np.mean([math.log(p(True, tuple(x[i - 5 : i]), x[i]) / p(False, tuple(x[i - 5 : i]), x[i])) for i in range(5, len(x))])
+
+    return score
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_url_scores(spark, monkeypatch, limit):
+    """Scores and verdicts of the model against a plain one, with broadcasts and with joins by key."""
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", limit)
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    urls = [f"http://{word('abc')}.com/en/{word('defg')}" for _ in range(60)] + [f"http://{word('uvw')}.net/de/{word('xyz')}" for _ in range(60)]
+    urls += [f"http://{word(k)}.info/{word(k)}" for k in ("abcdefg", "uvwxyz") * 20] + ["http://é.info/ÄÖ", "x"]
+    taught = [(u, "net" in u) for u in urls if "info" not in u and u != "x"]
+    fold = lambda u: zlib.crc32(u.encode()) % url_filter.FOLDS
+    score = brute_url_scores([x for x in taught if fold(x[0])])
+    got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert {k: r.llr for k, r in got.items()} == pytest.approx({k: score(u) for k, u in enumerate(urls)}, rel=1e-6, abs=1e-9)
+    held = [(score(u), good) for u, good in taught if not fold(u)]
+    gain = lambda at: sum(s < at for s, g in held if not g) / sum(not g for _, g in held) - sum(s < at for s, g in held if g) / sum(g for _, g in held)
+    free = [(got[k].llr, got[k].verdict) for k, u in enumerate(urls) if "info" in u]
+    blocked = [s for s, v in free if v == "block"]
+    assert len(blocked) > 10 and max(blocked) < min(s for s, v in free if v == "allow")
+    assert gain(np.nextafter(max(blocked), 9)) >= max(gain(s) for s, _ in held) - 1e-9
+
+
 def test_bpe(spark, rows):
     tok, enc = Tokenizer.from_file(PATH), bpe.Encoder(open(PATH, "rb").read())
     letters = "aabcdeeghilmnoprstu  ''..,!?012éßñ世İΣ\x1c\x85 ½🙂"
@@ -237,12 +301,34 @@ def test_bpe(spark, rows):
     for t in texts:
         ids = tok.encode(t, add_special_tokens=False).ids
         assert enc.encode(t) == ids and enc.decode(ids) == tok.decode(ids, skip_special_tokens=False)
+    lanes = bpe._lanes(open(PATH, "rb").read())
+    texts += ["don't we'll 'tis ''s x's's 'rex 've'd 'SS o'", "a" * 500 + " b", "", None, "Ⱥȴ İı ŉ"]
+    for a, b, at, ids in lanes.ids(bpe.pa.array(texts)):
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(b - a)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts[a:b]]
     want = sorted((i or -1, len(x := tok.encode(t or "", add_special_tokens=False).ids), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(tok.decode(x, skip_special_tokens=False).encode()).hexdigest()) for i, t, _ in rows)
     assert sorted((r[0] or -1, *r[1:]) for r in bpe.bpe_round_trip(frame(spark, rows), PATH).collect()) == want
     back = bpe.bpe_decode(bpe.bpe_encode(frame(spark, rows), PATH), PATH)
     assert back.count() == len(rows)
 
 
+def test_bpe_of_slices_and_very_long_words(monkeypatch):
+    """Texts beyond the size of a slice, words beyond what lanes take, one word of 160,000 letters in linear time."""
+    tok, lanes, rng = Tokenizer.from_file(PATH), bpe._lanes(open(PATH, "rb").read()), random.Random(7)
+    texts = [prose(k, 40) + "".join(rng.choices("abcdefgh", k=rng.randrange(120))) for k in range(60)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for limit in (1, 700, 1 << 20):
+        monkeypatch.setattr(bpe, "SLICE", limit)
+        got = [ids[at[k - a] : at[k - a + 1]].tolist() for a, b, at, ids in lanes.ids(bpe.pa.array(texts)) for k in range(a, b)]
+        assert got == want
+    took = []
+    for n in (20_000, 160_000):
+        word, began = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)), time.process_time()
+        ids = next(lanes.ids(bpe.pa.array([word])))[3]
+        took.append(time.process_time() - began)
+        assert ids.tolist() == tok.encode(word, add_special_tokens=False).ids
+    assert took[1] < 24 * took[0]
+
+
 def test_best_cuts():
     """The least cost of all ways to cut."""
     rng = random.Random(6)
@@ -276,7 +362,7 @@ def test_packing(spark, rows, monkeypatch):
     for r in got:
         sums[(r.doc_id, r.doc_tokens)] += r.length
         ids = np.array(tok.encode(next(t for i, t, _ in rows if i == r.doc_id) or "", add_special_tokens=False).ids + [1], "<u4")
-        assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        assert ids[r.start : r.start + r.length].tobytes() == bytes(r.ids) and len(r.ids) == 4 * r.length
     assert sums == {k: k[1] * c for k, c in left.items()}
     for _, g in itertools.groupby(sorted(got, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
         at = 0
@@ -305,6 +391,83 @@ def test_toxicity(spark, rows):
     assert toxicity.toxicity(frame(spark, docs[:3]), labels.where("false")).count() == 3
 
 
+def test_gradients_of_the_toxicity_model():
+    """A step moves every parameter against its gradient, as finite differences give it."""
+    rng, mask = np.random.default_rng(3), (1 << toxicity.BITS) - 1
+    texts = [rng.integers(0, 30, (n, 3)) + np.array([0, mask + 1, 2 * (mask + 1)]) for n in (1, 2, 5, 9, 12)]
+    y, weight = np.array([1, 0, 1, 0, 1], np.float32), np.array([1, 2, 1, 0.5, 1], np.float32)
+
+    def fresh():
+        r = np.random.default_rng(5)
+        m = toxicity._initial(texts, y, r)
+        m.table[:] = r.normal(0, 0.5, m.table.shape)
+        m.table[toxicity.PAD] = 0
+        m.filters = [r.normal(0, 0.5, f.shape) for f in m.filters]
+        m.out, m.bias = r.normal(0, 0.5, m.out.shape), -0.1
+        m.table = m.table.astype(np.float64)
+        return m
+
+    def loss(m):
+        z = m.features(*toxicity._joined(texts)) @ m.out + m.bias
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).sum() / len(y))
+
+    m, big = fresh(), 1e12  # squares so large that a step of the rate's size is the gradient itself
+    square = {"out": np.full_like(m.out, big), "bias": big, "table": np.full(toxicity.PAD + 1, big), "filters": [np.full_like(f, big) for f in m.filters]}
+    toxicity._step(m, texts, y, weight, square, rate=big**0.5)
+    base = fresh()
+    moved = {"out": (base.out - m.out, lambda x: x.out), "table": (base.table - m.table, lambda x: x.table)}
+    moved |= {k: (base.filters[k] - m.filters[k], lambda x, k=k: x.filters[k]) for k in range(len(m.filters))}
+    used = sorted({int(r) for t in texts for r in t.ravel()})
+    for name, (grad, part) in moved.items():
+        places = [(r, d) for r in used[::7] for d in (0, 3)] if name == "table" else [tuple(i) for i in np.ndindex(grad.shape)][::5]
+        for at in places:
+            up, down = fresh(), fresh()
+            part(up)[at] += 1e-4
+            part(down)[at] -= 1e-4
+            assert grad[at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-4), (name, at)
+
+
+def test_toxicity_learns_from_a_bounded_sample_and_one_label(spark):
+    docs = [(k, ("vileword " if k % 2 else "") + prose(k, 20), "a") for k in range(60)] + [(99, prose(99, 5000), "a")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(99, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(frame(spark, docs), labels, max_chars=20_000).collect()}
+    assert len(got) == 61 and np.mean([(got[k] >= 0.7) == (k % 2 == 1) for k in range(60)]) > 0.9
+    for only, side in ((1, lambda s: s > 0.9), (0, lambda s: s < 0.1)):
+        one = toxicity.toxicity(frame(spark, docs), labels.where(f"toxic = {only}")).collect()
+        assert all(side(r.score) for r in one)
+
+
+def test_votes_find_the_accuracies_of_labellers():
+    """EM against the rates that drew the votes, and its likelihood, smoothing counts included, never falls."""
+    rng, k = np.random.default_rng(9), len(quality_model.LABELLERS)
+    rate = np.stack([np.tile([0.6, 0.1, 0.3], (k, 1)), np.tile([0.05, 0.5, 0.45], (k, 1))], axis=1)
+    good = rng.random(20_000) < 0.7
+    d = np.stack([[rng.choice(3, p=rate[j, int(g)]) for j in range(k)] for g in good[:4000]])
+    code = (d * quality_model.KINDS ** np.arange(k)[::-1]).sum(axis=1)
+    codes, which, counts = np.unique(code, return_inverse=True, return_counts=True)
+    p_good, p, prior = quality_model.fit_votes(codes, counts)
+    assert np.abs(p[:, :, :3] - rate).max() < 0.06 and abs(prior - 0.7) < 0.03
+    assert ((p_good[which] > 0.5) == good[:4000]).mean() > 0.98
+
+    def likelihood(p, prior):
+        digits = quality_model._digits(codes)
+        each = [np.log(w) + np.log(p[np.arange(k), kind, digits]).sum(axis=1) for kind, w in ((0, 1 - prior), (1, prior))]
+        return float((counts * np.logaddexp(*each)).sum() + 0.5 * np.log(p[:, :, :3]).sum())
+
+    steps = [likelihood(*quality_model.fit_votes(codes, counts, rounds=n)[1:]) for n in (1, 2, 3, 5, 9, 30)]
+    assert all(b >= a - 1e-6 for a, b in itertools.pairwise(steps))
+
+
+def test_quality_scorer_follows_its_labels(spark):
+    rows = [(np.array([k % 7, 7 + k % 3]), np.array([0.6, 0.8], np.float32)) for k in range(300)]
+    y = np.array([0.95 if k % 7 < 4 else 0.05 for k in range(300)])
+    w, bias = quality_model.fit_scorer(rows, y, np.ones(300))
+    z = np.array([w[at] @ v + bias for at, v in rows])
+    assert ((z > 0) == (y > 0.5)).all()
+    same = [(k, re.sub(r"\d+", "", prose(k, 90)).replace("zeta ", "zeta. ").capitalize(), "a") for k in range(30)]
+    assert all(r.kept and r.vote_score >= 0.5 for r in quality_model.quality_model(frame(spark, same), max_features=500).collect())
+
+
 def test_quality_model(spark, rows):
     junk = [" ".join(["again"] * 80), " ".join(w.upper() + "!!" for w in prose(1, 80).split()), " ".join(w + "###" for w in prose(2, 80).split()), prose(3, 80).replace(" ", " | ")]
     good = [re.sub(r"\d+", "", prose(k, 90)).replace("zeta ", "zeta. ").capitalize() for k in range(80)]
@@ -315,12 +478,29 @@ def test_quality_model(spark, rows):
     assert quality_model.quality_model(frame(spark, [])).count() == 0
 
 
-def test_quality_rules(spark, rows):
-    got = quality_rules.quality_rules(frame(spark, rows), max_docs=1).collect()
-    by = {r.doc_id: r for r in got}
-    assert len(got) == len(rows) and by[12].n_dup_lines == 1 and by[11].removed_words == 5 and by[12].base_failed and not by[5].kept
-    assert by[10].n_words == 30_000
-    assert quality_rules.quality_rules(frame(spark, [])).count() == 0
+@pytest.mark.parametrize("hosts", [20_000, 0])
+def test_quality_rules(spark, rows, monkeypatch, hosts):
+    """Lines on many texts of a host go; a text of little else is rejected; copies count once; other hosts are apart."""
+    monkeypatch.setattr(quality_rules, "BROADCAST_HOSTS", hosts)
+    line, rare = "Read  more of this SITE every single day of the week here", "a line that two texts have and no more of them"
+    docs = [(100 + k, f"{line}\n{prose(k, 40)}\n\n{rare * (k < 2)}", "host") for k in range(12)]
+    docs += [(200, f"{line.lower()}\nplain words {prose(50, 8)}", "host")]
+    docs += [(300 + k, f"copied line\n{prose(60, 40)}", "host") for k in range(8)] + [(400 + k, f"{line}\n{prose(70 + k, 40)}", None if k else "other") for k in range(2)]
+    df = frame(spark, rows + docs)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert quality_rules.quality_rules(df).count() == len(rows) + len(docs)
+    assert all(got[100 + k].removed_words == 12 and got[100 + k].kept for k in range(12))
+    assert got[200].removed_words == 12 and not got[200].base_failed and not got[200].kept
+    assert all(got[k].removed_words == 0 and got[k].kept for k in (*range(300, 308), 400, 401))
+    assert got[12].n_dup_lines == 1 and got[12].base_failed and not got[5].kept and got[10].n_words == 30_000
+    texts = {r.doc_id: r.text for r in quality_rules.without_common_lines(df).collect()}
+    assert texts[100] == f"{prose(0, 40)}\n\n{rare}" and texts[200] == f"plain words {prose(50, 8)}" and texts[5] is None and texts[300] == docs[13][1]
+    assert quality_rules.quality_rules(frame(spark, [])).count() == 0 and quality_rules.without_common_lines(frame(spark, [])).count() == 0
+
+
+def test_quality_rules_remove_lines_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert quality_rules.quality_rules(docs).where("removed_words > 0").count() > 20
 
 
 def test_html(spark):
@@ -332,10 +512,100 @@ def test_html(spark):
     assert html_extract.extract_text(df).count() == len(rows) and html_extract.extract_text(df.where("false")).count() == 0
 
 
-def test_style_tree_removes_what_all_pages_share(spark):
-    pages = [(k, f"http://h/{k}", f"<body><div class=x>the same on all pages</div><div class=y><p>{prose(k, 20)}</p></div></body>") for k in range(40)]
-    got = html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    assert all(r.text == prose(r.page_id, 20) for r in got)
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_style_tree_removes_what_pages_share(spark, monkeypatch, limit):
+    """Unmarked boilerplate of a host with seven pages, and of forty hosts with two; copies of a page are one page."""
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", limit)
+    body = lambda k, more="": f"<body><div class=x>the same on all pages</div>{more}<div class=y><p>{prose(k, 20)}</p></div></body>"
+    pages = [(k, f"http://h/{k}", body(k)) for k in range(7)]
+    pages += [(100 + k, f"http://h{k // 2}/{k}", body(k, f"<div class=z>{prose(k, 5)}</div>")) for k in range(80)]
+    pages += [(300 + k, "http://copies/a", f"<body><section class=one><p>{prose(1, 20)}</p></section></body>") for k in range(12)]
+    pages += [(400 + k, f"http://inside/{k}", f"<article><p>{prose(k, 20)}</p><p class=plea>Subscribe to us today</p></article>") for k in range(9)]
+    pages += [(500 + k, f"http://few/{k}", f"<body><section><div>stays, for want of pages</div><p>{prose(k, 9)}</p></section></body>") for k in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(pages, PAGES)).collect()}
+    for k in range(7):
+        assert got[k] == prose(k, 20)
+    for k in range(80):
+        assert got[100 + k] == f"{prose(k, 5)}\n\n{prose(k, 20)}"
+    assert all(got[300 + k] == prose(1, 20) for k in range(12)) and all(got[400 + k] == prose(k, 20) for k in range(9))
+    assert all(got[500 + k] == f"stays, for want of pages\n\n{prose(k, 9)}" for k in range(3))
+
+
+def test_style_tree_against_brute_force(spark, monkeypatch):
+    for name, value in (("PAGES", 2), ("PAGES_OF_ALL", 3), ("HOSTS", 2)):
+        monkeypatch.setattr(html_extract, name, value)
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        parts = [f"<div class={c}><p>{c if rng.random() < 0.6 else prose(k, 3)}</p>{'<p>more</p>' * rng.randrange(2)}</div>" for c in rng.sample("abcde", 4)]
+        rows.append((f"h{k % 4}", f"<body>{''.join(parts)}</body>"))
+    own, every = html_extract.style_tree(spark.createDataFrame(rows + rows[:5], "host string, html string"))
+    seen = collections.defaultdict(list)
+    for host, source in rows:
+        for path, (content, style) in html_extract.Page(source).nodes().items():
+            for where in (host, None):
+                seen[where, html_extract._path(path)].append((content, style))
+    want = {}
+    for at, pairs in seen.items():
+        m, left = len(pairs), 1.0
+        for side in zip(*pairs, strict=True):
+            counts = collections.Counter(side)
+            entropy = -sum(c / m * math.log(c / m) for c in counts.values())
+            left *= 1 - (entropy / math.log(m) if m > 1 else 1.0)
+        if m >= (2 if at[0] else 3):
+            want[at] = (m, pytest.approx(1 - left, abs=1e-9))
+    got = {(r.host, r.path): (r.m, r.importance) for r in own.collect()} | {(None, r.path): (r.m, r.importance) for r in every.collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<div class='share-price'><p>Up by two.</p></div>", "Up by two."),
+        ("<section id='search-results'><p>Found.</p></section>", "Found."),
+        ("<article><p>One.</p><div class='related-work'><p>Two.</p></div></article>", "One.\n\nTwo."),
+        ('<p><img alt="5" tall"> hello</p>', "hello"),
+        ("<p title='a > b'>it's <a href=x/y>5 < 6 &lt;b&gt;</a></p>", "it's 5 < 6 <b>"),
+        ("<body><header>top</header><div class=page-footer>x</div><div class='ad-slot'>y</div><p>text <span class=advert>buy</span> on</p></body>", "text on"),
+        ("<main><p>a</p><div class='comments-list'><p>reader</p></div><form>f</form><aside>s</aside></main><footer>f</footer>", "a"),
+    ],
+)
+def test_one_page(spark, source, text):
+    assert html_extract.Page(source).main(lambda path: 1.0) == text
+
+
+def edge_rows(spark, rows):
+    schema = "doc_id long, text string, source string, lang string, n_chars long, id string, words string, score double, root long, kept string"
+    every = [(i, t, s, "en", k, "x", "w", 0.5, 3, "k") for k, (i, t, s) in enumerate(rows)]
+    return spark.createDataFrame(every, schema)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_any_rows(spark, rows, stage):
+    """Null and repeated ids, null, empty and long texts, columns that clash; and an empty table."""
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    docs = edge_rows(spark, [*rows, (8, prose(90, 40), "a"), (8, prose(91, 40), "a"), (None, None, "b"), (13, prose(91, 40) + " more", "a")])
+    got = run(spark, docs, SF)
+    assert run(spark, docs.where("false"), SF).count() == 0
+    if stage == 4:
+        assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+        return
+    assert got.columns == docs.columns
+    kept, before = collections.Counter(map(tuple, got.collect())), collections.Counter(map(tuple, docs.collect()))
+    assert not kept - before
+    pairs = {(r[0], r[1]) for r in kept}
+    if stage == 2:
+        flat = [re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in kept.elements()]
+        assert len(flat) == len(set(flat)) == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in before})
+        assert kept[(8, "one two", "a", "en", 7, "x", "w", 0.5, 3, "k")] == 1
+    if stage == 3:  # the first near copy of each goes; of a repeated id only the text that has a copy before it
+        assert (1, rows[0][1]) in pairs and (2, rows[1][1]) not in pairs and (3, rows[0][1]) not in pairs
+        assert (8, prose(90, 40)) in pairs and (8, prose(91, 40)) in pairs and not any(i == 13 for i, _ in pairs)
+        assert (None, prose(5, 30)) in pairs and (5, None) in pairs and (6, "") in pairs
 
 
 def test_pipeline(spark):
