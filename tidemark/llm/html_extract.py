@@ -3,16 +3,21 @@
 The DOMs of a host's pages are merged: a node of the tree is a path of elements (tag and classes), with all contents
 and all sequences of child elements (its styles) that pages have there. For a node on m pages, a content on c of
 them counts 1 - log c / log m, and styles count with their entropy to the base m. A node matters if either varies:
-importance = 1 - (1 - content) * (1 - style). Nodes below ``LEAST`` are removed from each page with all that is
-under them, once at least ``PAGES`` pages tell. Hosts with fewer pages, and elements that are never main text by
-their tag, role or class, are ruled by what these say; where a page has an article, only that is looked at.
+importance = 1 - (1 - content) * (1 - style). Every block of every page is part of the tree; pages with the same
+texts are one page. What a node is by its tag, role or class is a weight on its importance: menus, footers, adverts
+and the like weigh half, what stands in an article counts more. Nodes whose weighted importance is below ``LEAST``
+are removed from each page with all that is under them.
+
+A host's own tree tells of a node that ``PAGES`` of its pages have; else the tree of all hosts tells, if it is on
+``PAGES_OF_ALL`` pages of ``HOSTS`` hosts; else nothing but the weight does. Where a page has an article, only that is
+looked at.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -22,9 +27,15 @@ from pyspark.sql import functions as F
 from .store import cut
 from .url_filter import split_url
 
-LEAST, PAGES = 0.6, 30
+LEAST = 0.6
+PAGES, PAGES_OF_ALL, HOSTS = 6, 30, 3
+#: One node in so many pages of a host, or of all, is too rare for the tree. So a host has at most so many times the
+#: mean number of nodes of a page, and all hosts so many.
+RARE, RARE_OF_ALL = 200, 2000
 #: Models with at most so many nodes are sent to all executors; larger ones are joined by host.
 BROADCAST_ROWS = 200_000
+#: Weights: an element that is no main text by what it is; one in an article; one that is never removed as a whole.
+NOISE, INSIDE, WHOLE = 0.5, 1.5, 10.0
 #: Elements by kind, and words of classes, ids and roles.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -35,25 +46,37 @@ NEVER = frozenset("head nav footer aside form button select menu dialog".split()
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices sidebar comment comments disqus respond reply replies nav navbar navigation menu breadcrumb breadcrumbs footer share sharing social related newsletter subscribe popup modal widget complementary contentinfo search alert".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that say nothing beside such a word: ``page-footer`` is a footer, ``share-price`` is not for sharing.
+NEUTRAL = frozenset("area bar block bottom box button buttons container content form global group inner item items left link links list main media outer overlay page panel primary right secondary section site slot text top unit wrap wrapper zone".split())
 #: Elements that a start tag closes if they are open: by HTML's rules for omitted end tags.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements beyond which such closing doesn't look.
 SCOPES = frozenset("article aside blockquote body dl div footer form header html main nav ol section table ul".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>""", re.S)
+#: Quotes hold a value only behind an equals sign; elsewhere, or unclosed, they are letters like others.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?/][^>]*>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORD = re.compile(r"[a-z]+")
+PART = re.compile(r"[a-z0-9]+")
+
+
+def says_noise(name: str) -> bool:
+    """Whether a class, id or role names something that is no main text: all its words do, or are neutral."""
+    parts = PART.findall(name.lower())
+    return any(p in HINTS for p in parts) and all(p in HINTS or p in NEUTRAL or p.isdigit() for p in parts)
 
 
 class Page:
-    """Blocks of a page in order: (text, path), and of each path the children's sequence."""
+    """Blocks of a page in order: (text, path, weights of the path's elements), and of each path the children's
+    sequence."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[str, ...]]] = []
+        self.blocks: list[tuple[str, tuple[str, ...], tuple[float, ...]]] = []
         self.children: dict[tuple[str, ...], list[str]] = {}
         self.path: list[str] = []  # names of open elements with classes
         self.tags: list[str] = []
-        self.never: list[bool] = []
+        self.weights: list[float] = []
+        self.hidden = 0  # open elements inside a block that are no main text: they have no node, and go at once
         self.text: list[str] = []
         self._read(source)
 
@@ -61,15 +84,16 @@ class Page:
         if self.text:
             text = " ".join(html.unescape("".join(self.text)).split())
             self.text.clear()
-            if text and not any(self.never):
+            if text and "head" not in self.tags:
                 k = max((i for i, t in enumerate(self.tags) if t in BLOCKS), default=-1)
-                self.blocks.append((text, tuple(self.path[: k + 1])))
+                self.blocks.append((text, tuple(self.path[: k + 1]), tuple(self.weights[: k + 1])))
 
     def _close(self, k: int) -> None:
         """Closes all open elements from the k-th on."""
         if any(t in BLOCKS for t in self.tags[k:]):
             self._end_block()
-        del self.tags[k:], self.path[k:], self.never[k:]
+        self.hidden -= sum([w < 1 and t not in BLOCKS for t, w in zip(self.tags[k:], self.weights[k:], strict=True)])
+        del self.tags[k:], self.path[k:], self.weights[k:]
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -86,22 +110,27 @@ class Page:
                 self.text.append(" ")
             return
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMED.finditer(attributes)} if "=" in attributes else {}
-        words = set(WORD.findall(" ".join(named.values()).lower()))
+        names = " ".join(named.values()).split()
         inside = "article" in self.tags or "main" in self.tags
-        never = tag in NEVER or (tag == "header" and not inside) or ("header" in words and not inside and tag != "h1")
-        if tag not in ("html", "body", "article", "main"):
-            never = never or bool(words & HINTS)
+        noise = tag in NEVER or (not inside and (tag == "header" or (tag not in HEADINGS and any("header" in PART.findall(n.lower()) for n in names))))
+        if tag in ("html", "body", "article", "main"):
+            weight = WHOLE
+        elif noise or any(map(says_noise, names)):
+            weight = NOISE
+            self.hidden += tag not in BLOCKS
+        else:
+            weight = INSIDE if inside else 1.0
         name = ".".join([tag, *sorted(named.get("class", "").split())])
         if tag in BLOCKS:
             self.children.setdefault(tuple(self.path), []).append(name)
         self.tags.append(tag)
         self.path.append(name)
-        self.never.append(never)
+        self.weights.append(weight)
 
     def _read(self, source: str) -> None:
         at, low = 0, None
         while (m := TAG.search(source, at)) is not None:
-            if m.start() > at:
+            if m.start() > at and not self.hidden:
                 self.text.append(source[at : m.start()])
             at = m.end()
             if m[2] is None:
@@ -120,13 +149,14 @@ class Page:
                 at = len(source) if end < 0 else (low.find(">", end) + 1 or len(source))
             else:
                 self._open(tag, m[3])
-        self.text.append(source[at:])
+        if not self.hidden:
+            self.text.append(source[at:])
         self._end_block()
 
     def nodes(self) -> dict[tuple[str, ...], tuple[int, int]]:
         """For each path with text: hashes of its whole content and of its sequence of children, repeats left out."""
         contents: dict[tuple[str, ...], list[str]] = {}
-        for text, path in self.blocks:
+        for text, path, _ in self.blocks:
             for k in range(1, len(path) + 1):
                 contents.setdefault(path[:k], []).append(text)
         out = {}
@@ -136,11 +166,21 @@ class Page:
             out[path] = _hash("\n".join(texts)), _hash("\n".join(style))
         return out
 
-    def main(self, removed: set[int]) -> str:
+    def main(self, importance: Callable[[int], float]) -> str:
         blocks = self.blocks
         if articles := [b for b in blocks if any(x.split(".")[0] in ("article", "main") for x in b[1])]:
             blocks = articles
-        return "\n\n".join([text for text, path in blocks if not removed or not any(_path(path[:k]) in removed for k in range(1, len(path) + 1))])
+        known: dict[tuple[str, ...], float] = {}
+
+        def stays(path: tuple[str, ...], weights: tuple[float, ...]) -> bool:
+            for k in range(1, len(path) + 1):
+                if path[:k] not in known:
+                    known[path[:k]] = importance(_path(path[:k]))
+                if weights[k - 1] * known[path[:k]] < LEAST:
+                    return False
+            return True
+
+        return "\n\n".join([text for text, path, weights in blocks if weights.count(WHOLE) == len(weights) or stays(path, weights)])
 
 
 def _hash(s: str) -> int:
@@ -151,29 +191,49 @@ def _path(path: tuple[str, ...]) -> int:
     return _hash("\t".join(path))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, m, importance) of every node with text in the merged DOMs of (host, html)."""
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+def _nodes(pages: DataFrame) -> DataFrame:
+    """Distinct (host, page, path, content, style) of (host, html); ``page`` is a hash of the page's texts. Each page
+    also has a node with path 0."""
+    kinds = [pa.string(), *[pa.int64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for host, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows += [(host, _path(p), content, style) for p, (content, style) in Page(source.as_py() or "").nodes().items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "content", "style"])
-
-    nodes = pages.mapInArrow(run, "host string, path bigint, content bigint, style bigint")
-    counted = nodes.groupBy("host", "path", "content", "style").agg(F.count(F.lit(1)).alias("c"))
-    contents = counted.groupBy("host", "path", "content").agg(F.sum("c").alias("c")).groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.ln("c")).alias("s"))
-    styles = counted.groupBy("host", "path", "style").agg(F.sum("c").alias("c")).groupBy("host", "path").agg(F.sum("c").alias("m2"), F.sum(F.col("c") * F.ln("c")).alias("s2"))
+                page = Page(source.as_py() or "")
+                key = _hash("\n".join([t for t, _, _ in page.blocks]))
+                rows.append((host, key, 0, 0, 0))
+                rows += [(host, key, _path(p), content, style) for p, (content, style) in page.nodes().items()]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "path", "content", "style"])
+
+    return pages.mapInArrow(run, "host string, page bigint, path bigint, content bigint, style bigint").distinct()
+
+
+def _importance(counted: DataFrame, *keys: str) -> DataFrame:
+    """(keys, m, importance) of counted (keys, content, style, c)."""
+    part = lambda kind, m, s: counted.groupBy(*keys, kind).agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.sum("c").alias(m), F.sum(F.col("c") * F.ln("c")).alias(s))
     # The mean of 1 - log c / log m over pages, and the entropy to the base m, are the same expression.
     share = lambda m, s: F.when(F.col(m) > 1, 1 - F.col(s) / (F.col(m) * F.ln(m))).otherwise(1.0)
-    both = contents.join(styles, ["host", "path"])
-    return both.select("host", "path", "m", (1 - (1 - share("m", "s")) * (1 - share("m2", "s2"))).alias("importance"))
+    both = part("content", "m", "s").join(part("style", "m2", "s2"), list(keys))
+    return both.select(*keys, "m", (1 - (1 - share("m", "s")) * (1 - share("m2", "s2"))).alias("importance"))
+
+
+def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, path, m, importance) of nodes in the merged DOMs of (host, html) that ``PAGES`` pages have, and (path, m,
+    importance) of nodes that count for all hosts."""
+    counted = cut(_nodes(pages).groupBy("host", "path", "content", "style").agg(F.count(F.lit(1)).alias("c")), "nodes")
+    sizes = counted.where("path = 0").groupBy("host").agg(F.sum("c").alias("size"))
+    nodes = counted.where("path <> 0")
+    own = _importance(nodes, "host", "path").where(F.col("m") >= PAGES).join(sizes, "host").where(F.col("m") * RARE >= F.col("size")).drop("size")
+    size = counted.where("path = 0").agg(F.sum("c")).first()[0] or 0
+    hosts = nodes.select("path", "host").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("hosts"))
+    every = _importance(nodes.groupBy("path", "content", "style").agg(F.sum("c").alias("c")), "path")
+    every = every.where((F.col("m") >= PAGES_OF_ALL) & (F.col("m") * RARE_OF_ALL >= size)).join(hosts.where(F.col("hosts") >= HOSTS), "path").drop("hosts")
+    return own, every
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST, min_pages: int = PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each input row: id, url, text, n_chars.
 
     Null and empty html give the empty text, as do pages that have no main text. A null url or one without ``://``
@@ -181,16 +241,25 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     as browsers do in the main; a page cut off at any place gives what it has. An empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), split_url(F.col(url_col))[0].alias("host"))
-    weak = style_tree(rows.select("host", "html")).where((F.col("m") >= min_pages) & (F.col("importance") < least))
-    model = weak.groupBy("host").agg(F.collect_set("path").alias("removed"), F.count(F.lit(1)).alias("k"))
-    model = cut(model, "style-tree")
+    own, every = style_tree(rows.select("host", "html"))
+    # Without noise, which always goes, no weight is below 1: of more important nodes only those that overrule count.
+    every = cut(every.where(F.col("importance") < LEAST), "nodes-of-all")
+    general = {r.path: r.importance for r in every.collect()}  # a bounded number
+    overruled = F.broadcast(every.select("path", F.lit(True).alias("general")))
+    own = own.join(overruled, "path", "left").where((F.col("importance") < LEAST) | F.col("general"))
+    model = cut(own.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("known"), F.count(F.lit(1)).alias("k")), "style-tree")
     size = model.agg(F.sum("k")).first()[0] or 0
-    chosen = model.select("host", "removed")
-    joined = rows.join(F.broadcast(chosen) if size <= BROADCAST_ROWS else chosen, "host", "left").select("id", "url", "html", "removed")
+    chosen = model.select("host", "known")
+    joined = rows.join(F.broadcast(chosen) if size <= BROADCAST_ROWS else chosen, "host", "left").select("id", "url", "html", "known")
+    shared = pages.sparkSession.sparkContext.broadcast(general)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        general = shared.value
         for b in batches:
-            texts = [Page(h.as_py() or "").main(set(r or ())) for h, r in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+            texts = []
+            for source, known in zip(b.column(2), b.column(3).to_pylist(), strict=True):
+                mine = {x["path"]: x["importance"] for x in known or ()}
+                texts.append(Page(source.as_py() or "").main(lambda path, mine=mine: mine[path] if path in mine else general.get(path, 1.0)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     out = joined.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars bigint")
