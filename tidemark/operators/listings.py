@@ -33,17 +33,22 @@ def folder_name(set_name: str) -> Column:
     return F.regexp_replace(set_name, "[ ']", "_")
 
 
-def market_daily_dive(listings: DataFrame, catalog: DataFrame) -> DataFrame:
+def _with_card(listings: DataFrame, catalog: DataFrame | None) -> DataFrame:
+    """Listings with their card's columns; without a catalog, they have these already."""
+    return listings if catalog is None else listings.join(catalog, "id")
+
+
+def market_daily_dive(listings: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Count, floor (5 % quantile), mean and maximum of prices by day, card, language and grading."""
-    df = listings.join(catalog, "id").withColumn("language", language(F.col("listing_title")))
+    df = _with_card(listings, catalog).withColumn("language", language(F.col("listing_title")))
     keys = ["date_pulled", "id", "name", "set_name", "rarity", "language", "is_graded", "pull_source"]
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_listings"), F.round(F.percentile("price_val", F.lit(0.05)), 9).alias("floor_price"), F.round(F.avg("price_val"), 9).alias("avg_price"), F.max("price_val").alias("max_price")
     )
 
 
-def listing_overview(listings: DataFrame, catalog: DataFrame) -> DataFrame:
-    return listings.join(catalog, "id").groupBy("date_pulled", "rarity", "is_graded").agg(F.count(F.lit(1)).alias("n"))
+def listing_overview(listings: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    return _with_card(listings, catalog).groupBy("date_pulled", "rarity", "is_graded").agg(F.count(F.lit(1)).alias("n"))
 
 
 def on_latest_day(df: DataFrame, day: str) -> DataFrame:

@@ -253,12 +253,12 @@ def movers_sparkline(s, d):
 
 @query
 def market_daily_dive(s, d):
-    return li.market_daily_dive(tb.listings(s, d), tb.catalog(s, d))
+    return li.market_daily_dive(tb.listings(s, d, with_card=True))
 
 
 @query
 def listing_overview(s, d):
-    return li.listing_overview(tb.listings(s, d), tb.catalog(s, d))
+    return li.listing_overview(tb.listings(s, d, with_card=True))
 
 
 @query
@@ -310,8 +310,7 @@ def display_name(s, d):
 
 
 def _titled(s, d) -> DataFrame:
-    card = tb.catalog(s, d).select("id", "name", F.col("set_name").alias("version"), "rarity", F.col("cost").cast("string").alias("number"))
-    return tb.listings(s, d).join(card, "id")
+    return tb.listings(s, d, with_card=True).withColumns({"version": F.col("set_name"), "number": F.col("cost").cast("string")})
 
 
 @query
