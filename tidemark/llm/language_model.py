@@ -10,7 +10,8 @@ its own distinct words. A block asks for what it visits, by hash, from buckets t
 
 1. It sends its distinct words, pairs and triples with their counts in training, and gets the counts in all blocks.
    Of the blocks that have an n-gram, one is told that it stands for it.
-2. It sends its contexts, with the sums of the n-grams that it stands for, and gets the weights of failure arcs.
+2. It sends its contexts, with sums over the n-grams that it stands for, and gets the sums of all blocks, of which the
+   weights of failure arcs are made. All numbers sent are whole: small, and the same in any order.
 3. It walks its texts: each token takes an arc, or one or two failure arcs and then an arc.
 
 N-grams are told apart by 59 bits of hash. A block and a bucket have bounded sizes; how many there are grows with the input.
@@ -208,7 +209,8 @@ class _Block:
         ends = np.cumsum([len(k) for k in self.keys])[:-1]
         self.c1, self.c2, self.c3 = np.split(answer >> 1, ends)
         _, self.own2, self.own3 = np.split((answer & 1).astype(bool), ends)
-        self.p1 = (self.c1 + 1) / (total + known + 1)
+        self.kinds = total + known + 1
+        self.p1 = (self.c1 + 1) / self.kinds
         self.whole = self.c1.copy()
         self.whole[0] = self.c1[1]  # as many starts as ends
         self.known2, self.known3 = self.c2 >= LEAST, self.c3 >= LEAST
@@ -220,16 +222,20 @@ class _Block:
         return np.flatnonzero(self.whole >= LEAST), np.flatnonzero(self.known2)
 
     def sums(self) -> list[np.ndarray]:
-        """Of each context, probabilities of the known n-grams that this block stands for, here and one word shorter."""
+        """Of each context, numerators of the probabilities of the known n-grams that this block stands for, here and one
+        word shorter. The denominators are a context's own, so sums need no more than these."""
         words, pairs = self.contexts()
         x, y = self.own2 & self.known2, self.own3 & self.known3
-        one = [np.bincount(self.first[x], p[x], self.n)[words] for p in (self.p2, self.p1[self.second])]
-        two = [np.bincount(self.before[y], p[y], len(self.c2))[pairs] for p in (self.p3, self.p2[self.after])]
-        return [np.concatenate(z) for z in zip(one, two, strict=True)]
+        one = [np.bincount(self.first[x], p[x], self.n)[words] for p in (2 * self.c2 - 1, self.c1[self.second] + 1)]
+        two = [np.bincount(self.before[y], p[y], len(self.c2))[pairs] for p in (2 * self.c3 - 1, 2 * self.c2[self.after] - 1)]
+        return [np.concatenate(z).astype(np.int64) for z in zip(one, two, strict=True)]
 
-    def scored(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Known tokens, sum of single words, and score of each text."""
+    def scored(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, sum of single words, and score of each text. ``sums``: of all blocks, two rows."""
         words, pairs = self.contexts()
+        kept = sums[0] / np.concatenate([2 * self.whole[words], 2 * self.c2[pairs]])
+        lower = sums[1] / np.concatenate([np.full(len(words), self.kinds), 2 * np.maximum(self.whole[self.second[pairs]], 1)])
+        weights = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - lower, 1e-12))
         fail1, fail2 = np.zeros(self.n), np.zeros(len(self.c2))
         fail1[words], fail2[pairs] = np.split(weights, [len(words)])
         single = np.log10(self.p1)
@@ -261,7 +267,7 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _answered(asked: DataFrame, step: int) -> DataFrame:
-    """Step 0: counts. Step 1: logarithms of weights. ``kinds``: words of the bucket that training has, once a bucket."""
+    """Step 0: counts. Step 1: two sums. ``kinds``: words of the bucket that training has, once a bucket."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
@@ -272,36 +278,36 @@ def _answered(asked: DataFrame, step: int) -> DataFrame:
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         times = np.diff(np.concatenate([at, [len(keys)]]))
 
-        def total(name: str, kind) -> np.ndarray:
-            return np.add.reduceat(np.concatenate([_unpacked(x, kind) for x in t.column(name).to_pylist()])[order], at)
+        def total(name: str) -> np.ndarray:
+            return np.add.reduceat(np.concatenate([_unpacked(x, np.int64) for x in t.column(name).to_pylist()])[order], at)
 
         kinds = 0
         if step:
-            weight = np.log10(np.maximum(1 - total("x", np.float64), 1e-12) / np.maximum(1 - total("y", np.float64), 1e-12))
-            of = np.repeat(weight, times)
+            of = np.repeat(np.stack([total("x"), total("y")]), times, axis=1)
         else:
-            c = total("x", np.int64)
+            c = total("x")
             kinds = int(((keys[at] & np.uint64(1) == 1) & (c > 0)).sum())
-            of = np.repeat(c * 2, times)
-            of[at] += 1
+            of = np.repeat(c * 2, times)[None, :]
+            of[0, at] += 1
         out = np.empty_like(of)
-        out[order] = of
-        blobs = [_packed(x) for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])]
+        out[:, order] = of
+        blobs = [_packed(x.ravel()) for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1], axis=1)]
         n = len(blobs)
         return pa.table([t.column("block").combine_chunks(), pa.array([step] * n, pa.int32()), t.column("bucket").combine_chunks(), pa.array(blobs, pa.binary()), pa.array([kinds] + [0] * (n - 1), pa.int64())], schema=ANSWER)
 
-    return cut(asked.groupBy("bucket").applyInArrow(run, ANSWER_SQL), "answers")
+    return cut(asked.groupBy("bucket").applyInArrow(run, ANSWER_SQL), "answers", release=True)
 
 
 def _block_of(t: pa.Table) -> _Block:
     return _Block(*[t.column(c)[0].as_py() for c in ("held", "sizes", "words", "tokens")])
 
 
-def _received(answers: pa.Table, keys: np.ndarray, step: int, kind) -> np.ndarray:
-    """What was asked with ``_asked``, in the order of ``keys``."""
+def _received(answers: pa.Table, keys: np.ndarray, step: int) -> np.ndarray:
+    """What was asked with ``_asked``, in the order of ``keys``: a row of counts, or two of sums."""
     rows = sorted((b, a) for s, b, a in zip(*[answers.column(c).to_pylist() for c in ("step", "bucket", "answer")], strict=True) if s == step)
-    out = np.empty(len(keys), kind)
-    out[np.argsort(keys)] = np.concatenate([_unpacked(a, kind) for _, a in rows]) if rows else []
+    out = np.empty((step + 1, len(keys)), np.int64)
+    if rows:
+        out[:, np.argsort(keys)] = np.concatenate([_unpacked(a, np.int64).reshape(step + 1, -1) for _, a in rows], axis=1)
     return out
 
 
@@ -330,7 +336,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def learned(t: pa.Table, answers: pa.Table) -> tuple[_Block, np.ndarray]:
         x = _block_of(t)
-        x.learn(_received(answers, np.concatenate(x.keys), 0, np.int64), total, known)
+        x.learn(_received(answers, np.concatenate(x.keys), 0)[0], total, known)
         words, pairs = x.contexts()
         return x, np.concatenate([x.keys[0][words], x.keys[1][pairs]])
 
@@ -340,7 +346,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def walk(t: pa.Table, answers: pa.Table) -> pa.Table:
         x, keys = learned(t, answers)
-        found, base, score = x.scored(_received(answers, keys, 1, np.float64))
+        found, base, score = x.scored(_received(answers, keys, 1))
         return pa.table({"id": t.column("ids").combine_chunks().flatten(), "held": x.held, "n": x.sizes, "found": found, "base": base, "score": score})
 
     by_block = lambda df: df.groupBy("block")

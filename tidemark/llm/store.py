@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by a session on one machine that names no checkpoint folder, as in tests.
 FALLBACK = "file:///tmp/checkpoints"
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def folder(spark: SparkSession) -> str:
@@ -18,18 +20,25 @@ def folder(spark: SparkSession) -> str:
     return named or FALLBACK
 
 
-def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str, release: bool = False, batch: int = 2000) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The copy survives the loss of any executor and nothing before it runs again. Shuffle files that led to it are of
     no use then. Spark deletes them when the driver's collector finds them unreferenced; after a large shuffle,
-    ``release`` asks it to look.
+    ``release`` asks it to look, twice, since what the first look finds may hold on to more. Python workers get at most
+    ``batch`` rows at once: rows hold whole texts, sets or sketches, and a worker has little memory.
     """
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if release:
+    rows = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, min(batch, int(rows)) if int(rows) > 0 else batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ROWS, rows)
+    for _ in range(2 * release):
         spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_folder = path
     return out
