@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import types
 import zlib
 
 import duckdb
@@ -15,7 +16,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, components, exact_dedup, html_extract, language_model, oracle, packing, parity_join, quality_model, quality_rules, toxicity, url_filter
+from tidemark.llm import bpe, components, exact_dedup, html_extract, language_model, oracle, packing, parity_join, quality_model, quality_rules, store, toxicity, url_filter
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -576,6 +577,13 @@ def test_one_page(spark, source, text):
     assert html_extract.Page(source).main(lambda path: 1.0) == text
 
 
+def test_a_cluster_must_name_a_shared_folder():
+    session = lambda master, named: types.SimpleNamespace(sparkContext=types.SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": named} if named else {}))
+    assert store.folder(session("spark://h:7077", "hdfs://x/y")) == "hdfs://x/y" and store.folder(session("local[4]", None)) == store.FALLBACK
+    with pytest.raises(RuntimeError):
+        store.folder(session("yarn", None))
+
+
 def edge_rows(spark, rows):
     schema = "doc_id long, text string, source string, lang string, n_chars long, id string, words string, score double, root long, kept string"
     every = [(i, t, s, "en", k, "x", "w", 0.5, 3, "k") for k, (i, t, s) in enumerate(rows)]
