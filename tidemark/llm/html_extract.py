@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .store import cut
 from .url_filter import split_url
+from .workers import frugal
 
 LEAST = 0.6
 PAGES, PAGES_OF_ALL, HOSTS = 6, 30, 3
@@ -196,6 +197,7 @@ def _nodes(pages: DataFrame) -> DataFrame:
     also has a node with path 0."""
     kinds = [pa.string(), *[pa.int64()] * 4]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
@@ -253,6 +255,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     joined = rows.join(F.broadcast(chosen) if size <= BROADCAST_ROWS else chosen, "host", "left").select("id", "url", "html", "known")
     shared = pages.sparkSession.sparkContext.broadcast(general)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         general = shared.value
         for b in batches:

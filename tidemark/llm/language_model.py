@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .shingles import ODD, mix, word_hashes, word_list
 from .store import cut
+from .workers import frugal, frugal_group, frugal_pair
 
 #: Occurrences in training from which on a pair or triple is part of the model.
 LEAST = 2
@@ -149,6 +150,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     ``START`` and ``END``; all tokens as numbers of words, with a start and an end for each text."""
     kind = rows.schema["id"].dataType
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 36
         ids, held, sizes, flat, index = [], [], [], [], {START: 0, END: 1}
@@ -269,6 +271,7 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 def _answered(asked: DataFrame, step: int) -> DataFrame:
     """Step 0: counts. Step 1: two sums. ``kinds``: words of the bucket that training has, once a bucket."""
 
+    @frugal_group
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         parts = [_unpacked_keys(x, m) for x, m in zip(t.column("keys").to_pylist(), t.column("m").to_pylist(), strict=True)]
@@ -324,6 +327,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size, total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
     buckets = max(8, math.ceil(size / BUCKET))
 
+    @frugal
     def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
@@ -340,10 +344,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         words, pairs = x.contexts()
         return x, np.concatenate([x.keys[0][words], x.keys[1][pairs]])
 
+    @frugal_pair
     def ask_weights(t: pa.Table, answers: pa.Table) -> pa.Table:
         x, keys = learned(t, answers)
         return _columns(_asked(t.column("block")[0].as_py(), keys, x.sums(), buckets), ASKED)
 
+    @frugal_pair
     def walk(t: pa.Table, answers: pa.Table) -> pa.Table:
         x, keys = learned(t, answers)
         found, base, score = x.scored(_received(answers, keys, 1))

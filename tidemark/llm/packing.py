@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _lanes, is_sentence_end, shared_file
+from .workers import frugal
 
 #: Costs in tokens of padding: a cut inside a document at a sentence's end, elsewhere, and each sequence.
 AT_SENTENCE, ELSEWHERE, SEQUENCE = 4.0, 64.0, 16.0
@@ -137,6 +138,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.binary() if n == "ids" else pa.int64() for n in names[1:]]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes = _lanes(data.value)
         text = lanes.enc.v.text

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shingles import ODD, mix, shingle_set
 from .store import cut, discard
+from .workers import frugal, frugal_group
 
 CELLS = 1 << 20
 CHUNK = 1 << 16
@@ -122,6 +123,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _profiles(docs: DataFrame, width: int) -> DataFrame:
     """(id, n, k1, k2, bits) of every text, and of each task (-1, chunk, counters) with ``n`` null."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen, fresh, size = np.zeros(CELLS, np.uint32), set(), [], 0  # a class has its sketch once in a task
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary())])
@@ -155,6 +157,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
 def _frequent(profiles: DataFrame) -> np.ndarray:
     """Which cells are frequent: 2^20 flags, whatever the input's size."""
 
+    @frugal_group
     def add(t: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         total = np.zeros(CHUNK, np.int64)
@@ -204,6 +207,7 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int, members: bool =
         cols = [pa.array(bucket, pa.int32()), keys_, ids, key, a, b, w]
         return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, pack = shared.value, set(), zstandard.ZstdCompressor(level=1).compress
         found: list[np.ndarray] = []
@@ -253,6 +257,7 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int, members: bool =
         if found:
             yield from flush()
 
+    @frugal_group
     def meet(t: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         known = t.filter(t.column("keys").is_valid())
@@ -296,6 +301,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, width: int)
     """(c, s): the sets of the classes in ``names`` (c), from the texts of the ids that stand for them."""
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(_flags(classes.join(names, "c", "left_semi").select("id"))))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(packed.value).astype(bool)
         for b in batches:
@@ -314,6 +320,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys,
     num, den = keys.num, keys.den
     fit = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
 
+    @frugal
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.to_pydict()
@@ -323,10 +330,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys,
                 keep.append(int(np.bitwise_count(folded(sa, size) ^ folded(sb, size)).sum()) <= keys.differ(na + nb))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a bigint, b bigint"), "close")
+    close = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a bigint, b bigint"), "close", batch=1000)
     names = close.select(F.col("a").alias("c")).unionByName(close.select(F.col("b").alias("c"))).distinct()
     sets = _sets_of(docs, classes, names, width)
 
+    @frugal
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -337,7 +345,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys,
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = close.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    out = cut(both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint"), "verified")
+    out = cut(both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint"), "verified", batch=100)
     discard(close, sets)
     return out
 
@@ -397,6 +405,7 @@ def _near_pairs(entries: DataFrame, classes: DataFrame, keys: Keys, forest: bool
                 root[np.isin(root, joined)] = root[x]
             yield np.stack([np.minimum(ids[z], ids[x]), np.maximum(ids[z], ids[x])], axis=1)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = (None,), []
 
