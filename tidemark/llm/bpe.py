@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .workers import frugal
+
 #: Pairs that the scalar encoder keeps; places of the table of pairs that words in common use, a power of two.
 MAX_KEPT, PLACES = 1_200_000, 1 << 21
 #: Bytes of text that are encoded together; symbols from which on a word is encoded alone.
-SLICE, ALONE = 16_000_000, 48
+SLICE, ALONE = 4_000_000, 48
 END = "</w>"
 #: Below this code point composed letters are all that exists: NFC changes nothing and all libraries agree on classes.
 PLAIN = "\u0180"
@@ -488,6 +490,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """
     data = shared_file(docs, vocabulary)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes = _lanes(data.value)
         sha = lambda views: pa.array([hashlib.sha256(v).hexdigest() for v in views], pa.string())
@@ -507,6 +510,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """One row for each input row: id and ``ids``. Edge cases as for ``bpe_round_trip``."""
     data = shared_file(docs, vocabulary)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes = _lanes(data.value)
         for b in batches:
@@ -522,6 +526,7 @@ def bpe_decode(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col
     """One row for each input row: id and ``text``. Null ids decode to the empty text."""
     data = shared_file(rows, vocabulary)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(data.value)
         for b in batches:
