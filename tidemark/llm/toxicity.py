@@ -18,8 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .language_model import held_out
+from .workers import frugal
 
 CUT = 0.7
 BITS, DIMS, FILTERS, WIDTHS = 17, 8, 6, (1, 2, 3)
@@ -27,6 +29,8 @@ PREFIX = 6
 PAD = 3 << BITS  # a row of zeros
 #: Words scored at once; memory is about 400 bytes for each.
 AT_ONCE = 100_000
+#: Texts hashed at once.
+ROWS = 1000
 #: Lower-cases A-Z and makes ASCII punctuation white space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
 #: Frequent function words by language.
@@ -227,12 +231,14 @@ def _calibrate(m: Model, texts: list[np.ndarray], y: np.ndarray) -> None:
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, max_rows: int = 3000, carry: tuple[str, ...] = ()
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, max_rows: int = 3000, max_chars: int = 8_000_000, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row for each input row: id, held_out, score, predicted, and the columns in ``carry``.
 
     The model learns from at most ``max_rows`` labelled rows of each label (the first by a hash of the id) whose
-    crc32 of the id doesn't leave ``fold``; all rows are scored on their whole texts. Null and empty texts have the
+    crc32 of the id doesn't leave ``fold``, and of these from as many as have ``max_chars`` characters together; one
+    with more than a twentieth of that teaches nothing. So the driver gets at most 16 bytes for each of 2 *
+    ``max_chars``. All rows are scored on their whole texts. Null and empty texts have the
     score of a text without words. Null labels teach nothing; a null id counts as the empty text for the folds. Rows
     that repeat an id are scored one by one. With labels of one kind, or none, no text is told apart: scores are near
     1 or 0 as the only label is, and 0 without labels. An empty table gives an empty result.
@@ -240,10 +246,16 @@ def toxicity(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id"), folds, fold))
     marked = marked.groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    known = rows.select("id").join(marked, "id")  # ids that have a text: narrow
-    pick = lambda y: known.where(F.col("y") == y).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    sizes = rows.groupBy("id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    known = sizes.where(F.col("chars") <= max_chars // 20).join(marked, "id")
+
+    def pick(label: int) -> DataFrame:
+        first = known.where(F.col("y") == label).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_rows)
+        return first.withColumn("sum", F.sum("chars").over(W.orderBy("h", "id"))).where(F.col("sum") <= max_chars).select("id", "y")
+
     chosen = pick(1).unionByName(pick(0))
 
+    @frugal
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes(t.as_py()).tobytes() for t in b.column(1)], pa.binary()), b.column(2)], names=["id", "h", "y"])
@@ -253,10 +265,11 @@ def toxicity(
     sample.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r.h), r.id))
     shared = docs.sparkSession.sparkContext.broadcast(train([np.frombuffer(r.h, np.uint64).reshape(-1, 2) for r in sample], [r.y for r in sample]))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             texts = [hashes(t.as_py()) for t in b.column(1)]
-            s = shared.value.scores(texts) if texts else np.zeros(0)
+            s = shared.value.scores(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32)), *b.columns[3:]], names=names)
 
     more = [f"c{i}" for i in range(len(carry))]
