@@ -18,8 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .store import cut
+from .workers import frugal
 
 BUCKETS = 1 << 14
 #: Letters to ``A`` and ``a`` (any byte beyond ASCII counts as a lower-case letter), digits to ``0``.
@@ -78,7 +80,7 @@ LABELLERS = (
 
 
 def features(f: Facts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features (bucket, value) of length one: shapes, pairs of shapes, and steps of shares."""
+    """Hashed features (distinct buckets, values) of length one: shapes, pairs of shapes, and steps of shares."""
     named: dict[bytes, float] = {b"s " + s: (c * f.per) ** 0.5 for s, c in f.kinds.items()}
     pairs = Counter(zip(f.shapes, f.shapes[1:], strict=False))
     for (a, b), c in pairs.items():
@@ -87,6 +89,8 @@ def features(f: Facts) -> tuple[np.ndarray, np.ndarray]:
         named[f"x {name} {int(min(x, 0.999) * 10)}".encode()] = 0.5
     at = np.fromiter([xxhash.xxh3_64_intdigest(k) % BUCKETS for k in named], np.int64, len(named))
     v = np.fromiter(named.values(), np.float32, len(named))
+    at, of = np.unique(at, return_inverse=True)
+    v = np.bincount(of, v, len(at)).astype(np.float32)
     return at, v / max(1e-9, float(np.sqrt((v * v).sum())))
 
 
@@ -145,20 +149,23 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight:
     return w, bias
 
 
-def quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000, least: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000, max_features: int = 4_000_000, least: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: id, vote_score (from votes alone), score (the scorer's), kept (score >= ``least``),
     and the columns in ``carry``.
 
-    Votes of all rows are counted. The scorer is trained on at most ``max_rows`` rows of either side of one half,
-    the first by a hash of the text, and scores all whole texts. Null and empty texts have no words: a labeller calls
+    Votes of all rows are counted. The scorer is trained on at most ``max_rows`` rows that votes alone call good (a
+    probability of one half or more) and as many that they call bad, the first by a hash of the text, as far as each
+    kind has ``max_features`` hashed features together: the driver gets at most 8 bytes for each. It scores all whole
+    texts. Null and empty texts have no words: a labeller calls
     them too short. Repeated rows are scored alike. Null ids are kept as they are. An empty table gives an empty
-    result; with texts of one side alone, scores tend to that side.
+    result; where votes call all texts good, or all bad, so does the scorer.
     """
     more = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more, strict=True)])
     kinds = "".join(f", {m} {rows.schema[m].dataType.simpleString()}" for m in more)
     kind = rows.schema["id"].dataType.simpleString()
 
+    @frugal
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             code, at, value, mark = [], [], [], []
@@ -181,7 +188,9 @@ def quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sample = []
     for side in sides:
         if side:
-            sample += seen.where(F.col("votes").isin(side)).orderBy("mark", "id").limit(max_rows).select("votes", "at", "v").collect()
+            first = seen.where(F.col("votes").isin(side)).select("mark", "id", "votes", "at", "v").orderBy("mark", "id").limit(max_rows)
+            first = first.withColumn("sum", F.sum(F.length("at") / 2).over(W.orderBy("mark", "id").rowsBetween(W.unboundedPreceding, 0)))
+            sample += first.where(F.col("sum") <= max_features).select("votes", "at", "v").collect()
     pairs = [(np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.v, np.float16).astype(np.float32)) for r in sample]
     y = np.array([by_code[r.votes] for r in sample])
     # Each side weighs as it does among all rows, so that scores are probabilities.
@@ -191,6 +200,7 @@ def quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     w, bias = fit_scorer(pairs, y, weight / max(1e-9, weight.mean()) if len(y) else weight)
     shared = docs.sparkSession.sparkContext.broadcast((w, bias, by_code))
 
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias, by_code = shared.value
         for b in batches:
