@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
-#: Up to so many hashes that several blocks share are sent to all executors; beyond, whole blocks are joined.
+#: Up to so many hashes that several blocks share are sent to all executors; beyond, all blocks are joined whole.
 MAX_SHARED_HASHES = 10_000
 
 
@@ -50,17 +50,18 @@ def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     by_hash = cut(
         blocks.groupBy("h").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).select("h", F.when(F.col("lo") != F.col("hi"), True).alias("shared")),
-        "hashes",
+        "hashes", release=True,
     )
-    shared = [r[0] for r in by_hash.where("shared").select("h").limit(MAX_SHARED_HASHES + 1).collect()]
-    if not shared:
+    shared = by_hash.where("shared")
+    n = shared.count()
+    if not n:
         names = cut(_named(by_hash, ["h"]), "blocks")
         level = blocks.select("id", "sha", "n", "pos", "h").join(names, "h")
     else:
-        text = F.col("block") if len(shared) > MAX_SHARED_HASHES else F.when(F.col("h").isin(shared), F.col("block")).otherwise("")
-        full = blocks.withColumn("block", text)
-        names = cut(_named(full, ["h", "block"]), "blocks")
-        level = full.join(names, ["h", "block"])
+        if n <= MAX_SHARED_HASHES:
+            blocks = blocks.join(F.broadcast(shared), "h", "left").withColumn("block", F.when(F.col("shared"), F.col("block")).otherwise("")).drop("shared")
+        names = cut(_named(blocks, ["h", "block"]), "blocks")
+        level = blocks.join(names, ["h", "block"])
     level = cut(level.select("id", "sha", "n", F.col("pos").cast("long").alias("pos"), "name"), "level0")
 
     rows = level.where("pos = 0").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("copies"))
