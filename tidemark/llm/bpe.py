@@ -1,6 +1,7 @@
 """BPE encoding by backtracking over longest matches, and decoding by an offset table.
 
-An automaton finds the longest token that starts at a place. The encoder takes the longest token, checks it against
+The arcs of an Aho-Corasick automaton lead to the longest token that starts at a place; its failure arcs aren't needed
+there. The encoder takes the longest token, checks it against
 the token before it in a table of compatible pairs, falls back to the token's longest prefix that is a token, and
 takes back the last token where none fits. A pair is compatible if merging by rank would not merge across its border,
 so a sequence of compatible pairs is what the merges give. A place that was taken back is never tried again, and no
