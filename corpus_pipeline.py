@@ -67,8 +67,9 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences with their token ids."""
-    return pack(docs, VOCABULARY)
+    """Pieces of sequences: what op5_packing returns of each, and its token ids."""
+    pieces = pack(docs, VOCABULARY)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 STAGES = [("quality classifier", quality), ("toxicity", clean), ("exact dedup", distinct), ("n-gram join", unlike), ("packing", packed)]

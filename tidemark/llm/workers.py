@@ -19,10 +19,12 @@ def give_back() -> None:
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``, after which the worker gives memory back."""
+    """``run`` for ``mapInArrow``. After each batch of results the worker gives memory back."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        for out in run(batches):
+            yield out
+            give_back()
         give_back()
 
     return wrapped
