@@ -116,7 +116,7 @@ def unioned(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-#: Replies of a marketplace's search, as they are landed: one JSON object for each.
+#: Fields of a marketplace's search replies, as they are landed, one JSON object for each.
 RESPONSE = (
     "total int, itemSummaries array<struct<itemId: string, title: string, itemWebUrl: string, price: struct<value: string>, currentBidPrice: struct<value: string>, "
     "buyingOptions: array<string>, itemCreationDate: string>>"
