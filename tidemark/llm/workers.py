@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+PAUSE = 2.0
+
 
 def give_back() -> None:
     """Memory that this process holds but doesn't use goes back to the system: a worker that waits for its next task would
@@ -19,12 +22,16 @@ def give_back() -> None:
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``. After each batch of results the worker gives memory back."""
+    """``run`` for ``mapInArrow``. The worker gives memory back at the end, and after results every ``PAUSE`` seconds: it
+    takes time to give it back and to get it again."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
         for out in run(batches):
             yield out
-            give_back()
+            if time.monotonic() - last > PAUSE:
+                give_back()
+                last = time.monotonic()
         give_back()
 
     return wrapped
