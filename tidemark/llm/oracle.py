@@ -44,3 +44,38 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        coalesce(removed_words, 0)::bigint as removed_words
 from base left join removed using (doc_id)
 """
+
+FILTER_AUDIT = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') t from documents),
+w as (select doc_id, part, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda s: s <> '') words from d),
+label as (select doc_id, max(coalesce((quality = 1)::int, 0)) good, max(coalesce((toxic = 1)::int, 0)) toxic from labels group by doc_id),
+f as (
+  select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic, 1::bigint as one,
+         (len(words) < 50)::int + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::int
+         + 4 * (100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * len(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+         + 16 * coalesce(min(w.doc_id) over (partition by t) < w.doc_id, false)::int as m
+  from w left join label using (doc_id)
+),
+cell as (select part, m, sum(one) n, sum(good) good, sum(toxic) toxic from f group by part, m),
+letter as (select unnest(['A', 'B', 'C', 'D', 'E']) c, unnest([1, 2, 4, 8, 16]) bit),
+orders as (
+  select a.c || b.c || c.c || d.c || e.c as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] bits
+  from letter a, letter b, letter c, letter d, letter e
+  where a.bit | b.bit | c.bit | d.bit | e.bit = 31
+),
+steps as (select filter_order, k::int as step, bits[k] as bit, coalesce(list_sum(bits[1 : k - 1]), 0)::int as before from orders, range(1, 6) r(k)),
+shares as (
+  select part, bit, sum(n)::bigint as shapley
+  from (select part, filter_order, bit, sum(case when m & bit > 0 and m & before = 0 then n else 0 end) n from cell, steps group by all) group by part, bit
+),
+done as (
+  select part, filter_order, step, bit, sum(case when m & (before | bit) = 0 then n else 0 end)::bigint as kept,
+         sum(case when m & bit > 0 and m & before = 0 then n else 0 end)::bigint as removed,
+         sum(case when m & bit > 0 and m & before > 0 then n else 0 end)::bigint as redundant,
+         sum(case when m = bit then n else 0 end)::bigint as unique_fails,
+         sum(case when m & bit > 0 and m & before = 0 then good else 0 end)::bigint as good_lost,
+         sum(case when m & bit > 0 and m & before = 0 then toxic else 0 end)::bigint as toxic_lost
+  from cell, steps group by part, filter_order, step, bit
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley from done join shares using (part, bit)
+"""

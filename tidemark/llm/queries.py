@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .html_extract import extract_text
 from .language_model import score_texts
 from .packing import pack
@@ -69,6 +70,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # beside the library, and gone where this subpackage is
 
@@ -76,8 +81,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scores, op3_url_filter, op4_exact_dedup, op5_packing, op6_toxicity, op7_quality_rules, op8_html_text, op9_quality_model, op10_bpe, pipeline)}
+    every = (
+        op1_ngram_join, op2_lm_scores, op3_url_filter, op4_exact_dedup, op5_packing, op6_toxicity, op7_quality_rules, op8_html_text, op9_quality_model, op10_bpe,
+        op13_filter_audit, pipeline,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": oracle.EXACT_DEDUP, "op7_quality_rules": oracle.QUALITY_RULES}
+    return {"op4_exact_dedup": oracle.EXACT_DEDUP, "op7_quality_rules": oracle.QUALITY_RULES, "op13_filter_audit": oracle.FILTER_AUDIT}
