@@ -45,6 +45,32 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from base left join removed using (doc_id)
 """
 
+SOURCE_DIVERGENCE = r"""
+with d as (
+  select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
+  from documents
+),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+kept as (select lang, term, count(*) c from w group by lang, term having count(distinct r) >= 3),
+size as (select lang, count(*) v, sum(c) n from kept group by lang),
+grp as (select distinct lang, source from d),
+own as (select lang, source, term, count(*) c from w semi join kept using (lang, term) group by lang, source, term),
+total as (select lang, source, sum(c) n from own group by lang, source),
+p as (
+  select lang, source, term, coalesce(o.c, 0) c, 1 + (1000000000::hugeint * (coalesce(o.c, 0) + 1)) // (coalesce(t.n, 0) + s.v) p, 1 + (1000000000::hugeint * (k.c + 1)) // (s.n + s.v) q
+  from grp join kept k using (lang) join size s using (lang) left join own o using (lang, source, term) left join total t using (lang, source)
+),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source left join sums s on a.lang = s.lang and a.source = s.source and b.source = s.item
+),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from p where c > 0 and p > q)
+select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pairs union all select * from terms)
+qualify part = 'pair' or rank <= 200
+"""
+
 FILTER_AUDIT = r"""
 with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') t from documents),
 w as (select doc_id, part, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda s: s <> '') words from d),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .best_fit import best_fit
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .filter_audit import filter_audit
@@ -18,6 +19,7 @@ from .packing import pack
 from .parity_join import parity_join
 from .quality_model import quality_model
 from .quality_rules import quality_rules
+from .source_divergence import source_divergence
 from .toxicity import toxicity
 from .url_filter import url_filter
 
@@ -70,6 +72,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -83,10 +94,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_join, op2_lm_scores, op3_url_filter, op4_exact_dedup, op5_packing, op6_toxicity, op7_quality_rules, op8_html_text, op9_quality_model, op10_bpe,
-        op13_filter_audit, pipeline,
+        op11_source_divergence, op12_best_fit_packing, op13_filter_audit, pipeline,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": oracle.EXACT_DEDUP, "op7_quality_rules": oracle.QUALITY_RULES, "op13_filter_audit": oracle.FILTER_AUDIT}
+    return {
+        "op4_exact_dedup": oracle.EXACT_DEDUP, "op7_quality_rules": oracle.QUALITY_RULES, "op11_source_divergence": oracle.SOURCE_DIVERGENCE, "op13_filter_audit": oracle.FILTER_AUDIT,
+    }
