@@ -164,7 +164,14 @@ def test_best_fit(spark, rows, monkeypatch, length, cells):
     monkeypatch.setattr(best_fit, "BROADCAST_CELLS", cells)
     docs = rows + [(100 + k, prose(k, 1 + k * 7 % 40), "a", "en") for k in range(300)]
     n, lengths = packed(spark, docs, length)
-    assert n <= -(-sum(lengths) // length) + 2
+    free: list[int] = []
+    for x in sorted(lengths, reverse=True):  # one by one, into the fullest sequence that has room
+        k = min((k for k, f in enumerate(free) if f >= x), key=lambda k: free[k], default=None)
+        if k is None:
+            free.append(length)
+            k = -1
+        free[k] -= x
+    assert n <= len(free)
 
 
 def test_best_fit_of_no_rows(spark):

@@ -139,20 +139,22 @@ class Plan:
         self.open[free].append((sequence, count, used))
         self.any[free] = True
 
-    def substitute(self, sizes: list[int], times: int, stock: Stock) -> None:
-        """Up to ``times`` new sequences of a configuration. Each size takes the longest piece that counts as long, and
-        the last one the longest that still fits, since the others leave what rounding added."""
+    def substitute(self, slots: list[tuple[int, int]], times: int, stock: Stock) -> None:
+        """Up to ``times`` new sequences of a configuration, whose slots have a size and the one below it. Each takes the
+        longest piece that counts as its size; the last one the longest that still fits, since the others leave what
+        rounding added. A slot for which no piece of its size is left ends this."""
         while times:
             free, taken = self.length, []
-            for k, size in enumerate(sizes):
-                x = stock.longest(free if k == len(sizes) - 1 else min(size, free))
-                if x:
-                    stock.left[x] -= 1
-                    taken.append(x)
-                    free -= x
+            for k, (size, below) in enumerate(slots):
+                x = stock.longest(free if k == len(slots) - 1 else size)
+                if x <= below:
+                    break
+                stock.left[x] -= 1
+                taken.append(x)
+                free -= x
             for x in taken:
                 stock.left[x] += 1
-            if not taken:
+            if len(taken) < len(slots):
                 return
             n = min(times, *(int(stock.left[x]) // taken.count(x) for x in taken))
             used = 0
@@ -194,7 +196,8 @@ def planned(histogram: dict[int, int], length: int, groups: int, least: int) ->
     sizes, demand = grouped(histogram, least, groups)
     if sizes:
         basis, x = configurations(sizes, demand, length)
-        every = [([s for s, n in zip(sizes, column, strict=True) for _ in range(n)], times) for column, times in zip(basis.T.astype(int).tolist(), np.floor(x + 1e-9).astype(int).tolist(), strict=True)]
+        slots = list(zip(sizes, [*sizes[1:], 0], strict=True))
+        every = [([s for s, n in zip(slots, column, strict=True) for _ in range(n)], times) for column, times in zip(basis.T.astype(int).tolist(), np.floor(x + 1e-9).astype(int).tolist(), strict=True)]
         for chosen, times in sorted(every, reverse=True):
             plan.substitute(chosen, times, stock)
     for x in np.flatnonzero(stock.left)[::-1].tolist():

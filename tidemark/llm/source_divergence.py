@@ -60,7 +60,7 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs) in held.items():
                 of = pa.array(list(n), pa.binary()).cast(pa.string())
-                cols = [pa.array([lang] * len(of)), pa.array([source] * len(of)), of, pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
+                cols = [pa.array([lang] * len(of), pa.string()), pa.array([source] * len(of), pa.string()), of, pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
             held.clear()
 
