@@ -30,7 +30,7 @@ from .store import cut, discard
 from .workers import frugal
 
 #: Numbers of groups, and least shares of a sequence that make a piece large; the plan with the fewest sequences stays.
-GROUPS, LARGE = (24, 48, 96), (1 / 3, 1 / 4)
+GROUPS, LARGE = (24, 48, 96), (1 / 2, 1 / 3, 1 / 4)
 #: Steps of the linear program for each size; every step has a valid solution.
 STEPS = 12
 #: Up to so many (task, length) cells are sent to all executors; beyond, pieces are joined with them.
