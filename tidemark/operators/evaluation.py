@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.local_regression import local_regression
 from tidemark.functions.quantiles import exact_quantiles
 
 from .timeseries import newest
@@ -115,6 +116,19 @@ def regression_eval(df: DataFrame, actual: str, pred: str) -> DataFrame:
     return df.select(F.round(actual, 2).alias("actual"), F.round(pred, 2).alias("predicted"), F.round(F.col(pred) - F.col(actual), 2).alias("difference"))
 
 
+def age_points(p: DataFrame, catalog: DataFrame, prices: DataFrame) -> DataFrame:
+    """(card_id, model, mape, days_since_release): mean errors of cards with their age on the last day of all prices; a
+    card that is yet to come out has the age 0. Cards without catalog entry or release day go."""
+    each = p.groupBy("card_id", "model").agg(F.avg("ape").alias("mape")).join(catalog.select(F.col("id").alias("card_id"), "released_at").where("released_at is not null"), "card_id")
+    last = prices.agg(F.max("date").alias("_last"))
+    return each.join(F.broadcast(last)).withColumn("days_since_release", F.greatest(F.datediff("_last", "released_at"), F.lit(0))).drop("_last", "released_at")
+
+
+def error_by_age(points: DataFrame, span: float = 0.75) -> DataFrame:
+    """Local regression of a card's mean error on its age, by model, at each age that a card has. All cards are points."""
+    return local_regression(points, "model", "days_since_release", "mape", span)
+
+
 def loess(df: DataFrame, by: str, x: str, y: str, span: float = 0.75) -> DataFrame:
     """Locally weighted quadratic fit at each distinct x of a group; groups are small tables of means.
 

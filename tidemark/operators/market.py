@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .asof import asof_join
 from .listings import on_latest_day
 
 
@@ -51,6 +52,21 @@ def float_value(listings: DataFrame, prices: DataFrame) -> DataFrame:
     return n.join(now, "id", "left").groupBy("date_pulled").agg(F.sum(F.col("n") * F.col("price")).alias("market_cap"), F.sum("n").alias("n_listings"))
 
 
+def priced_on_day(listings: DataFrame, prices: DataFrame, tolerance: str | None = None) -> DataFrame:
+    """Listings with the price that their card had on their day, and that price's own day; null before the first price
+    and, with a tolerance, where the last one is too old."""
+    known = prices.select(F.col("card_id").alias("id"), F.col("date").alias("date_pulled"), F.col("price").alias("price_then"))
+    return asof_join(listings, known, ["id"], "date_pulled", tolerance).withColumnRenamed("date_pulled_right", "price_date")
+
+
+def value_on_day(listings: DataFrame, prices: DataFrame) -> DataFrame:
+    """Ungraded listings at the price of their own day, by day. Listings are counted by card and day before the join, so
+    a card has as many rows in it as days."""
+    n = listings.where(~F.col("is_graded")).groupBy("date_pulled", "id").agg(F.count(F.lit(1)).alias("n"))
+    value = F.sum(F.col("n") * F.col("price_then")).alias("market_cap")
+    return priced_on_day(n, prices).groupBy("date_pulled").agg(value, F.sum("n").alias("n_listings"), F.sum(F.when(F.col("price_then").isNotNull(), F.col("n")).otherwise(0)).alias("n_priced"))
+
+
 def top_listed(listings: DataFrame, catalog: DataFrame, prices: DataFrame, k: int = 10) -> DataFrame:
     top = on_latest_day(listings, "date_pulled").groupBy("id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(k)
     now = latest_price(prices).select(F.col("card_id").alias("id"), "price")

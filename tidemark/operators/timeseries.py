@@ -151,10 +151,30 @@ def _entropy() -> Column:
     return F.when(F.col("sd") > 0, value)
 
 
+#: Longer series have their entropy from merge trees, card by card, instead of from pairs inside an array.
+LONG = 256
+
+
+def _long_entropy(df: DataFrame) -> DataFrame:
+    """(card_id, samp_entropy) of the series in ``df``, which has each card's ``sd``."""
+
+    def one(pdf):
+        import pandas as pd
+
+        from tidemark.functions import entropy
+
+        pdf = pdf.sort_values(["date", "price"])
+        value = entropy.sample_entropy(pdf["price"].to_numpy(float), pdf["sd"].iloc[0])
+        return pd.DataFrame({"card_id": [pdf["card_id"].iloc[0]], "samp_entropy": pd.Series([value], dtype="float64")})
+
+    return df.select("card_id", "date", "price", "sd").groupBy("card_id").applyInPandas(one, f"card_id {df.schema['card_id'].dataType.simpleString()}, samp_entropy double")
+
+
 def sample_entropy(prices: DataFrame, min_rows: int = 10) -> DataFrame:
-    """Sample entropy (m = 2, r = 0.2 sd) of each card's whole series."""
-    whole = _long_enough(prices, min_rows).groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("date", "price"))).alias("s"), F.stddev_samp("price").alias("sd"))
-    return whole.select("card_id", "sd", F.col("s.price").alias("x")).select("card_id", _entropy().alias("samp_entropy"))
+    """Sample entropy (m = 2, r = 0.2 sd) of each card's whole series. Time grows little faster than a series' length."""
+    df = _long_enough(prices, min_rows).withColumn("sd", F.stddev_samp("price").over(card()))
+    short = df.where(F.col("n") <= LONG).groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("date", "price"))).alias("s"), F.first("sd").alias("sd"))
+    return short.select("card_id", "sd", F.col("s.price").alias("x")).select("card_id", _entropy().alias("samp_entropy")).unionByName(_long_entropy(df.where(F.col("n") > LONG)))
 
 
 def hurst(prices: DataFrame, min_rows: int = 10) -> DataFrame:
@@ -173,7 +193,7 @@ def lag1_autocorrelation(prices: DataFrame, min_rows: int = 3) -> DataFrame:
 
 
 def ts_metrics(prices: DataFrame, min_rows: int = 10) -> DataFrame:
-    """All statistics of a card's series from one exchange by card: windows, then one aggregate."""
+    """All statistics of a card's series: windows by card, then one aggregate. The entropy of long series is joined."""
     before, sd = F.lag("price").over(old_first()), F.stddev_samp("price").over(card())
     df = _long_enough(prices, min_rows).withColumns({"before": before, "sd": sd, "y": F.col("price") - F.avg("price").over(card())})
     df = df.withColumn("c", F.sum("y").over(old_first().rowsBetween(W.unboundedPreceding, 0)))
@@ -182,11 +202,12 @@ def ts_metrics(prices: DataFrame, min_rows: int = 10) -> DataFrame:
     each = df.groupBy("card_id").agg(
         F.count(F.lit(1)).alias("n_days"), F.max_by("price", "date").alias("current_price"), F.avg("price").alias("avg_price"),
         (F.stddev_samp("price") / F.nullif(F.avg("price"), F.lit(0.0))).alias("cv"), F.skewness("price").alias("skewness"),
-        F.first("sd").alias("sd"), F.sort_array(F.collect_list(F.struct("date", "price"))).alias("s"),
+        F.first("sd").alias("sd"), F.sort_array(F.collect_list(F.when(F.col("n") <= LONG, F.struct("date", "price")))).alias("s"),
         F.when((F.first("sd") > 0) & (spread > 0), F.ln(spread / F.nullif(F.first("sd"), F.lit(0.0))) / F.ln(F.first("n"))).alias("hurst_exp"),
         (F.covar_pop(after, "before") / F.nullif(F.stddev_pop(after) * F.stddev_pop("before"), F.lit(0.0))).alias("lag1_corr"),
     )
-    each = each.withColumn("x", F.col("s.price")).withColumn("samp_entropy", _entropy())
+    each = each.withColumn("x", F.col("s.price")).withColumn("short", F.when(F.size("x") > 0, _entropy()))
+    each = each.join(_long_entropy(df.where(F.col("n") > LONG)), "card_id", "left").withColumn("samp_entropy", F.coalesce("short", "samp_entropy"))
     return each.select("card_id", "n_days", "current_price", "avg_price", "cv", "skewness", "samp_entropy", "hurst_exp", "lag1_corr")
 
 

@@ -65,6 +65,12 @@ def sparse_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(table(spark, sf_dir, "lineitem"), "l_partkey", "l_shipdate", F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)))
 
 
+def price_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as a guide publishes them: the mean of each month, on the first day of the next."""
+    month = F.add_months(F.trunc("date", "month"), 1)
+    return sparse_prices(spark, sf_dir).groupBy("card_id", month.alias("date")).agg(F.round(F.avg("price"), 6).alias("price"))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
