@@ -28,6 +28,7 @@ forecasts as (
 )
 """
 
+_GUIDE = "guide as (select card_id id, cast(date_trunc('month', date) + interval 1 month as date) price_date, round(avg(price), 6) price_then from sparse_prices group by all)"
 _LATEST = "latest as (select card_id, max(date) date, max_by(price, date) price from prices group by card_id)"
 _FILLED = """
 days as (select card_id, unnest(generate_series(min(date), max(date), interval 1 day))::date date from prices group by card_id),
@@ -244,6 +245,14 @@ SQL: dict[str, str] = {
     "raw_float_value": _q(
         "select date_pulled, round(sum(price), 2) market_cap, count(*) n_listings from listings left join (select card_id id, max_by(price, date) price from sparse_prices group by card_id) using (id) where not is_graded group by date_pulled"
     ),
+    "float_value_on_day": _q(
+        "select date_pulled, round(sum(n * price_then), 2) market_cap, cast(sum(n) as bigint) n_listings, cast(sum(case when price_then is not null then n else 0 end) as bigint) n_priced "
+        "from (select date_pulled, id, count(*) n from listings where not is_graded group by all) l asof left join guide g on l.id = g.id and l.date_pulled >= g.price_date group by date_pulled", _GUIDE
+    ),
+    "listing_premiums": _q(
+        "select item_id, date_pulled, case when ok then price_date end price_date, case when ok then price_then end price_then, round(price_val / nullif(case when ok then price_then end, 0) - 1, 6) premium "
+        "from (select l.*, price_date, price_then, date_pulled - price_date <= 365 ok from listings l asof left join guide g on l.id = g.id and l.date_pulled >= g.price_date)", _GUIDE
+    ),
     "card_listings_latest": _q("select item_id, price_val, is_graded, date_pulled from listings where id = '7' and date_pulled = (select max(date_pulled) from listings where id = '7')"),
     "card_listing_count": _q("select count(*) n, max(date_pulled) date_pulled from listings where id = '7' and date_pulled = (select max(date_pulled) from listings where id = '7')"),
     "selector_list": _q("select distinct set_name from catalog where rarity <> 'PROMO'"),
@@ -291,6 +300,40 @@ SQL: dict[str, str] = {
         "weighed as (select *, greatest(0, 1 - (abs(d) / h) ** 3) ** 3 w from near join reach using (model, x0))",
         "moments as (select model, x0, sum(w) s0, sum(w * d) s1, sum(w * d ** 2) s2, sum(w * d ** 3) s3, sum(w * d ** 4) s4, sum(w * y) t0, sum(w * d * y) t1, sum(w * d ** 2 * y) t2 from weighed group by all)",
     ),
+    "error_by_age": _q(
+        "select model, cast(x0 as bigint) days_since_release, any_value(own) n, round(case when abs(det) < 1e-9 * s0 ** 3 then t0 / s0 else (t0 * p - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det end, 5) smooth "
+        "from (select *, s2 * s4 - s3 * s3 p, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) det from moments) group by all",
+        _POOL,
+        "e as (select card_id, model, avg(ape) mape from pool group by all)",
+        "points as (select model, cast(greatest(0, newest - released_at) as double) x, count(*) n, sum(mape) t from e join catalog on id = card_id, (select max(date) newest from prices) where mape is not null group by all)",
+        "near as (select a.model, a.x x0, a.n own, b.x - a.x d, b.n, b.t, sum(b.n) over (partition by a.model, a.x order by abs(b.x - a.x)) c, sum(b.n) over (partition by a.model, a.x) every from points a join points b using (model))",
+        "reach as (select model, x0, min(abs(d)) h from near where c >= greatest(1, floor(0.75 * every + 1e-5)) group by all)",
+        "weighed as (select *, greatest(0, 1 - (abs(d) / greatest(h, 1e-12)) ** 3) ** 3 w, d / greatest(h, 1e-12) u from near join reach using (model, x0))",
+        "moments as (select model, x0, any_value(own) own, sum(w * n) s0, sum(w * n * u) s1, sum(w * n * u ** 2) s2, sum(w * n * u ** 3) s3, sum(w * n * u ** 4) s4, sum(w * t) t0, sum(w * t * u) t1, sum(w * t * u ** 2) t2 from weighed group by model, x0)",
+    ),
+    "metrics_by_day": _q(
+        "select card_id, count(*) n_days, max_by(price, date) current_price, round(avg(price), 5) avg_price, round(stddev_samp(price) / nullif(avg(price), 0), 5) cv, "
+        "round((avg(price ** 3) - 3 * avg(price) * avg(price ** 2) + 2 * avg(price) ** 3) / nullif(var_pop(price), 0) ** 1.5, 5) skewness, "
+        "round(covar_pop(price, b) / nullif(stddev_pop(case when b is not null then price end) * stddev_pop(b), 0), 5) lag1_corr from l group by card_id having count(*) >= 10",
+        "l as (select *, lag(price) over (partition by card_id order by date) b from prices)",
+    ),
+    "chaos_by_day": _q(
+        "select card_id, round(net_change, 5) net_change, round(sum_of_changes, 5) sum_of_changes, round(span_range, 5) span_range, round(efficiency_ratio, 5) efficiency_ratio, round(chaos_cv, 5) chaos_cv from chaos", _chaos("prices", 7)
+    ),
+    "retention_delete": _q(
+        "select target_date, count(*) n, any_value(gone) dropped, 0 dropped_again from resid, (select cast(count(distinct target_date) as integer) gone from resid where target_date < date '2024-04-22' - 90) "
+        "where target_date >= date '2024-04-22' - 90 group by target_date", _POOL
+    ),
+    "queue_stream": _q("select distinct item_id, id, name from listings join catalog using (id)"),
+    "scored_rounds": _q(
+        "select case when bad then 'ERROR' else 'OK' end status, case when not bad then true end is_valid, case when not bad then g end is_graded, case when not bad and g then 'PSA' end grading_company, case when not bad and g then '10' end grade_val, "
+        "cast(case when bad then 2 else 1 end as bigint) rounds, count(*) n from (select distinct item_id, listing_title like '%italian' bad, listing_title like '%psa 10' g from listings) group by all"
+    ),
+    "card_search": _q(
+        "select id, date_pulled, item_id, round(any_value(price_val), 6) price_val, any_value(regexp_matches(lower(listing_title), 'psa|cgc|bgs|sgc|grade|graded|slab')) is_graded, "
+        "max(case when n % 2 = 1 or pull_source = 'TEXT' then 'Text' else 'EPID' end) pull_source, any_value(case when n > 1 then 'FIXED_PRICE, AUCTION' else 'UNKNOWN' end) listing_type, cast(date_pulled as varchar) posted_date "
+        "from (select *, cast(split_part(item_id, '-', 2) as integer) n from listings) group by id, date_pulled, item_id"
+    ),
     "outlier_flags": _q(
         "select card_id, model, round(mape, 6) mape, coalesce(round(mape, 9) > round(a + 2 * coalesce(s, 0), 9), false) is_outlier from e join (select model, avg(mape) a, stddev_samp(mape) s from e group by model) using (model)",
         _POOL, "e as (select card_id, model, avg(ape) mape from pool group by all)",

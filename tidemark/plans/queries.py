@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions import search
 from tidemark.operators import evaluation as ev
 from tidemark.operators import features as fe
 from tidemark.operators import forecasts as fc
+from tidemark.operators import incremental as inc
 from tidemark.operators import listings as li
 from tidemark.operators import market as mk
+from tidemark.operators import scoring as sc
 from tidemark.operators import timeseries as ts
 from tidemark.sources import nested as ne
 from tidemark.sources import sinks
 from tidemark.sources import tables as tb
+from tidemark.streaming import queue as qu
 from tidemark.streaming import volume as vo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +270,19 @@ def top20_active(s, d):
     return li.top_active(tb.listings(s, d), tb.catalog(s, d))
 
 
+@query
+def float_value_on_day(s, d):
+    """Market value of each day at the guide's prices of that day."""
+    return rounded(mk.value_on_day(tb.listings(s, d), tb.price_guide(s, d)), "market_cap", to=2)
+
+
+@query
+def listing_premiums(s, d):
+    """Every listing against the guide's price on its day, at most a year old."""
+    df = mk.priced_on_day(tb.listings(s, d).select("item_id", "id", "date_pulled", "price_val"), tb.price_guide(s, d), "365 days")
+    return df.select("item_id", "date_pulled", "price_date", "price_then", F.round(F.col("price_val") / F.nullif(F.col("price_then"), F.lit(0.0)) - 1, 6).alias("premium"))
+
+
 @query
 def top10_active(s, d):
     return mk.top_listed(tb.listings(s, d), tb.catalog(s, d), tb.sparse_prices(s, d))
@@ -541,6 +558,97 @@ def volume_stream(s, d):
     return s.read.schema("day date, event_type string, n bigint").parquet(path)
 
 
+def _kept_up(s, d, holdout: int) -> DataFrame:
+    """A state of the days up to the twentieth, and of each further day merged after it; the last day comes twice."""
+    p = tb.prices(s, d)
+    table = inc.StateTable(s, scratch(s, "state"))
+    table.merge(p.where(f"date <= '{AS_OF}'"), holdout)
+    days = [r[0] for r in p.where(f"date > '{AS_OF}'").select("date").distinct().orderBy("date").collect()]  # ten
+    for day in [*days, *days[-1:]]:
+        table.merge(p.where(F.col("date") == F.lit(day)), holdout)
+    return table.read()
+
+
+@query
+def metrics_by_day(s, d):
+    return rounded(inc.metrics_of(_kept_up(s, d, 0)), "avg_price", "cv", "skewness", "lag1_corr", to=5)
+
+
+@query
+def chaos_by_day(s, d):
+    return rounded(inc.chaos_of(_kept_up(s, d, 7)), "net_change", "sum_of_changes", "span_range", "efficiency_ratio", "chaos_cv", to=5)
+
+
+@query
+def retention_delete(s, d):
+    """Residuals by day in storage, pruned twice: what is left there."""
+    path = scratch(s, "retention")
+    sinks.replace_partitions(ev.residuals(tb.forecasts(s, d), tb.prices(s, d)), path, "target_date")
+    first = sinks.prune(s, path, "target_date", "2024-04-22")
+    again = sinks.prune(s, path, "target_date", "2024-04-22")
+    left = s.read.parquet(path).groupBy(F.col("target_date").cast("date").alias("target_date")).agg(F.count(F.lit(1)).alias("n"))
+    return left.withColumns({"dropped": F.lit(first), "dropped_again": F.lit(again)})
+
+
+@query
+def queue_stream(s, d):
+    """Items to enrich, from a stream that brings half a year twice and then everything new, in two runs and an idle one."""
+    source, path, at = scratch(s, "arrived"), scratch(s, "queue"), scratch(s, "state")
+    l = tb.listings(s, d).select("item_id", "id", "listing_title", "date_pulled")
+    for part in ("date_pulled < '1996-01-01'", "date_pulled >= '1995-07-01'", None):
+        if part:
+            l.where(part).write.mode("append").parquet(source)
+        qu.run_queue(s.readStream.schema(l.schema).parquet(source), "date_pulled", path, at, "400 days")
+    return qu.queued(s, path).join(tb.catalog(s, d).select("id", "name"), "id").select("item_id", "id", "name")
+
+
+def _grader():
+    """A client with the fields of a language model's replies, from words of the title. It can't be reached for titles
+    that name an Italian card."""
+    import json
+    import re
+
+    def ask(rows: list[dict]) -> list[str]:
+        if any(r["listing_title"].endswith("italian") for r in rows):
+            raise ConnectionError("no answer")
+        out = []
+        for r in rows:
+            grade = re.search(r"\bpsa (\d+)\b", r["listing_title"].lower())
+            out.append(json.dumps({"validity": "Match", "is_graded": bool(grade), "grading_company": "PSA" if grade else "NA", "grade_value": grade[1] if grade else "NA"}))
+        return out
+
+    return ask
+
+
+@query
+def scored_rounds(s, d):
+    """Two rounds of scoring by a service that fails for some titles: these are tried again and stay in the queue."""
+    path, l = scratch(s, "enriched"), tb.listings(s, d).select("item_id", "id", "listing_title")
+    for _ in range(2):
+        sc.score_round(s, l, path, _grader, pause=0.0, retries=1)
+    tries = s.read.schema(sc.ENRICHED).parquet(path).groupBy("item_id").agg(F.count(F.lit(1)).alias("rounds"))
+    out = sc.enriched(s, path).join(tries, "item_id")
+    return out.groupBy("status", "is_valid", "is_graded", "grading_company", "grade_val", "rounds").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def card_search(s, d):
+    """Replies to searches by text and by product for each card and day, as a table function gives their items."""
+    l = tb.listings(s, d).withColumn("n", F.split("item_id", "-")[1].cast("int"))
+    item = F.struct(
+        F.col("item_id").alias("itemId"), F.col("listing_title").alias("title"), F.struct(F.concat(F.lit("$"), F.col("price_val").cast("string")).alias("value")).alias("price"),
+        F.when(F.col("n") > 1, F.array(F.lit("FIXED_PRICE"), F.lit("AUCTION"))).alias("buyingOptions"), F.concat(F.col("date_pulled").cast("string"), F.lit("T12:00:00.000Z")).alias("itemCreationDate"),
+    )
+    searches = F.explode(F.array_compact(F.array(
+        F.when((F.col("n") % 2 == 1) | (F.col("pull_source") == "TEXT"), F.struct(F.lit(1).alias("turn"), F.lit("Text").alias("source"))), F.when(F.col("pull_source") == "EPID", F.struct(F.lit(2).alias("turn"), F.lit("EPID").alias("source"))),
+    )))
+    replies = l.select("id", F.col("date_pulled").alias("day"), searches.alias("q"), item.alias("item")).groupBy("id", "day", "q.turn", "q.source").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list("item").alias("itemSummaries"))).alias("body"))
+    nothing = tb.catalog(s, d).select("id", F.col("released_at").alias("day"), F.lit(1).alias("turn"), F.lit("Text").alias("source"), F.when(F.col("cost") % 2 == 0, '{"total":0}').otherwise("{cut o").alias("body"))
+    search.register(s)
+    found = s.sql("select * from card_search(table({replies}))", replies=replies.unionByName(nothing))
+    return found.select("id", F.col("day").alias("date_pulled"), "item_id", F.round("price_val", 6).alias("price_val"), "is_graded", "pull_source", "listing_type", "posted_date")
+
+
 # ---- forecasts and their errors
 
 
@@ -670,6 +778,13 @@ def error_loess(s, d):
     return rounded(ev.loess(_pool(s, d).groupBy("model", "day_offset").agg(F.avg("ape").alias("mape")), "model", "day_offset", "mape"), "smooth", to=5)
 
 
+@query
+def error_by_age(s, d):
+    p = tb.prices(s, d)
+    out = ev.error_by_age(ev.age_points(_pool(s, d), tb.catalog(s, d), p))
+    return rounded(out, "smooth", to=5).withColumn("days_since_release", F.col("days_since_release").cast("bigint"))
+
+
 @query
 def outlier_flags(s, d):
     return rounded(ev.outliers(_pool(s, d)), "mape")

@@ -43,6 +43,34 @@ def retained(df: DataFrame, day: str, as_of: str, days: int = 90) -> DataFrame:
     return df.where(F.col(day) >= F.date_sub(F.lit(as_of).cast("date"), days))
 
 
+def drop_partitions_before(spark: SparkSession, path: str, partition: str, first: str) -> int:
+    """Deletes whole partitions whose day (in the folder's name) is before ``first``, and says how many: nothing is read
+    or written, and a second call finds none. Rows without a day stay."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith(f"{partition}=") and s.getPath().getName().split("=", 1)[1] < first[:10]]
+    old = [p for p in old if p.getName().split("=", 1)[1][:1].isdigit()]  # not the default partition of nulls
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
+def prune(spark: SparkSession, path: str, partition: str, as_of: str, days: int = 90) -> int:
+    """Retention of a table that is partitioned by day: partitions older than so many days before ``as_of`` go."""
+    import datetime
+
+    first = datetime.date.fromisoformat(as_of) - datetime.timedelta(days=days)
+    return drop_partitions_before(spark, path, partition, first.isoformat())
+
+
+def layout_by_card(df: DataFrame, table: str, buckets: int = 64, by: str = "card_id", order: str = "date") -> None:
+    """A catalog table in buckets of a card, each in the order of cards and days: what is asked by card, and joins by card,
+    then need no exchange. Joins by card and day need none where spark.sql.requireAllClusterKeysForCoPartition is off. It
+    takes the place of an index on the card."""
+    df.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by, order).format("parquet").saveAsTable(table)
+
+
 def create_if_absent(spark: SparkSession, table: str, columns: str, path: str) -> None:
     """A table over a folder, unless there is one of that name; what it has stays. Keys are for ``insert_if_absent``."""
     spark.sql(f"create table if not exists {table} ({columns}) using parquet location '{path}'")
