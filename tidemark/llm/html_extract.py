@@ -4,13 +4,14 @@ The DOMs of a host's pages are merged: a node of the tree is a path of elements
 and all sequences of child elements (its styles) that pages have there. For a node on m pages, a content on c of
 them counts 1 - log c / log m, and styles count with their entropy to the base m. A node matters if either varies:
 importance = 1 - (1 - content) * (1 - style). Every block of every page is part of the tree; pages with the same
-texts are one page. What a node is by its tag, role or class is a weight on its importance: menus, footers, adverts
-and the like weigh half, what stands in an article counts more. Nodes whose weighted importance is below ``LEAST``
-are removed from each page with all that is under them.
+texts are one page. What a node is by its tag, role or class is a weight on its importance. Menus, footers, forms,
+adverts and the like always go. What stands in an article counts more; there, a class that may or may not name such a
+thing only makes a node doubtful, and one on a paragraph or a word says nothing. Nodes whose weighted importance is below
+``LEAST`` are removed from each page with all that is under them.
 
 A host's own tree tells of a node that ``PAGES`` of its pages have; else the tree of all hosts tells, if it is on
-``PAGES_OF_ALL`` pages of ``HOSTS`` hosts; else nothing but the weight does. Where a page has an article, only that is
-looked at.
+``PAGES_OF_ALL`` pages of ``HOSTS`` hosts; else nothing but the weight does. Where articles hold most of what is left of a
+page, only they are taken.
 """
 
 from __future__ import annotations
@@ -35,18 +36,22 @@ PAGES, PAGES_OF_ALL, HOSTS = 6, 30, 3
 RARE, RARE_OF_ALL = 200, 2000
 #: Models with at most so many nodes are sent to all executors; larger ones are joined by host.
 BROADCAST_ROWS = 200_000
-#: Weights: an element that is no main text by what it is; one in an article; one that is never removed as a whole.
-NOISE, INSIDE, WHOLE = 0.5, 1.5, 10.0
+#: Weights: an element that is no main text by what it is; one in an article that may be none; others in an article;
+#: one that is never removed as a whole.
+NOISE, DOUBT, INSIDE, WHOLE = 0.5, 0.8, 1.5, 10.0
 #: Elements by kind, and words of classes, ids and roles.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW = frozenset("script style textarea title template iframe svg object".split())
 NEVER = frozenset("head nav footer aside form button select menu dialog".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices sidebar comment comments disqus respond reply replies nav navbar navigation menu breadcrumb breadcrumbs footer share sharing social related newsletter subscribe popup modal widget complementary contentinfo search alert".split()
 )
+#: Of these words, those that rule out a part of an article, and elements that such words don't rule out.
+STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent comment comments disqus respond reply replies nav navbar navigation breadcrumb breadcrumbs share sharing newsletter subscribe popup modal".split())
+TEXTUAL = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that say nothing beside such a word: ``page-footer`` is a footer, ``share-price`` is not for sharing.
 NEUTRAL = frozenset("area bar block bottom box button buttons container content form global group inner item items left link links list main media outer overlay page panel primary right secondary section site slot text top unit wrap wrapper zone".split())
@@ -59,6 +64,8 @@ SCOPES = frozenset("article aside blockquote body dl div footer form header html
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?/][^>]*>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z0-9]+")
+#: In the page itself: a copy in lower case may be longer, which moves all places.
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in RAW}
 
 
 def says_noise(name: str) -> bool:
@@ -67,6 +74,11 @@ def says_noise(name: str) -> bool:
     return any(p in HINTS for p in parts) and all(p in HINTS or p in NEUTRAL or p.isdigit() for p in parts)
 
 
+def says_strong(name: str) -> bool:
+    """Whether such a name also rules out a part of an article."""
+    return any(p in STRONG for p in PART.findall(name.lower()))
+
+
 class Page:
     """Blocks of a page in order: (text, path, weights of the path's elements), and of each path the children's
     sequence."""
@@ -93,7 +105,7 @@ class Page:
         """Closes all open elements from the k-th on."""
         if any(t in BLOCKS for t in self.tags[k:]):
             self._end_block()
-        self.hidden -= sum([w < 1 and t not in BLOCKS for t, w in zip(self.tags[k:], self.weights[k:], strict=True)])
+        self.hidden -= sum([w == NOISE and t not in BLOCKS for t, w in zip(self.tags[k:], self.weights[k:], strict=True)])
         del self.tags[k:], self.path[k:], self.weights[k:]
 
     def _open(self, tag: str, attributes: str) -> None:
@@ -116,11 +128,16 @@ class Page:
         noise = tag in NEVER or (not inside and (tag == "header" or (tag not in HEADINGS and any("header" in PART.findall(n.lower()) for n in names))))
         if tag in ("html", "body", "article", "main"):
             weight = WHOLE
-        elif noise or any(map(says_noise, names)):
+        elif noise:
             weight = NOISE
-            self.hidden += tag not in BLOCKS
+        elif hints := [n for n in names if says_noise(n)]:
+            if not inside or (tag in BLOCKS - TEXTUAL and any(map(says_strong, hints))):
+                weight = NOISE
+            else:
+                weight = DOUBT if tag in BLOCKS - TEXTUAL else INSIDE
         else:
             weight = INSIDE if inside else 1.0
+        self.hidden += weight == NOISE and tag not in BLOCKS
         name = ".".join([tag, *sorted(named.get("class", "").split())])
         if tag in BLOCKS:
             self.children.setdefault(tuple(self.path), []).append(name)
@@ -129,7 +146,7 @@ class Page:
         self.weights.append(weight)
 
     def _read(self, source: str) -> None:
-        at, low = 0, None
+        at = 0
         while (m := TAG.search(source, at)) is not None:
             if m.start() > at and not self.hidden:
                 self.text.append(source[at : m.start()])
@@ -145,9 +162,8 @@ class Page:
                     if self.tags[k] in ("body", "html") or (self.tags[k] in SCOPES and tag not in SCOPES):
                         break
             elif tag in RAW and not m[3].endswith("/"):
-                low = source.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                at = len(source) if end < 0 else (low.find(">", end) + 1 or len(source))
+                end = ENDS[tag].search(source, at)
+                at = len(source) if end is None else (source.find(">", end.end()) + 1 or len(source))
             else:
                 self._open(tag, m[3])
         if not self.hidden:
@@ -168,9 +184,6 @@ class Page:
         return out
 
     def main(self, importance: Callable[[int], float]) -> str:
-        blocks = self.blocks
-        if articles := [b for b in blocks if any(x.split(".")[0] in ("article", "main") for x in b[1])]:
-            blocks = articles
         known: dict[tuple[str, ...], float] = {}
 
         def stays(path: tuple[str, ...], weights: tuple[float, ...]) -> bool:
@@ -181,7 +194,10 @@ class Page:
                     return False
             return True
 
-        return "\n\n".join([text for text, path, weights in blocks if weights.count(WHOLE) == len(weights) or stays(path, weights)])
+        left = [(text, any(x.split(".")[0] in ("article", "main") for x in path)) for text, path, weights in self.blocks if weights.count(WHOLE) == len(weights) or stays(path, weights)]
+        size = sum(len(text) if inside else -len(text) for text, inside in left)
+        articles = any(inside for _, inside in left) and size >= 0
+        return "\n\n".join([text for text, inside in left if inside or not articles])
 
 
 def _hash(s: str) -> int:
@@ -244,11 +260,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), split_url(F.col(url_col))[0].alias("host"))
     own, every = style_tree(rows.select("host", "html"))
-    # Without noise, which always goes, no weight is below 1: of more important nodes only those that overrule count.
-    every = cut(every.where(F.col("importance") < LEAST), "nodes-of-all")
+    # Without noise, which always goes, no weight is below DOUBT: of more important nodes only those that overrule count.
+    every = cut(every.where(F.col("importance") < LEAST / DOUBT), "nodes-of-all")
     general = {r.path: r.importance for r in every.collect()}  # a bounded number
     overruled = F.broadcast(every.select("path", F.lit(True).alias("general")))
-    own = own.join(overruled, "path", "left").where((F.col("importance") < LEAST) | F.col("general"))
+    own = own.join(overruled, "path", "left").where((F.col("importance") < LEAST / DOUBT) | F.col("general"))
     model = cut(own.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("known"), F.count(F.lit(1)).alias("k")), "style-tree")
     size = model.agg(F.sum("k")).first()[0] or 0
     chosen = model.select("host", "known")
