@@ -206,10 +206,10 @@ def _step(m: Model, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray,
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the fewest errors, clean texts counting double; in the middle of the widest such gap."""
+    """The threshold with the fewest errors, in the middle of the widest such gap."""
     order = np.argsort(z)
     z, y = z[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + 2 * np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
+    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     gap = edges[1:] - edges[:-1]
     best = np.flatnonzero(wrong == wrong.min())
