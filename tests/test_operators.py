@@ -225,3 +225,38 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_movers_from_one_aggregate(spark):
+    from tidemark.operators import market as mk
+
+    rows = [("b", 5.0, 50.0), ("a", 5.0, 50.0), ("c", -1.0, None), ("d", -3.0, -20.0), ("e", None, None)]
+    change = spark.createDataFrame(rows, "card_id string, abs_change double, pct_change double")
+    got = mk.movers(change)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r.tag: r.card_id for r in got.collect()} == {"top_pct": "a", "low_pct": "d", "top_abs": "a", "low_abs": "d"}
+    assert mk.movers(change.where("card_id = 'e'")).count() == 0 and mk.movers(change.where("false")).count() == 0
+
+
+def test_momentum_needs_an_old_price(spark):
+    from tidemark.operators import market as mk
+
+    day = lambda k: D(2024, 1, 1) + dt.timedelta(days=k)
+    rows = [("a", day(0), 2.0), ("a", day(2), 4.0), ("a", day(10), 5.0), ("new", day(5), 1.0), ("stale", day(1), 3.0), ("unknown", day(1), None), ("unknown", day(9), 3.0), ("zero", day(0), 0.0), ("zero", day(9), 3.0)]
+    got = {r.card_id: (r.price_cur, r.price_past, r.abs_change, r.pct_change) for r in mk.momentum(spark.createDataFrame(rows, tb.PRICE_SCHEMA)).collect()}
+    assert got == {"a": (5.0, 4.0, 1.0, 25.0), "stale": (3.0, 3.0, 0.0, 0.0), "unknown": (3.0, None, None, None), "zero": (3.0, 0.0, 3.0, None)}
+
+
+def test_rollup_and_box_of_null_errors(spark):
+    rows = [("m", 1, D(2024, 1, 1), "a", 0.1), ("m", 1, D(2024, 1, 1), "b", None), ("m", 1, D(2024, 1, 1), "c", 0.3), ("n", 1, D(2024, 1, 1), "a", None)]
+    df = spark.createDataFrame(rows, "model_type string, horizon int, target_date date, card_id string, error_abs_pct double")
+    got = {r.model_type: (r.mean_error_pct, r.card_count, r.median_error_pct) for r in ev.rollup(df).collect()}
+    assert got["m"] == (pytest.approx(0.2), 3, pytest.approx(0.2)) and got["n"] == (None, 1, None)
+    box = ev.box_stats(df.withColumnRenamed("error_abs_pct", "ape").withColumn("tier", F.lit(None).cast("int")), "model_type", "tier").collect()
+    assert [(r.model_type, r.tier, r.median, r.n) for r in box] == [("m", None, 0.2, 2)]
+
+
+def test_titles_with_numbers_of_any_form(spark):
+    rows = [("204/204", "red bolt enchanted 204/204 foil"), ("4", "red bolt enchanted 4/204"), ("20", "red bolt enchanted 204/204"), ("", "red bolt enchanted"), (None, "red bolt enchanted 4"), ("a1", "red bolt enchanted A1")]
+    df = spark.createDataFrame([(k, "red bolt", "", "Enchanted", n, t, "TEXT", 25.0) for k, (n, t) in enumerate(rows)], "item_id int, name string, version string, rarity string, number string, listing_title string, pull_source string, price_val double")
+    assert sorted(r.item_id for r in li.title_filter(df).collect()) == [0, 1, 5]

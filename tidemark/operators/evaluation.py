@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.local_regression import local_regression
-from tidemark.functions.quantiles import exact_quantiles
+from tidemark.functions.quantiles import counted_values, exact_quantiles, quantiles_of
 
 from .timeseries import newest
 
@@ -26,9 +26,13 @@ def residuals(forecasts: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def rollup(residuals_: DataFrame) -> DataFrame:
+    """Mean and median error and the number of cards by model, horizon and day. Rows without a card don't exist here, so
+    all three come from the counts of values."""
     keys = ["model_type", "horizon", "target_date"]
-    mean = residuals_.groupBy(*keys).agg(F.avg("error_abs_pct").alias("mean_error_pct"), F.count("card_id").alias("card_count"))
-    return mean.join(exact_quantiles(residuals_, keys, "error_abs_pct", {"median_error_pct": 0.5}), keys, "left")
+    counted = counted_values(residuals_, keys, "error_abs_pct")
+    known = F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")))
+    mean = counted.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_c")) / known).alias("mean_error_pct"), F.sum("_c").alias("card_count"))
+    return mean.join(quantiles_of(counted, keys, {"median_error_pct": 0.5}), keys, "left")
 
 
 def pool(forecasts: DataFrame, prices: DataFrame, tiers: DataFrame) -> DataFrame:
@@ -102,8 +106,9 @@ def error_trend(p: DataFrame, volatility: DataFrame) -> DataFrame:
 
 
 def box_stats(p: DataFrame, *keys: str) -> DataFrame:
-    q = exact_quantiles(p, list(keys), "ape", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    ends = p.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min("ape").alias("lo"), F.max("ape").alias("hi"), F.count("ape").alias("n"))
+    counted = counted_values(p, list(keys), "ape")
+    q = quantiles_of(counted, list(keys), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    ends = counted.where("_v is not null").groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_c").alias("n"))
     same = F.lit(True)
     for k in keys:
         same = same & q[k].eqNullSafe(ends[f"{k}_"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .timeseries import gapfill_daily, label_codes, minmax_by_card, scaled, zscore
 
@@ -40,12 +41,15 @@ def feature_table(prices: DataFrame, catalog: DataFrame) -> DataFrame:
     cards = meta.join(spans, "card_id")
     floor = lambda days: F.when(days < 0, 0).otherwise(days)
     age = lambda day: floor(F.datediff(day, "released_at"))
-    ends = cards.agg(F.min("cost").alias("cost_lo"), F.max("cost").alias("cost_hi"), F.min(age("_first")).alias("days_lo"), F.max(age("_last")).alias("days_hi"))
-    coded = cards.drop("_first", "_last")
-    for c, out in (("name", "name_idx"), ("set_name", "set_idx"), ("rarity", "rarity_idx")):
-        coded = label_codes(coded, c, out)
+    # One row for each card: all codes and extremes come from it in one pass.
+    every = W.partitionBy()
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.dense_rank().over(W.orderBy(F.asc_nulls_last(c))) - 1)
+    coded = cards.withColumns({
+        "name_idx": rank("name"), "set_idx": rank("set_name"), "rarity_idx": rank("rarity"), "cost_lo": F.min("cost").over(every), "cost_hi": F.max("cost").over(every),
+        "days_lo": F.min(age("_first")).over(every), "days_hi": F.max(age("_last")).over(every),
+    }).drop("_first", "_last")
     df = gapfill_daily(prices).where("price is not null").join(coded, "card_id").withColumn("days_since_release", age("date"))
-    df = minmax_by_card(df).join(F.broadcast(ends))
+    df = minmax_by_card(df)
     df = df.withColumns({"cost_scaled": scaled(F.col("cost").cast("double"), F.col("cost_lo"), F.col("cost_hi")), "days_since_release_scaled": scaled(F.col("days_since_release").cast("double"), F.col("days_lo"), F.col("days_hi"))})
     return df.drop("cost_lo", "cost_hi", "days_lo", "days_hi")
 

@@ -73,7 +73,10 @@ def title_filter(listings: DataFrame) -> DataFrame:
     names = F.filter(F.split(F.lower("name"), r"\s+|-"), lambda w: F.length(w) >= 3)
     versions = F.filter(F.split(F.regexp_replace(F.lower("version"), r"[^\w\s]|_", " "), r"\s+"), lambda w: F.length(w) > 3)
     rarity = F.array(F.lower("rarity"), *[F.lit(w) for w in RARITY_WORDS])
-    number = F.coalesce((F.col("number") != "") & F.regexp(title, F.concat(F.lit(r"\b"), F.col("number"), F.lit(r"\b"))), F.lit(False))
+    # A number that is one word is among the title's words; only others need a pattern of their own.
+    is_word = F.array_contains(F.split(title, r"[^\p{L}\p{Nd}_]+"), F.col("number"))
+    number = F.when(F.col("number").rlike(r"^\w+$"), is_word).when(F.col("number") != "", F.regexp(title, F.concat(F.lit(r"\b"), F.col("number"), F.lit(r"\b"))))
+    number = F.coalesce(number, F.lit(False))
     fits = (F.col("pull_source") == "EPID") | (has(rarity) & (number | F.coalesce(has(versions), F.lit(False))))
     return listings.where(F.forall(names, lambda w: F.contains(title, w)) & fits & ~title.rlike(BLACKLIST) & F.coalesce(F.col("price_val") >= PRICE_FLOOR, F.lit(False)))
 

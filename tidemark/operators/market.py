@@ -17,22 +17,23 @@ def latest_price(prices: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def momentum(prices: DataFrame, days: int = 7) -> DataFrame:
-    """Latest price against the latest at least ``days`` before the last day of all."""
+    """Latest price against the latest at least ``days`` before the last day of all, from one aggregate by card."""
     last = prices.agg(F.max("date").alias("_last"))
-    past = latest_price(prices.join(F.broadcast(last), F.col("date") <= F.date_sub("_last", days)).drop("_last"))
-    now = latest_price(prices).select("card_id", F.col("price").alias("price_cur"))
-    both = now.join(past.select("card_id", F.col("price").alias("price_past")), "card_id")
+    at, old = F.struct("date", "price"), F.col("date") <= F.date_sub("_last", days)
+    both = prices.join(F.broadcast(last)).groupBy("card_id").agg(F.max_by("price", at).alias("price_cur"), F.max_by("price", F.when(old, at)).alias("price_past"), F.count(F.when(old, 1)).alias("_n"))
     change = F.col("price_cur") - F.col("price_past")
-    return both.withColumns({"abs_change": change, "pct_change": 100 * change / F.nullif(F.col("price_past"), F.lit(0.0))})
+    return both.where("_n > 0").drop("_n").withColumns({"abs_change": change, "pct_change": 100 * change / F.nullif(F.col("price_past"), F.lit(0.0))})
 
 
 def movers(change: DataFrame) -> DataFrame:
-    """The card with the largest rise and fall, in per cent and in money."""
-    out = None
-    for tag, order in (("top_pct", F.desc("pct_change")), ("low_pct", F.asc("pct_change")), ("top_abs", F.desc("abs_change")), ("low_abs", F.asc("abs_change"))):
-        one = change.orderBy(order, "card_id").limit(1).withColumn("tag", F.lit(tag))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The card with the largest rise and fall, in per cent and in money; the first of equal ones. One aggregate finds all
+    four; a card whose change isn't known is none of them."""
+    whole = F.struct(*change.columns)
+    first = lambda c, sign: F.min_by(whole, F.when(F.col(c).isNotNull(), F.struct((sign * F.col(c)).alias("c"), "card_id")))
+    ways = {"top_pct": ("pct_change", -1), "low_pct": ("pct_change", 1), "top_abs": ("abs_change", -1), "low_abs": ("abs_change", 1)}
+    one = change.agg(*[first(*how).alias(tag) for tag, how in ways.items()])
+    each = one.select(F.explode(F.array(*[F.struct(F.col(tag).alias("r"), F.lit(tag).alias("tag")) for tag in ways])).alias("e")).select("e.*")
+    return each.where("r is not null").select("r.*", "tag")
 
 
 def sparkline(prices: DataFrame, cards: DataFrame, days: int = 7) -> DataFrame:

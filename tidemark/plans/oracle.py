@@ -279,7 +279,7 @@ SQL: dict[str, str] = {
         "select item_id, listing_title, price_val, regexp_matches(lower(listing_title), 'psa|cgc|bgs|sgc|grade|graded|slab') is_graded, case n % 3 when 1 then 'FIXED_PRICE' when 2 then 'AUCTION, BEST_OFFER' else 'UNKNOWN' end listing_type, cast(date_pulled as varchar) posted_date "
         "from (select *, cast(split_part(item_id, '-', 2) as integer) n from listings)"
     ),
-    "files_by_id": "select cast(n_nationkey as varchar) id, 'set' || (n_nationkey % 3) || '/' || n_nationkey || '.front.avif' file from nation where n_nationkey % 5 <> 0",
+    "files_by_id": "select distinct strftime(o_orderdate, '%Y%m') id, 'year=' || year(o_orderdate) || '/file=' || strftime(o_orderdate, '%Y%m') || '.front' folder from orders where month(o_orderdate) <> 1",
     "column_probe": _q("select card_id, cast(null as date) date, price from prices"),
     "lenient_casts": "select p_partkey, case when p_partkey % 3 = 1 then cast(p_size as double) end as cost, case when p_partkey % 3 = 1 then p_size else 0 end cost_code from part",
     "create_if_absent": _q("select true is_valid, count(distinct item_id) n from listings where split_part(item_id, '-', 2) <> '6'"),
@@ -347,7 +347,7 @@ SQL: dict[str, str] = {
     "batch_requests": _q("select cast(ceil(k / 20) as integer) batch, cast(count(*) as integer) n, min(tcgplayer_id) first_id, max(tcgplayer_id) last_id from (select tcgplayer_id, row_number() over (order by tcgplayer_id) k from catalog) group by 1"),
     "offset_page": _q("select tcgplayer_id, name from catalog order by tcgplayer_id limit 25 offset 50"),
     "csv_round_trip": _q("select * from prices"),
-    "missing_source": _q("select * from prices where false"),
+    "missing_source": _q("select card_id, count(*) n_days, max(date) last_day from prices group by card_id"),
     "parquet_append": _q("select date, count(*) n from prices group by date"),
     "day_replace": _q("select card_id, date, round(price + case when date = date '2024-01-20' then 1 else 0 end, 6) price from prices"),
     "run_replace": _q("select run_date, model, count(*) n, 1::bigint run_ids from forecasts group by all"),

@@ -20,6 +20,7 @@ from tidemark.operators import timeseries as ts
 from tidemark.sources import nested as ne
 from tidemark.sources import sinks
 from tidemark.sources import tables as tb
+from tidemark.sources.steps import scratch
 from tidemark.streaming import queue as qu
 from tidemark.streaming import volume as vo
 
@@ -39,18 +40,6 @@ def rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, to) for c in columns})
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a table that a query writes, in the shared folder the session names; on one machine, under /tmp."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
 # ---- series
 
 
@@ -463,16 +452,12 @@ def api_listings(s, d):
 
 @query
 def files_by_id(s, d):
-    """Paths of landed images by id: only files with the suffix count."""
-    path = scratch(s, "images")
-    names = tb.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), (F.col("n_nationkey") % 5 == 0).alias("other")).collect()  # 25 rows
-    hadoop = s._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(s._jsc.hadoopConfiguration())
-    for r in names:
-        out = fs.create(hadoop(f"{path}/set{int(r.id) % 3}/{r.id}.front.{'txt' if r.other else 'avif'}"))
-        out.writeBytes(r.id)
-        out.close()
-    return tb.files_by_id(s, path, "avif").select("id", F.regexp_extract("path", r"[^/]+/[^/]+$", 0).alias("file"))
+    """Paths of landed notes by month: executors write each month's file, and only those named as notes count."""
+    path = scratch(s, "notes")
+    o = tb.table(s, d, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    named = o.withColumns({"file": F.concat(F.date_format("month", "yyyyMM"), F.when(F.month("month") == 1, ".other").otherwise(".front")), "year": F.year("month")})
+    named.repartition(4, "year").select("value", "year", "file").write.partitionBy("year", "file").text(path)
+    return tb.files_by_id(s, path, "txt", r"file=([^/.]+)\.front/").where("id <> ''").select("id", F.regexp_extract("path", r"(year=\d+/file=[^/]+)/[^/]+$", 1).alias("folder"))
 
 
 @query
@@ -501,7 +486,9 @@ def create_if_absent(s, d):
 
 @query
 def missing_source(s, d):
-    return tb.read_or_empty(s, scratch(s, "absent"), tb.PRICE_SCHEMA)
+    """Prices of a source that is there and of one that isn't."""
+    both = li.unioned([tb.prices(s, d), tb.read_or_empty(s, scratch(s, "absent"), tb.PRICE_SCHEMA)])
+    return both.groupBy("card_id").agg(F.count(F.lit(1)).alias("n_days"), F.max("date").alias("last_day"))
 
 
 @query

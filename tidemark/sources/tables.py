@@ -25,11 +25,11 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def files_by_id(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """(id, path) of all files under a folder with a suffix; the id is the name up to its first point. Contents aren't
-    read; empty files don't count."""
+def files_by_id(spark: SparkSession, path: str, suffix: str, name: str = r"([^/.]+)[^/]*$") -> DataFrame:
+    """(id, path) of all files under a folder with a suffix; the id is what ``name`` finds in the path, by default the
+    file's name up to its first point, and empty if that finds nothing. Contents aren't read; empty files don't count."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(path)
-    return files.select(F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("id"), "path")
+    return files.select(F.regexp_extract("path", name, 1).alias("id"), "path")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
