@@ -47,6 +47,8 @@ CHUNK = 1 << 16
 FREQUENT, TIMES = 32, 8
 #: Keys that a task gathers before it compares them and hands them on; keys in a bucket; members in a block.
 GATHER, BUCKET, BLOCK = 700_000, 1_000_000, 4096
+#: Elements of the sets in a block.
+ELEMENTS = 2_000_000
 #: Bits of a set of ids that is sent to all executors: 1 MB. False hits cost time only.
 FILTER = 1 << 23
 LIGHT_TRIES, FULL_TRIES = 3, 40
@@ -373,9 +375,10 @@ def _blocks(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(across, "key")
 
 
-def _near_pairs(entries: DataFrame, classes: DataFrame, keys: Keys, forest: bool) -> DataFrame:
-    """(key, a, b): members of a key, of different components, whose bit sketches are near. ``entries`` (key, id, root,
-    m). With ``forest``, of each block only pairs that join what no pair before has joined; else all."""
+def _near(entries: DataFrame, classes: DataFrame, keys: Keys, forest: bool) -> DataFrame:
+    """Of members of a key, of different components, whose bit sketches are near: with ``forest``, pairs (key, a, b) that
+    join what no pair before in their block has joined; else (key, a, a) of each member that has such another.
+    ``entries`` (key, id, root, m)."""
     members = entries.select("key", "id", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = classes.select(F.col("c").alias("id"), F.col("n").cast("int").alias("n"), "bits")
@@ -389,6 +392,7 @@ def _near_pairs(entries: DataFrame, classes: DataFrame, keys: Keys, forest: bool
         part, ids, root, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
         itself = part[0] == part[-1]
         at = 0 if itself else int(np.searchsorted(part, part[-1]))
+        marked = np.zeros(len(rows), bool)
         for x in range(len(rows) - 1) if itself else range(at):
             y = slice(x + 1, None) if itself else slice(at, None)
             ok = (root[y] != root[x]) & (np.minimum(n[y], n[x]) * keys.den >= np.maximum(n[y], n[x]) * keys.num)
@@ -400,10 +404,11 @@ def _near_pairs(entries: DataFrame, classes: DataFrame, keys: Keys, forest: bool
             if not len(z):
                 continue
             if forest:
-                joined, first = np.unique(root[z], return_index=True)
-                z = z[first]
-                root[np.isin(root, joined)] = root[x]
-            yield np.stack([np.minimum(ids[z], ids[x]), np.maximum(ids[z], ids[x])], axis=1)
+                yield _joined(ids, root, x, z)
+            else:
+                marked[x] = marked[z] = True
+        if marked.any():
+            yield np.stack([ids[marked], ids[marked]], axis=1)
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,6 +441,76 @@ def _near_pairs(entries: DataFrame, classes: DataFrame, keys: Keys, forest: bool
     return cut(ordered.mapInArrow(run, "key bigint, a bigint, b bigint"), "near")
 
 
+def _joined(ids: np.ndarray, root: np.ndarray, x: int, z: np.ndarray) -> np.ndarray:
+    """Pairs of ``x`` with one of ``z`` of each component, which become one in ``root``."""
+    joined, first = np.unique(root[z], return_index=True)
+    z = z[first]
+    root[np.isin(root, joined)] = root[x]
+    return np.stack([np.minimum(ids[z], ids[x]), np.maximum(ids[z], ids[x])], axis=1)
+
+
+def links_within(part: np.ndarray, ids: np.ndarray, root: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> Iterator[np.ndarray]:
+    """Links that join components, of one block against another, or against itself. What a set has in common with all
+    others comes from an index of the shingles that several sets have."""
+    n = np.array([len(s) for s in sets], np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    times = np.bincount(element)
+    owner = np.repeat(np.arange(len(sets)), n)[np.argsort(element, kind="stable")]
+    first = np.cumsum(times) - times
+    itself = part[0] == part[-1]
+    at = 0 if itself else int(np.searchsorted(part, part[-1]))
+    for x in range(len(sets) - 1) if itself else range(at):
+        y = slice(x + 1, None) if itself else slice(at, None)
+        ok = (root[y] != root[x]) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)
+        if not ok.any():
+            continue
+        own = element[ends[x] : ends[x + 1]]
+        own = own[times[own] > 1]
+        size = times[own]
+        both = np.bincount(owner[np.repeat(first[own] - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(sets))
+        z = np.flatnonzero(ok) + y.start
+        z = z[den * both[z] >= num * (n[x] + n[z] - both[z])]
+        if len(z):
+            yield _joined(ids, root, x, z)
+
+
+def _decided(docs: DataFrame, near: DataFrame, entries: DataFrame, classes: DataFrame, keys: Keys, width: int) -> DataFrame:
+    """Links (a, b) among the members (key, a) in ``near`` that join their components (``entries``: key, id, root)."""
+    own = classes.select(F.col("c").alias("id"), "n")
+    members = entries.select("key", "id", "root").join(near.select("key", F.col("a").alias("id")).distinct(), ["key", "id"]).join(own, "id")
+    members = cut(members, "members")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).cast("int").alias("parts")
+    spread = members.join(members.groupBy("key").agg(parts), "key")
+    spread = spread.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sets = _sets_of(docs, classes, members.select(F.col("id").alias("c")).distinct(), width)
+    spread = spread.join(sets.select(F.col("c").alias("id"), "s"), "id").select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "id", "root", "s")
+    ordered = spread.repartition(F.col("key"), F.col("p"), F.col("q")).sortWithinPartitions("key", "p", "q", "part")
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = None, []
+
+        def of_block() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                part, ids, root = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+                for x in links_within(part, ids, root, [np.frombuffer(r[3], np.uint64) for r in rows], keys.num, keys.den):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            for key, p, q, *row in zip(*cols, strict=True):
+                if (key, p, q) != block:
+                    yield from of_block()
+                    block, rows = (key, p, q), []
+                rows.append(tuple(row))
+        yield from of_block()
+
+    out = cut(ordered.mapInArrow(run, "a bigint, b bigint").distinct(), "decided", batch=100)
+    discard(members, sets)
+    return out
+
+
 def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """One row for each input row: id, n_shingles and component_id, the smallest id that links reach.
 
@@ -467,13 +542,16 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = rows.join(classes.join(large, classes.c == large.id, "left_semi").select("id"), "id", "left_semi")
         met = _met(texts, keys, width, buckets, members=True)
         entries = entries.unionByName(met.where("key is not null").select("key", F.col("a").alias("id")).distinct())
-    for forest in (True, False):
-        near = _near_pairs(_blocks(entries, roots), classes, keys, forest)
-        if near.isEmpty():
-            break
+    near = _near(_blocks(entries, roots), classes, keys, forest=True)
+    if not near.isEmpty():
         links = links.unionByName(_verified(rows, near.select("a", "b").distinct(), classes, keys, width))
         roots = components(links)
-        entries = entries.join(near.select("key").distinct(), "key", "left_semi")  # other keys have no near pair left
+        # Other keys have no near pair left.
+        left = _blocks(entries.join(near.select("key").distinct(), "key", "left_semi"), roots)
+        marked = _near(left, classes, keys, forest=False)
+        if not marked.isEmpty():
+            links = links.unionByName(_decided(rows, marked, left, classes, keys, width))
+            roots = components(links)
 
     own = classes.select("c", "id").join(roots.select(F.col("id").alias("c"), "root"), "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     least = own.groupBy("root").agg(F.min("id").alias("least"))
