@@ -275,6 +275,14 @@ SQL: dict[str, str] = {
     "cheapest_listings": _q(
         "select id, name, item_id, price_val from (select id, item_id, price_val, row_number() over (partition by id order by price_val, item_id) rn from listings) join catalog using (id) where rn <= 3"
     ),
+    "fetched_pages": _q(
+        "select cast(ceil(k / 20.0) as integer) batch, cast(floor(((k - 1) % 20) / 7) as integer) page, tcgplayer_id id, cast(list_sum(list_transform(string_split(cast(tcgplayer_id as varchar), ''), lambda c: cast(c as integer))) as integer) price "
+        "from (select tcgplayer_id, row_number() over (order by tcgplayer_id) k from (select distinct tcgplayer_id from catalog))"
+    ),
+    "observed_rates": _q(
+        "select count(*) rows_written, count(*) as rows, round(avg(is_graded::int), 6) graded, round(avg(coalesce(ok, 0)), 6) matched, round(avg(coalesce(price_val >= 20, false)::int), 6) dear "
+        "from listings left join (select distinct item_id, 1 ok from fits) using (item_id)", _FITS
+    ),
     "api_listings": _q(
         "select item_id, listing_title, price_val, regexp_matches(lower(listing_title), 'psa|cgc|bgs|sgc|grade|graded|slab') is_graded, case n % 3 when 1 then 'FIXED_PRICE' when 2 then 'AUCTION, BEST_OFFER' else 'UNKNOWN' end listing_type, cast(date_pulled as varchar) posted_date "
         "from (select *, cast(split_part(item_id, '-', 2) as integer) n from listings)"

@@ -18,6 +18,7 @@ from tidemark.operators import market as mk
 from tidemark.operators import scoring as sc
 from tidemark.operators import timeseries as ts
 from tidemark.sources import nested as ne
+from tidemark.sources import requests as rq
 from tidemark.sources import sinks
 from tidemark.sources import tables as tb
 from tidemark.sources.steps import scratch
@@ -415,6 +416,43 @@ def batch_requests(s, d):
     return ne.batches(tb.catalog(s, d), "tcgplayer_id").select("batch", F.size("ids").alias("n"), F.col("ids")[0].alias("first_id"), F.element_at("ids", -1).alias("last_id"))
 
 
+def _price_service():
+    """A client that answers with ids and their digits' sum, ``limit`` at a time, as a service would; it fails now and
+    then."""
+    import json
+
+    asked = set()
+
+    def fetch(ids: list, offset: int, limit: int) -> str | None:
+        if offset == 0 and ids[0] % 3 == 0 and ids[0] not in asked:
+            asked.add(ids[0])
+            raise TimeoutError("try again")
+        part = ids[offset : offset + limit]
+        return json.dumps({"data": [{"id": int(i), "price": sum(map(int, str(i)))} for i in part]}) if part else None
+
+    return fetch
+
+
+@query
+def fetched_pages(s, d):
+    """Requests of twenty ids of the catalog, fetched seven at a time until a page is empty, as rows."""
+    plan = ne.batches(tb.catalog(s, d), "tcgplayer_id")
+    pages = rq.fetched(plan, _price_service, limit=7, tasks=8, pause=0.0).where("error is null")
+    rows = pages.select("batch", "page", F.explode(F.from_json("body", "data array<struct<id: bigint, price: int>>")["data"]).alias("r"))
+    return rows.select("batch", "page", "r.id", "r.price")
+
+
+@query
+def observed_rates(s, d):
+    """Shares of all listings, taken while these are written: graded ones, matches, and prices over the floor."""
+    l, path = _titled(s, d), scratch(s, "observed")
+    ok = li.title_filter(l).select("item_id").distinct().withColumn("ok", F.lit(True))
+    rates = {"graded": F.col("is_graded"), "matched": F.col("ok"), "dear": F.col("price_val") >= li.PRICE_FLOOR}
+    got = sinks.overwrite_observed(l.join(ok, "item_id", "left"), path, rates)
+    out = s.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_written"))
+    return out.withColumns({k: F.lit(v).cast("bigint") if k == "rows" else F.round(F.lit(v), 6) for k, v in got.items()})
+
+
 @query
 def offset_page(s, d):
     return ne.page(tb.catalog(s, d).select("tcgplayer_id", "name"), "tcgplayer_id", 50, 25)

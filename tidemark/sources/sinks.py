@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,16 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def overwrite_observed(df: DataFrame, path: str, rates: dict[str, Column]) -> dict[str, float | int | None]:
+    """Writes ``df`` and says of each condition in ``rates`` which share of the rows meets it (null counts as not), and how
+    many rows there are (``rows``): taken while the rows are written, without a second scan. Null shares without rows."""
+    seen = Observation("rates")
+    met = [F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(name) for name, c in rates.items()]
+    overwrite(df.observe(seen, F.count(F.lit(1)).alias("rows"), *met), path)
+    got = seen.get
+    return {"rows": got["rows"], **{name: got[name] / got["rows"] if got["rows"] else None for name in rates}}
+
+
 def replace_partitions(df: DataFrame, path: str, *partitions: str) -> None:
     """Replaces the partitions that ``df`` has rows of, and no others: a second write of the same rows changes nothing."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
