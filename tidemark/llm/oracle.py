@@ -40,7 +40,8 @@ base as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
-       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * (n_words - coalesce(removed_words, 0)) >= 50 * n_words as kept,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * (n_words - coalesce(removed_words, 0)) >= 50 * n_words
+         and n_words - coalesce(removed_words, 0) >= 20 as kept,
        coalesce(removed_words, 0)::bigint as removed_words
 from base left join removed using (doc_id)
 """

@@ -74,6 +74,19 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
 
 
+def _frequent(own: DataFrame, percent: int, min_docs: int) -> DataFrame:
+    """(host, common) from rows (host, doc, lines): hashes of a text and of its lines."""
+    own = own.groupBy("host", "doc").agg(F.first("lines").alias("lines"))
+    counted = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    sizes = own.groupBy("host").agg(F.count(F.lit(1)).alias("size")).select(F.col("host").alias("host2"), "size")
+    frequent = counted.join(sizes, F.col("host").eqNullSafe(F.col("host2"))).where(100 * F.col("n") > percent * F.col("size"))
+    return frequent.groupBy("host").agg(F.collect_list("line").alias("common"))
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", percent: int = 5, min_docs: int = 5) -> DataFrame:
     """(host, common): hashes of the normalised lines that more than ``percent`` of a hundred distinct documents of a
     host have, and ``min_docs`` of them at least.
@@ -82,12 +95,7 @@ def common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sourc
     times the mean number of lines of a document can be so frequent, so the lists are short.
     """
     lines = F.array_distinct(F.transform(_lines(F.col(text_col)), lambda s: F.xxhash64(_normal(s))))
-    own = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc"), lines.alias("lines"))
-    own = own.groupBy("host", "doc").agg(F.first("lines").alias("lines"))
-    counted = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    sizes = own.groupBy("host").agg(F.count(F.lit(1)).alias("size")).select(F.col("host").alias("host2"), "size")
-    frequent = counted.join(sizes, F.col("host").eqNullSafe(F.col("host2"))).where(100 * F.col("n") > percent * F.col("size"))
-    return frequent.groupBy("host").agg(F.collect_list("line").alias("common"))
+    return _frequent(docs.select(F.col(host_col).alias("host"), _text_hash(text_col).alias("doc"), lines.alias("lines")), percent, min_docs)
 
 
 def _with_common(rows: DataFrame, common: DataFrame) -> DataFrame:
@@ -115,19 +123,22 @@ def quality_rules(
     """One row for each input row: counts, base_failed, removed_words and kept.
 
     A line that more than ``percent`` of a hundred distinct documents of one host have, and ``min_docs`` at least, is
-    removed from all documents of that host; a document of which less than ``min_left`` of a hundred words stay is
-    rejected, as is one that fails a base rule. Null texts count as empty and fail for want of words. Every row is
+    removed from all documents of that host. A document is rejected if it fails a base rule, or if what is left has fewer
+    than ``min_words`` words or less than ``min_left`` of a hundred of those it had. Null texts count as empty and fail for want of words. Every row is
     judged by itself, whatever its id; rows of a host with equal texts are one document where lines are counted. A
     null host is a host of its own. An empty table gives an empty result. ``without_common_lines`` gives the texts.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(host_col).alias("host"))
     words = lambda s: let(_normal(s), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).cast("long").alias("n")))
-    rows = rows.withColumn("lines", F.transform(_lines(F.col("t")), words))
-    each = _with_common(base_counts(rows, "id", "t", keep=("host", "lines")), common_lines(docs, text_col, host_col, percent, min_docs))
+    # Texts are read once: their counts, and the hashes and sizes of their lines, are all that both steps need.
+    rows = rows.withColumns({"lines": F.transform(_lines(F.col("t")), words), "doc": _text_hash("t")})
+    table = cut(base_counts(rows, "id", "t", keep=("host", "doc", "lines")), "lines")
+    each = _with_common(table, _frequent(table.select("host", "doc", F.array_distinct("lines.h").alias("lines")), percent, min_docs))
     removed = F.aggregate("lines", F.lit(0).cast("long"), lambda a, s: a + F.when(F.array_contains(F.col("common"), s["h"]), s["n"]).otherwise(F.lit(0).cast("long")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     each = each.withColumn("removed_words", removed)
+    left = F.col("n_words") - F.col("removed_words")
     return each.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (100 * (F.col("n_words") - F.col("removed_words")) >= min_left * F.col("n_words"))).alias("kept"), "removed_words",
+        (~failed & (left >= min_words) & (100 * left >= min_left * F.col("n_words"))).alias("kept"), "removed_words",
     )
