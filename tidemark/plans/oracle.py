@@ -290,7 +290,7 @@ SQL: dict[str, str] = {
     "files_by_id": "select distinct strftime(o_orderdate, '%Y%m') id, 'year=' || year(o_orderdate) || '/file=' || strftime(o_orderdate, '%Y%m') || '.front' folder from orders where month(o_orderdate) <> 1",
     "column_probe": _q("select card_id, cast(null as date) date, price from prices"),
     "lenient_casts": "select p_partkey, case when p_partkey % 3 = 1 then cast(p_size as double) end as cost, case when p_partkey % 3 = 1 then p_size else 0 end cost_code from part",
-    "create_if_absent": _q("select true is_valid, count(distinct item_id) n from listings where split_part(item_id, '-', 2) <> '6'"),
+    "create_if_absent": _q("select distinct item_id, true is_valid from listings where split_part(item_id, '-', 2) <> '6'"),
     "csv_inferred": _q("select * from prices"),
     "batch_forecast": _q(
         "select card_id, target[1] - 1 run_date, target[h] target_date, round(quantile_cont(last + step * 0.1 * k * h, 0.5), 4) pred_price, round(quantile_cont(last + step * 0.1 * k * h, 0.1), 4) conf_low, round(quantile_cont(last + step * 0.1 * k * h, 0.9), 4) conf_high, 'Drift' model "

@@ -474,7 +474,7 @@ def csv_inferred(s, d):
 
 @query
 def api_listings(s, d):
-    """Replies of a search, one for each card, landed as JSON text and read back."""
+    """Replies of a search, one for each card and day, landed as JSON text and read back."""
     l = tb.listings(s, d).withColumn("n", F.split("item_id", "-")[1].cast("int"))
     price = F.struct(F.concat(F.lit("USD "), F.col("price_val").cast("string")).alias("value"))
     options = F.when(F.col("n") % 3 == 1, F.array(F.lit("FIXED_PRICE"))).when(F.col("n") % 3 == 2, F.array(F.lit("AUCTION"), F.lit("BEST_OFFER")))
@@ -482,7 +482,7 @@ def api_listings(s, d):
         F.col("item_id").alias("itemId"), F.col("listing_title").alias("title"), F.when(F.col("n") % 2 == 0, price).alias("price"), F.when(F.col("n") % 2 == 1, price).alias("currentBidPrice"),
         options.alias("buyingOptions"), F.concat(F.col("date_pulled").cast("string"), F.lit("T12:00:00.000Z")).alias("itemCreationDate"),
     )
-    replies = l.groupBy("id").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list(item).alias("itemSummaries"))).alias("value"))
+    replies = l.groupBy("id", "date_pulled").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list(item).alias("itemSummaries"))).alias("value"))
     path = scratch(s, "replies")
     replies.select("value").unionByName(s.createDataFrame([('{"total":0}',)], "value string")).write.text(path)
     return li.api_items(tb.read_json(s, path, li.RESPONSE), "TEXT").select("item_id", "listing_title", "price_val", "is_graded", "listing_type", "posted_date")
@@ -512,14 +512,15 @@ def lenient_casts(s, d):
 
 @query
 def create_if_absent(s, d):
-    """A table is created, filled, and created again: what it has stays."""
+    """A table is created, filled, and created again: what it has stays. Its name goes from the catalog at the end, its
+    rows stay in its folder."""
     path = scratch(s, "created")
-    name = f"tidemark_{path.rsplit('-', 1)[1]}"
-    sinks.create_if_absent(s, name, "item_id string, is_valid boolean", path)
-    _enriched(s, d).where("is_valid").groupBy("item_id").agg(F.max("is_valid").alias("is_valid")).write.mode("append").parquet(path)
-    s.catalog.refreshTable(name)
-    sinks.create_if_absent(s, name, "item_id string, is_valid boolean", path)
-    return s.table(name).groupBy("is_valid").agg(F.count("item_id").alias("n"))
+    name, columns = f"tidemark_{path.rsplit('-', 1)[1]}", "item_id string, is_valid boolean"
+    sinks.create_if_absent(s, name, columns, path)
+    s.sql(f"insert into {name} select * from {{rows}}", rows=_enriched(s, d).where("is_valid").groupBy("item_id").agg(F.max("is_valid").alias("is_valid")))
+    sinks.create_if_absent(s, name, columns, path)
+    s.sql(f"drop table {name}")
+    return s.read.schema(columns).parquet(path)
 
 
 @query
@@ -578,7 +579,7 @@ def volume_stream(s, d):
     path, at, source = scratch(s, "stream"), scratch(s, "state"), scratch(s, "source")
     e = tb.table(s, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     for part in ("ts < '2024-01-15'", "ts >= '2024-01-15'"):
-        e.where(part).coalesce(1).write.mode("append").parquet(source)
+        e.where(part).write.mode("append").parquet(source)
         vo.write_available(vo.volume_stream(s.readStream.schema(e.schema).parquet(source)), path, at)
     return s.read.schema("day date, event_type string, n bigint").parquet(path)
 
