@@ -246,7 +246,7 @@ SQL: dict[str, str] = {
         "select date_pulled, round(sum(price), 2) market_cap, count(*) n_listings from listings left join (select card_id id, max_by(price, date) price from sparse_prices group by card_id) using (id) where not is_graded group by date_pulled"
     ),
     "float_value_on_day": _q(
-        "select date_pulled, round(sum(n * price_then), 2) market_cap, cast(sum(n) as bigint) n_listings, cast(sum(case when price_then is not null then n else 0 end) as bigint) n_priced "
+        "select date_pulled, round(sum(n * price_then), 6) market_cap, cast(sum(n) as bigint) n_listings, cast(sum(case when price_then is not null then n else 0 end) as bigint) n_priced "
         "from (select date_pulled, id, count(*) n from listings where not is_graded group by all) l asof left join guide g on l.id = g.id and l.date_pulled >= g.price_date group by date_pulled", _GUIDE
     ),
     "listing_premiums": _q(

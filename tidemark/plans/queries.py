@@ -263,7 +263,7 @@ def top20_active(s, d):
 @query
 def float_value_on_day(s, d):
     """Market value of each day at the guide's prices of that day."""
-    return rounded(mk.value_on_day(tb.listings(s, d), tb.price_guide(s, d)), "market_cap", to=2)
+    return rounded(mk.value_on_day(tb.listings(s, d), tb.price_guide(s, d)), "market_cap")
 
 
 @query
