@@ -60,7 +60,7 @@ def test_near_misses_write_rows_in_proportion(spark, monkeypatch):
     assert max(count[400].values()) <= 60 * 400
 
 
-@pytest.mark.parametrize("block,elements", [(4096, 2_000_000), (16, 2_000_000), (4096, 900)])
+@pytest.mark.parametrize("block,elements", [(16, 2_000_000), (4096, 900)])
 def test_links_in_groups_of_near_misses(spark, monkeypatch, block, elements):
     monkeypatch.setattr(parity_join, "BLOCK", block)
     monkeypatch.setattr(parity_join, "ELEMENTS", elements)
