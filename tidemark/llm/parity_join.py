@@ -542,12 +542,15 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = rows.join(classes.join(large, classes.c == large.id, "left_semi").select("id"), "id", "left_semi")
         met = _met(texts, keys, width, buckets, members=True)
         entries = entries.unionByName(met.where("key is not null").select("key", F.col("a").alias("id")).distinct())
-    near = _near(cut(_blocks(entries, roots), "members-of-keys"), classes, keys, forest=True)
+    first = cut(_blocks(entries, roots), "members-of-keys")
+    near = _near(first, classes, keys, forest=True)
     if not near.isEmpty():
         links = links.unionByName(_verified(rows, near.select("a", "b").distinct(), classes, keys, width))
         roots = components(links)
-        # Other keys have no near pair left.
-        left = cut(_blocks(entries.join(near.select("key").distinct(), "key", "left_semi"), roots), "members-left")
+        # A component that no pair of the forest touches is near no other: its members, and other keys, are done.
+        ends = near.select("key", F.col("a").alias("id")).unionByName(near.select("key", F.col("b").alias("id"))).distinct()
+        open_ = first.join(ends, ["key", "id"], "left_semi").select("key", "root").distinct()
+        left = cut(_blocks(first.join(open_, ["key", "root"], "left_semi").select("key", "id"), roots), "members-left")
         marked = _near(left, classes, keys, forest=False)
         if not marked.isEmpty():
             links = links.unionByName(_decided(rows, marked, left, classes, keys, width))
