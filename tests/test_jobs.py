@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import search
 from tidemark.operators import scoring as sc
 from tidemark.operators import timeseries as ts
+from tidemark.plans import queries
 from tidemark.sources import sinks
 from tidemark.sources import tables as tb
 from tidemark.streaming import queue as qu
@@ -152,3 +153,20 @@ def test_layout_by_card_needs_no_exchange(spark):
         spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
         for name in ("laid_prices", "laid_others"):
             spark.sql(f"drop table if exists {name}")
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.fixture
+def large_tables(spark):
+    """Joins as between tables that are too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield "/root/testdata/sf0.001"
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_replies_dont_move_to_the_search(spark, large_tables):
+    df = queries.ALL["card_search"](spark, large_tables)
+    assert exchanges(df) == 3  # listings and cards to their join, then rows to card and day

@@ -660,18 +660,23 @@ def scored_rounds(s, d):
 @query
 def card_search(s, d):
     """Replies to searches by text and by product for each card and day, as a table function gives their items."""
-    l = tb.listings(s, d).withColumn("n", F.split("item_id", "-")[1].cast("int"))
+    l = tb.listings(s, d).select("id", F.col("date_pulled").alias("day"), "item_id", "listing_title", "price_val", "pull_source")
+    nothing = tb.catalog(s, d).select("id", F.col("released_at").alias("day"), F.when(F.col("cost") % 2 == 0, '{"total":0}').otherwise("{cut o").alias("nothing"))
+    # Dealt out as the function wants its replies, before items become replies: these are larger, and don't move any more.
+    l = l.unionByName(nothing, allowMissingColumns=True).repartition("id", "day").withColumn("n", F.split("item_id", "-")[1].cast("int"))
     item = F.struct(
         F.col("item_id").alias("itemId"), F.col("listing_title").alias("title"), F.struct(F.concat(F.lit("$"), F.col("price_val").cast("string")).alias("value")).alias("price"),
-        F.when(F.col("n") > 1, F.array(F.lit("FIXED_PRICE"), F.lit("AUCTION"))).alias("buyingOptions"), F.concat(F.col("date_pulled").cast("string"), F.lit("T12:00:00.000Z")).alias("itemCreationDate"),
+        F.when(F.col("n") > 1, F.array(F.lit("FIXED_PRICE"), F.lit("AUCTION"))).alias("buyingOptions"), F.concat(F.col("day").cast("string"), F.lit("T12:00:00.000Z")).alias("itemCreationDate"),
     )
+    by_text = F.col("nothing").isNotNull() | (F.col("n") % 2 == 1) | (F.col("pull_source") == "TEXT")
     searches = F.explode(F.array_compact(F.array(
-        F.when((F.col("n") % 2 == 1) | (F.col("pull_source") == "TEXT"), F.struct(F.lit(1).alias("turn"), F.lit("Text").alias("source"))), F.when(F.col("pull_source") == "EPID", F.struct(F.lit(2).alias("turn"), F.lit("EPID").alias("source"))),
+        F.when(by_text, F.struct(F.lit(1).alias("turn"), F.lit("Text").alias("source"))), F.when(F.col("pull_source") == "EPID", F.struct(F.lit(2).alias("turn"), F.lit("EPID").alias("source"))),
     )))
-    replies = l.select("id", F.col("date_pulled").alias("day"), searches.alias("q"), item.alias("item")).groupBy("id", "day", "q.turn", "q.source").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list("item").alias("itemSummaries"))).alias("body"))
-    nothing = tb.catalog(s, d).select("id", F.col("released_at").alias("day"), F.lit(1).alias("turn"), F.lit("Text").alias("source"), F.when(F.col("cost") % 2 == 0, '{"total":0}').otherwise("{cut o").alias("body"))
+    items = F.to_json(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list("item").alias("itemSummaries")))
+    replies = l.select("id", "day", searches.alias("q"), item.alias("item"), "nothing").groupBy("id", "day", "q.turn", "q.source", "nothing").agg(items.alias("body"))
+    replies = replies.select("id", "day", "turn", "source", F.coalesce("nothing", "body").alias("body"))
     search.register(s)
-    found = s.sql("select * from card_search(table({replies}))", replies=replies.unionByName(nothing))
+    found = s.sql("select * from card_search(table({replies}))", replies=replies)
     return found.select("id", F.col("day").alias("date_pulled"), "item_id", F.round("price_val", 6).alias("price_val"), "is_graded", "pull_source", "listing_type", "posted_date")
 
 

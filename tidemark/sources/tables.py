@@ -79,16 +79,18 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def listings(spark: SparkSession, sf_dir: str, with_card: bool = False) -> DataFrame:
+def listings(spark: SparkSession, sf_dir: str, with_card: bool = False, by_card: bool = False) -> DataFrame:
     """Marketplace listings; a title is made of the part's words and what sellers add. With the columns of its card a
-    listing needs no second join with the catalog."""
+    listing needs no second join with the catalog. ``by_card`` deals out the rows by ``id`` before they get their titles:
+    what groups them by card then moves no titles."""
     line, cat = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    line = line.join(cat, line.l_partkey == cat.p_partkey)
+    line = line.withColumn("id", F.col("l_partkey").cast("string"))
+    line = (line.repartition("id") if by_card else line).join(cat.withColumn("id", F.col("p_partkey").cast("string")), "id")
     extra = F.element_at(F.array(*[F.lit(x) for x in ("japanese", "fr", "box", "sleeve", "psa 10", "near mint", "italian")]), (F.col("l_linenumber") - 1) % 7 + 1)
     card = [F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), F.col("p_type").alias("rarity"), F.col("p_size").alias("cost")] if with_card else []
     return line.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date")).alias("item_id"),
-        F.col("l_partkey").cast("string").alias("id"), F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 9).alias("price_val"),
+        "id", F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 9).alias("price_val"),
         (F.col("l_returnflag") == "R").alias("is_graded"), F.col("l_shipdate").cast("date").alias("date_pulled"),
         F.concat_ws(" ", "p_name", "p_brand", "p_type", extra).alias("listing_title"), F.when(F.col("l_linestatus") == "O", "EPID").otherwise("TEXT").alias("pull_source"), *card,
     )
