@@ -170,3 +170,10 @@ def large_tables(spark):
 def test_replies_dont_move_to_the_search(spark, large_tables):
     df = queries.ALL["card_search"](spark, large_tables)
     assert exchanges(df) == 3  # listings and cards to their join, then rows to card and day
+
+
+def test_landed_replies_are_compressed(spark, large_tables):
+    df = queries.ALL["api_listings"](spark, large_tables)
+    names = [f for f in df.inputFiles() if "part-" in f]
+    assert names and all(f.endswith(".txt.gz") for f in names)
+    assert df.count() == spark.read.parquet(f"{large_tables}/lineitem.parquet").count()

@@ -474,8 +474,8 @@ def csv_inferred(s, d):
 
 @query
 def api_listings(s, d):
-    """Replies of a search, one for each card and day, landed as JSON text and read back."""
-    l = tb.listings(s, d).withColumn("n", F.split("item_id", "-")[1].cast("int"))
+    """Replies of a search, one for each card and day, landed as compressed JSON text and read back."""
+    l = tb.listings(s, d, by_card=True).withColumn("n", F.split("item_id", "-")[1].cast("int"))
     price = F.struct(F.concat(F.lit("USD "), F.col("price_val").cast("string")).alias("value"))
     options = F.when(F.col("n") % 3 == 1, F.array(F.lit("FIXED_PRICE"))).when(F.col("n") % 3 == 2, F.array(F.lit("AUCTION"), F.lit("BEST_OFFER")))
     item = F.struct(
@@ -484,7 +484,7 @@ def api_listings(s, d):
     )
     replies = l.groupBy("id", "date_pulled").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list(item).alias("itemSummaries"))).alias("value"))
     path = scratch(s, "replies")
-    replies.select("value").unionByName(s.createDataFrame([('{"total":0}',)], "value string")).write.text(path)
+    replies.select("value").unionByName(s.createDataFrame([('{"total":0}',)], "value string")).write.option("compression", "gzip").text(path)
     return li.api_items(tb.read_json(s, path, li.RESPONSE), "TEXT").select("item_id", "listing_title", "price_val", "is_graded", "listing_type", "posted_date")
 
 
