@@ -177,3 +177,13 @@ def test_landed_replies_are_compressed(spark, large_tables):
     names = [f for f in df.inputFiles() if "part-" in f]
     assert names and all(f.endswith(".txt.gz") for f in names)
     assert df.count() == spark.read.parquet(f"{large_tables}/lineitem.parquet").count()
+
+
+def test_queue_writes_little(spark, tmp_path):
+    source, path, state = tmp_path / "source", str(tmp_path / "queue"), str(tmp_path / "state")
+    kept = spark.conf.get(qu.CODEC)
+    arrive(spark, source, [("a", 30), ("b", 31)])
+    qu.run_queue(spark.readStream.schema(LISTING).parquet(str(source)), "at", path, state, "10 days")
+    files = list((tmp_path / "queue").rglob("*.parquet"))
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+    assert f'"{qu.CODEC}":"zstd"' in (tmp_path / "state" / "offsets" / "0").read_text() and spark.conf.get(qu.CODEC) == kept

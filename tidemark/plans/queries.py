@@ -623,7 +623,7 @@ def queue_stream(s, d):
     l = tb.listings(s, d).select("item_id", "id", "listing_title", "date_pulled")
     for part in ("date_pulled < '1996-01-01'", "date_pulled >= '1995-07-01'", None):
         if part:
-            l.where(part).write.mode("append").parquet(source)
+            l.where(part).write.mode("append").option("compression", "zstd").parquet(source)
         qu.run_queue(s.readStream.schema(l.schema).parquet(source), "date_pulled", path, at, "400 days")
     return qu.queued(s, path).join(tb.catalog(s, d).select("id", "name"), "id").select("item_id", "id", "name")
 

@@ -15,6 +15,7 @@ from tidemark.sources.sinks import new_rows
 from tidemark.sources.tables import read_or_empty
 
 SCHEMA = "item_id string, id string, listing_title string"
+CODEC = "spark.sql.streaming.stateStore.compression.codec"
 
 
 def first_seen(listings: DataFrame, at: str, late: str = "30 days") -> DataFrame:
@@ -34,7 +35,7 @@ def add_batch(path: str):
 
     def add(batch: DataFrame, number: int) -> None:
         before = queued(batch.sparkSession, path).where(F.col("batch") != number)
-        new_rows(batch, before, ["item_id"], ["id", "listing_title"]).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+        new_rows(batch, before, ["item_id"], ["id", "listing_title"]).write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/batch={number}")
 
     return add
 
@@ -42,7 +43,14 @@ def add_batch(path: str):
 def run_queue(listings: DataFrame, at: str, path: str, checkpoint: str, late: str = "30 days") -> None:
     """Adds what has arrived since the last run, and stops."""
     stream = first_seen(listings, at, late).writeStream.foreachBatch(add_batch(path))
-    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    conf = listings.sparkSession.conf
+    before = conf.get(CODEC)
+    conf.set(CODEC, "zstd")  # item ids are most of the state
+    try:
+        run = stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()  # keeps the settings it starts with
+    finally:
+        conf.set(CODEC, before)
+    run.awaitTermination()
 
 
 def waiting(queue: DataFrame, enriched: DataFrame) -> DataFrame:
