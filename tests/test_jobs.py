@@ -187,3 +187,8 @@ def test_queue_writes_little(spark, tmp_path):
     files = list((tmp_path / "queue").rglob("*.parquet"))
     assert files and all(f.name.endswith(".zstd.parquet") for f in files)
     assert f'"{qu.CODEC}":"zstd"' in (tmp_path / "state" / "offsets" / "0").read_text() and spark.conf.get(qu.CODEC) == kept
+
+
+def test_market_summary_moves_listings_once(spark, large_tables):
+    df = queries.ALL["market_daily_dive"](spark, large_tables)
+    assert exchanges(df) == 2  # listings and cards to their join

@@ -247,7 +247,7 @@ def movers_sparkline(s, d):
 
 @query
 def market_daily_dive(s, d):
-    return li.market_daily_dive(tb.listings(s, d, with_card=True))
+    return li.market_daily_dive(tb.listings(s, d, with_card=True, by_card=True))
 
 
 @query
