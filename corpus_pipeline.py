@@ -68,7 +68,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences: what op5_packing returns of each, and its token ids."""
-    pieces = pack(docs, VOCABULARY)
+    pieces = pack(docs, VOCABULARY, at_once=1_000_000)  # the stages before leave little memory
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import best_fit, filter_audit, oracle, queries, source_divergence
+from tidemark.llm import best_fit, filter_audit, oracle, packing, queries, source_divergence
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -219,3 +219,10 @@ def test_packing_query_has_checksums_of_its_ids(spark):
     got = queries.op12_best_fit_packing(spark, SF)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in got.collect()} == ids
+
+
+def test_packing_in_small_slices_gives_the_same_pieces(spark):
+    texts = [f"Words of text {k}, it's number {k * k}. " * (1 + k % 7) for k in range(40)] + ["", None, "x" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    whole, small = (sorted(map(repr, packing.pack(docs, queries.VOCABULARY, **how).collect())) for how in ({}, {"at_once": 300}))
+    assert whole == small

@@ -430,14 +430,14 @@ class Lanes:
         place[~slow], place[slow] = np.arange((~slow).sum()), (~slow).sum() + np.arange(slow.sum())
         return _segments(offsets, np.concatenate([ids, *[np.array(x, np.int64) for x in rare]]), place)
 
-    def texts_of(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of slices of texts: rows from and to, ends of texts in chunks, distinct chunk of each, and their offsets and
+    def texts_of(self, texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of slices of texts, of some ``size`` bytes: rows from and to, ends of texts in chunks, distinct chunk of each, and their offsets and
         ids."""
         texts = pc.fill_null(texts, "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE, side="right")))
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + (size or SLICE), side="right")))
             part = texts.slice(a, b - a)
             if pc.any(pc.match_substring_regex(part, "[\x1c-\x1f]")).as_py():
                 lists = pa.array([chunks(t) for t in part.to_pylist()], pa.large_list(pa.string()))
@@ -448,9 +448,9 @@ class Lanes:
             yield a, b, ends, runs.indices.to_numpy().astype(np.int64), *self.chunks(runs.dictionary)
             a = b
 
-    def ids(self, texts: pa.Array, last: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def ids(self, texts: pa.Array, last: int | None = None, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Of slices of texts: rows from and to, offsets, and ids; after each text the id ``last``."""
-        for a, b, ends, which, offsets, ids in self.texts_of(texts):
+        for a, b, ends, which, offsets, ids in self.texts_of(texts, size):
             at, flat = _segments(offsets, ids, which)
             at = at[ends]
             if last is not None:

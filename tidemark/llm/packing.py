@@ -125,12 +125,13 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, at_once: int | None = None) -> DataFrame:
     """One row for each piece: id, start, length, ids (little-endian, four bytes each), doc_tokens, sequence_id, offset.
 
     Null and empty texts are a document of the end id alone. Rows that repeat an id are packed one by one. A text
     of any length is cut into as many pieces as it needs. Sequence ids hold the task's number in their upper bits.
-    An empty table gives no rows. ``length`` is a power of two and at least ``HARD``.
+    An empty table gives no rows. ``length`` is a power of two and at least ``HARD``. Some ``at_once`` bytes of text are
+    encoded together: fewer take less memory and more time.
     """
     data = shared_file(docs, vocabulary)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
         for b in batches:
             key_type, keys = b.column(0).type, b.column(0).to_pylist()
-            for x, y, at, ids in lanes.ids(b.column(1), end_id):
+            for x, y, at, ids in lanes.ids(b.column(1), end_id, at_once):
                 ids, at = ids.astype("<u4"), at.tolist()
                 for k in range(x, y):
                     if pieces := packer.add(keys[k], ids[at[k - x] : at[k - x + 1]]):
