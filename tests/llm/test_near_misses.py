@@ -6,6 +6,8 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from tidemark.llm import parity_join
 
@@ -100,3 +102,58 @@ def test_links_within_a_block(cross):
         every = [(int(ids[a]), int(ids[b])) for a, b in itertools.combinations(range(40), 2) if index(sets[a], sets[b]) >= 0.75 and (part[a] != part[b] or not cross)]
         assert reached(pairs.tolist()) == reached(every)
         assert len(pairs) < 40
+
+
+def test_keys_take_as_much_in_many_buckets():
+    """What is sent of a key doesn't grow with the buckets, and so not with the input."""
+    rng, pack, unpack = np.random.default_rng(3), zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    keys, taken = np.sort(rng.integers(0, 1 << 64, 300_000, np.uint64)), {}
+    for buckets in (8, 128, 2048):
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        place = (keys * np.uint64(buckets)) >> np.uint64(64 - parity_join.KEY)
+        names, more = rng.integers(0, 1 << 32, len(keys)), rng.random(len(keys)) < 0.02
+        taken[buckets] = 0
+        for x in range(buckets):
+            of = bucket == x
+            block = parity_join.coded(place[of], names[of], more[of], 4, pack)
+            assert all(np.array_equal(a, b) for a, b in zip(parity_join.decoded(block, 4, unpack), (place[of], names[of], more[of]), strict=True))
+            taken[buckets] += len(block)
+    assert max(taken.values()) < 9.3 * len(keys) and taken[2048] < 1.25 * taken[8]
+
+
+@pytest.mark.parametrize("group", [100_000, 5])
+def test_short_names_that_clash(spark, monkeypatch, group):
+    """Names of two bits: a short name stands for many classes, and no link is lost."""
+    for name, value in (("NAME", 2), ("GROUP", group), ("BUCKET", 300), ("GATHER", 2_000)):
+        monkeypatch.setattr(parity_join, name, value)
+    rng = random.Random(8)
+    docs = [(k, template(rng, k, rng.choice([12, 15, 30]), shared=60)) for k in range(30)]
+    for k in range(30, 60):
+        words = rng.choice(docs)[1].split()
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        docs.append((k, " ".join(words)))
+    got, _ = written(spark, monkeypatch, docs)
+    assert got == least_by_pairs(docs) and len(set(got.values())) < len(docs)
+
+
+def shuffled(spark):
+    """Bytes that all stages have written for exchanges."""
+    status, jvm, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm, spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = status.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_near_misses_are_copied_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "BLOCK", 8)
+    rng, took = random.Random(2), {}
+    for n in (150, 600):
+        docs = spark.createDataFrame([(k, template(rng, k, 15)) for k in range(n)], "doc_id long, text string")
+        before = shuffled(spark)
+        real, parity_join._decided = parity_join._decided, lambda docs, near, *_: near.select("a", F.col("a").alias("b")).limit(0)  # blocks of sets have limits of their own
+        try:
+            assert parity_join.parity_join(docs).count() == n
+        finally:
+            parity_join._decided = real
+        took[n] = sum(x for k, x in shuffled(spark).items() if k not in before)
+    assert took[600] < 6 * took[150]

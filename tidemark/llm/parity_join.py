@@ -27,7 +27,7 @@ index of at least ``t`` differ in at most d = (1 - t) / (1 + t) * (|A| + |B|) el
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,11 @@ CHUNK = 1 << 16
 FREQUENT, TIMES = 32, 8
 #: Keys that a task gathers before it compares them and hands them on; keys in a bucket; members in a block.
 GATHER, BUCKET, BLOCK = 700_000, 1_000_000, 4096
+#: Bits of a key within its bucket, and of a class's name beside it (8 more from 2^26 texts on).
+KEY, NAME = 40, 32
+#: A group of bit sketches is cut into this many parts of ``BLOCK`` members, then into no more than keep a part within
+#: so many members and so many elements of their sets: each member is copied once for each part.
+PARTS, WIDE, SKETCHED = 2, 32_768, 16_000_000
 #: Elements of the sets in a block.
 ELEMENTS = 2_000_000
 #: Bits of a set of ids that is sent to all executors: 1 MB. False hits cost time only.
@@ -188,25 +193,54 @@ def _distinct(*columns: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([c.astype(np.int64) for c in columns], axis=1), axis=0)
 
 
-def _label(low: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
-    """A key as a column: 48 bits and the bucket. Keys that clash are compared as one, which costs time only."""
-    return (low ^ (np.asarray(bucket).astype(np.uint64) << np.uint64(48))).view(np.int64)
+def _label(place: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """A key as a column: its place in the bucket, and the bucket. Keys that clash are compared as one, which costs time only."""
+    return (place ^ (np.asarray(bucket).astype(np.uint64) << np.uint64(KEY))).view(np.int64)
 
 
-def _met(docs: DataFrame, keys: Keys, width: int, buckets: int, members: bool = False) -> DataFrame:
-    """Rows (key, a, b, w) of classes. Without a key: the smallest that has some key, and another that has it; ``w`` is 1
-    if there is a third. With ``members``, also with a key: a member ``a`` of a key; all members of keys of three or
-    more are there.
+def _planes(x: np.ndarray, first: int, end: int) -> bytes:
+    """Bytes ``first`` to ``end`` of integers: all first ones, then all second ones."""
+    return x.view(np.uint8).reshape(-1, 8)[:, first:end].T.tobytes()
+
+
+def _integers(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def coded(place: np.ndarray, names: np.ndarray, more: np.ndarray, name: int, pack: Callable[[bytes], bytes]) -> bytes:
+    """Keys of a bucket by place, a class's name of ``name`` bytes with each, and a flag. Only steps between places are
+    there; their upper bytes are few and packed. What a key takes hardly depends on how many buckets there are."""
+    step = np.diff(place, prepend=np.uint64(0)) & np.uint64((1 << KEY) - 1)
+    upper = pack(_planes(step, 3, 4))
+    return np.array([len(step), len(upper)], np.uint32).tobytes() + _planes(step, 0, 3) + _planes(names, 0, name) + upper + pack(_planes(step, 4, KEY // 8) + more.tobytes())
+
+
+def decoded(block: bytes, name: int, unpack: Callable[[bytes], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, names and flags of a block."""
+    n, upper = np.frombuffer(block[:8], np.uint32).tolist()
+    names, packed = 8 + 3 * n, 8 + (3 + name) * n
+    last = unpack(block[packed + upper :])
+    step = _integers(block[8:names] + unpack(block[packed : packed + upper]) + last[:-n], n)
+    return np.cumsum(step) & np.uint64((1 << KEY) - 1), _integers(block[names:packed], n).view(np.int64), np.frombuffer(last[-n:], bool)
+
+
+def _met(docs: DataFrame, keys: Keys, width: int, buckets: int, bits: int, members: bool = False) -> DataFrame:
+    """Rows (key, a, b, w) of classes by the last ``bits`` bits of their names. Without a key: the smallest that has some
+    key, and another that has it; ``w`` is 1 if there is a third. With ``members``, also with a key: a member ``a`` of a
+    key; all members of keys of three or more are there.
 
     Of a key that three or more have in a task only the first is sent to the key's bucket. The others, and pairs, are
     dealt out evenly: they pass through the exchange, but need not meet."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), *[(c, pa.int64()) for c in "kabw"]])
-    low = np.uint64((1 << 48) - 1)
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), *[(c, pa.int64()) for c in "kabw"]])
+    size_of_name = -(-bits // 8)
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
-    def rows(bucket, keys_=None, ids=None, key=None, a=None, b=None, w=None) -> pa.RecordBatch:
+    def rows(bucket, keys_=None, key=None, a=None, b=None, w=None) -> pa.RecordBatch:
         n = len(bucket)
-        cols = [pa.array(bucket, pa.int32()), keys_, ids, key, a, b, w]
+        cols = [pa.array(bucket, pa.int32()), keys_, key, a, b, w]
         return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     @frugal
@@ -226,12 +260,13 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int, members: bool =
             bucket = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             ends = np.searchsorted(bucket[up], np.arange(buckets + 1).astype(np.uint64))
             used = [x for x in range(buckets) if ends[x] < ends[x + 1]]
-            # Of a key the bucket gives the top; six bytes of the rest are enough, since pairs are verified.
-            first, names, more = k[up].view(np.uint8).reshape(-1, 8)[:, :6], i[up], several[up]
+            # Where a key is in its bucket: the first bits are enough, since pairs are verified.
+            place = (k * np.uint64(buckets)) >> np.uint64(64 - KEY)
+            first, names, more = place[up], i[up], several[up]
             spans = [slice(ends[x], ends[x + 1]) for x in used]
-            yield rows(used, [first[x].tobytes() for x in spans], [pack(names[x].tobytes() + more[x].tobytes()) for x in spans])
+            yield rows(used, [coded(first[x], names[x], more[x], size_of_name, pack) for x in spans])
             rest = ~up & members
-            labels, others = _label(k[rest] & low, bucket[rest]), i[rest]
+            labels, others = _label(place[rest], bucket[rest]), i[rest]
             for x in range(0, len(labels), 100_000):
                 y = slice(x, x + 100_000)
                 yield rows(np.arange(x, x + len(labels[y])) % buckets, key=labels[y], a=others[y])
@@ -251,7 +286,7 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int, members: bool =
                     continue  # another row of the task stands for this set
                 seen.add(digest)
                 found.append(make.of(s))
-                whose.append(np.full(len(found[-1]), _name(digest), np.int64))
+                whose.append(np.full(len(found[-1]), _name(digest) & ((1 << bits) - 1), np.int64))
                 size += len(found[-1])
                 if size >= GATHER:
                     yield from flush()
@@ -265,14 +300,7 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int, members: bool =
         known = t.filter(t.column("keys").is_valid())
         out = [t.filter(t.column("keys").is_null()).select(list("kabw"))]
         if known.num_rows:
-            raw = np.frombuffer(b"".join(known.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
-            k = np.zeros((len(raw), 8), np.uint8)
-            k[:, :6] = raw
-            k = k.view(np.uint64).ravel()
-            parts = [unpack(x) for x in known.column("ids").to_pylist()]
-            sizes = [len(x) // 9 for x in parts]
-            ids = np.concatenate([np.frombuffer(x[: 8 * n], np.int64) for x, n in zip(parts, sizes, strict=True)])
-            more = np.concatenate([np.frombuffer(x[8 * n :], bool) for x, n in zip(parts, sizes, strict=True)])
+            k, ids, more = (np.concatenate(x) for x in zip(*[decoded(x.as_py(), size_of_name, unpack) for x in known.column("keys")], strict=True))
             order, at, times, least = _starred(k, ids)
             k, ids, more = k[order], ids[order], more[order]
             wide = np.repeat((times > 2) | (np.add.reduceat(more.astype(np.int64), at) > 0), times)
@@ -285,10 +313,21 @@ def _met(docs: DataFrame, keys: Keys, width: int, buckets: int, members: bool =
                 out.append(pa.table({"k": labels, "a": ids[wide], "b": none, "w": none}))
         return pa.concat_tables(out).rename_columns(["key", "a", "b", "w"])
 
-    parts = docs.mapInArrow(run, "bucket int, keys binary, ids binary, k bigint, a bigint, b bigint, w bigint")
+    parts = docs.mapInArrow(run, "bucket int, keys binary, k bigint, a bigint, b bigint, w bigint")
     return cut(parts.groupBy("bucket").applyInArrow(meet, "key bigint, a bigint, b bigint, w bigint"), "met", release=True)
 
 
+def _named(met: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b, w): pairs of classes, of pairs in ``met`` that have their short names (``names``: c, short). A short name of
+    several classes stands for each, and they make pairs, too, with the smallest: keys can't tell them apart."""
+    pairs = met.groupBy("a", "b").agg(F.max("w").alias("w"))
+    for c in "ab":
+        pairs = pairs.join(names.select(F.col("short").alias(c), F.col("c").alias(f"c{c}")), c)
+    least = names.groupBy("short").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("short", "a")
+    twins = names.join(least, "short").where("c > a").select("a", F.col("c").alias("b"), F.lit(1).cast("long").alias("w"))
+    return pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w").unionByName(twins)
+
+
 def _flags(ids: DataFrame) -> np.ndarray:
     """A set of ids (column ``id``) as ``FILTER`` bits by hash."""
     h = ids.select(F.xxhash64("id").bitwiseAND(FILTER - 1).alias("h"))
@@ -353,10 +392,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keys: Keys,
 
 
 def _groups(pairs: DataFrame, roots: DataFrame, classes: DataFrame, step: float) -> DataFrame:
-    """(key, id): classes of a group, for each band. Failed comparisons among ``pairs`` connect components; keys belong
+    """(key, id, n): classes of a group, for each band, and their sizes. Failed comparisons among ``pairs`` connect components; keys belong
     to a band, so only those connect that both have the band as their own or the next."""
     band = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)
-    own = classes.select(F.col("c").alias("id"), band.alias("own")).join(roots, "id", "left").select("id", "own", F.coalesce("root", "id").alias("root"))
+    own = classes.select(F.col("c").alias("id"), band.alias("own"), "n").join(roots, "id", "left").select("id", "own", "n", F.coalesce("root", "id").alias("root"))
     both = pairs
     for c in "ab":
         both = both.join(own.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}"), F.col("root").alias(f"root_{c}")), c)
@@ -364,25 +403,27 @@ def _groups(pairs: DataFrame, roots: DataFrame, classes: DataFrame, step: float)
     failed = both.where("root_a <> root_b").select("root_a", "root_b", F.explode(bands).alias("band"))
     node = lambda root: F.xxhash64(F.col(root), F.col("band"))
     group = components(failed.select(F.least(node("root_a"), node("root_b")).alias("a"), F.greatest(node("root_a"), node("root_b")).alias("b")).distinct())
-    placed = own.select("id", "root", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band")).select("id", node("root").alias("node"))
-    return cut(placed.join(group.select(F.col("id").alias("node"), F.col("root").alias("key")), "node").select("key", "id"), "groups")
+    placed = own.select("id", "n", "root", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band")).select("id", "n", node("root").alias("node"))
+    return cut(placed.join(group.select(F.col("id").alias("node"), F.col("root").alias("key")), "node").select("key", "id", "n"), "groups")
 
 
 def _blocks(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, root, m) of entries (key, id) of keys whose members, ``m`` of them, are of different components."""
-    placed = entries.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    across = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
+    """(key, id, n, root, m, size) of entries (key, id, n) of keys whose members, ``m`` of them with ``size`` elements, are
+    of different components."""
+    placed = entries.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    across = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("lo <> hi").select("key", "m", "size")
     return placed.join(across, "key")
 
 
 def _near(entries: DataFrame, classes: DataFrame, keys: Keys, forest: bool) -> DataFrame:
     """Of members of a key, of different components, whose bit sketches are near: with ``forest``, pairs (key, a, b) that
     join what no pair before in their block has joined; else (key, a, a) of each member that has such another.
-    ``entries`` (key, id, root, m)."""
-    members = entries.select("key", "id", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    ``entries`` (key, id, n, root, m, size)."""
+    parts = F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(PARTS)), F.ceil(F.col("m") / WIDE), F.ceil(F.col("size") / SKETCHED))
+    members = entries.select("key", "id", "n", "root", parts.cast("int").alias("parts"))
     members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own = classes.select(F.col("c").alias("id"), F.col("n").cast("int").alias("n"), "bits")
-    members = members.join(own, "id").select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "id", "root", "n", "bits")
+    own = classes.select(F.col("c").alias("id"), "bits")
+    members = members.join(own, "id").select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "id", "root", F.col("n").cast("int").alias("n"), "bits")
     ordered = members.repartition(F.col("key"), F.col("p"), F.col("q")).sortWithinPartitions("key", "p", "q", "part")
 
     def compare(rows: list[tuple]) -> Iterator[np.ndarray]:
@@ -393,8 +434,9 @@ def _near(entries: DataFrame, classes: DataFrame, keys: Keys, forest: bool) -> D
         itself = part[0] == part[-1]
         at = 0 if itself else int(np.searchsorted(part, part[-1]))
         marked = np.zeros(len(rows), bool)
-        for x in range(len(rows) - 1) if itself else range(at):
-            y = slice(x + 1, None) if itself else slice(at, None)
+        # Few enough at once that their sketches stay in the processor's cache.
+        for c, x in ((c, x) for c in range(at, len(rows), 2048) for x in range(min(c + 2048, len(rows)) - 1 if itself else at)):
+            y = slice(max(x + 1, c) if itself else c, c + 2048)
             ok = (root[y] != root[x]) & (np.minimum(n[y], n[x]) * keys.den >= np.maximum(n[y], n[x]) * keys.num)
             if not ok.any():
                 continue
@@ -524,14 +566,16 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = _profiles(rows, width)
     keys = Keys(num, den, _frequent(table))
     profiles = table.where("n is not null")
-    total = profiles.agg(F.sum("n")).first()[0] or 0
+    total, texts = profiles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # A task that has a class first in a row with a null id has its sketch there.
     by_set = profiles.where("n > 0").groupBy(F.col("k1").alias("c")).agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = cut(by_set.where("id is not null"), "classes")
 
     buckets = max(8, math.ceil(total / BUCKET))
-    met = _met(rows, keys, width, buckets)
-    pairs = cut(met.groupBy("a", "b").agg(F.max("w").alias("w")), "pairs")
+    bits = NAME if texts < 1 << 26 else NAME + 8
+    names = classes.select("c", "n", F.col("c").bitwiseAND((1 << bits) - 1).alias("short"))
+    met = _met(rows, keys, width, buckets, bits)
+    pairs = cut(_named(met, names), "pairs")
     links = _verified(rows, pairs.select("a", "b"), classes, keys, width)
     roots = components(links)
     groups = _groups(pairs.where("w = 1"), roots, classes, keys.step)
@@ -540,8 +584,8 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = groups.join(sizes.where(F.col("size") > GROUP), "key", "left_semi").select("id")
     if not large.isEmpty():
         texts = rows.join(classes.join(large, classes.c == large.id, "left_semi").select("id"), "id", "left_semi")
-        met = _met(texts, keys, width, buckets, members=True)
-        entries = entries.unionByName(met.where("key is not null").select("key", F.col("a").alias("id")).distinct())
+        met = _met(texts, keys, width, buckets, bits, members=True).where("key is not null").select("key", F.col("a").alias("short")).distinct()
+        entries = entries.unionByName(met.join(names, "short").select("key", F.col("c").alias("id"), "n"))
     first = cut(_blocks(entries, roots), "members-of-keys")
     near = _near(first, classes, keys, forest=True)
     if not near.isEmpty():
@@ -550,7 +594,7 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # A component that no pair of the forest touches is near no other: its members, and other keys, are done.
         ends = near.select("key", F.col("a").alias("id")).unionByName(near.select("key", F.col("b").alias("id"))).distinct()
         open_ = first.join(ends, ["key", "id"], "left_semi").select("key", "root").distinct()
-        left = cut(_blocks(first.join(open_, ["key", "root"], "left_semi").select("key", "id"), roots), "members-left")
+        left = cut(_blocks(first.join(open_, ["key", "root"], "left_semi").select("key", "id", "n"), roots), "members-left")
         marked = _near(left, classes, keys, forest=False)
         if not marked.isEmpty():
             links = links.unionByName(_decided(rows, marked, left, classes, keys, width))
