@@ -192,3 +192,24 @@ def test_queue_writes_little(spark, tmp_path):
 def test_market_summary_moves_listings_once(spark, large_tables):
     df = queries.ALL["market_daily_dive"](spark, large_tables)
     assert exchanges(df) == 2  # listings and cards to their join
+
+
+def test_searches_of_large_tables_stay_out_of_python(spark, large_tables):
+    day = dt.date(2024, 1, 5)
+    item = lambda i, **more: {"itemId": i, "title": f"Slab {i}" if i != "z" else None, **more}
+    body = lambda *items, **more: json.dumps({"total": len(items), "itemSummaries": list(items), **more})
+    cut = body(item("cut"))
+    rows = [
+        ("1", day, 2, "EPID", body(item("x", price={"value": "$1,250.50"}), item("y"), item("y", price={"value": "7"}))), ("1", day, 1, "Text", body(item("x", price={"value": ""}, currentBidPrice={"value": "3"}, buyingOptions=["AUCTION", "B"]), {"title": "no id"})),
+        ("1", day, 1, "Other", body(item("x", price={"value": "4"}), item("w", buyingOptions=[]), more="a")), ("1", day + dt.timedelta(1), 1, "Text", body(item("x", price={"value": "free"}, itemCreationDate="2024-01-02T00:00:00Z", itemWebUrl="u"))),
+        ("2", day, 1, "Text", None), ("2", day, 1, "Text", ""), ("2", None, 1, "Text", body(item("n", price={"value": "1.2.3"}))), (None, None, 1, "Text", body(item("n"))), ("3", day, 1, "Text", '{"total": 0}'), ("3", day, 1, "Text", '{"itemSummaries": null}'),
+        *[("4", day, 1, "Text", b) for b in ("{cut", cut[:-1], cut[:-2], cut[:-3], cut + "x", cut.replace('"', "'"), "null", "3", '"a}"')], ("5", day, 1, "Text", "[1]"), ("6", day, 1, "Text", " " + body(item("z"), item(8)) + "\n"),
+    ]
+    replies = spark.createDataFrame(rows, "id string, day date, turn int, source string, body string")
+    search.register(spark)
+    by_row, large = spark.sql("select * from card_search(table({r}))", r=replies), search.found(replies)
+    assert large.columns == by_row.columns and large.count() == 8
+    key = lambda r: [str(v) for v in r]
+    assert sorted(large.collect(), key=key) == sorted(by_row.collect(), key=key)
+    plan = queries.ALL["card_search"](spark, large_tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "from_json" in plan

@@ -675,9 +675,7 @@ def card_search(s, d):
     items = F.to_json(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list("item").alias("itemSummaries")))
     replies = l.select("id", "day", searches.alias("q"), item.alias("item"), "nothing").groupBy("id", "day", "q.turn", "q.source", "nothing").agg(items.alias("body"))
     replies = replies.select("id", "day", "turn", "source", F.coalesce("nothing", "body").alias("body"))
-    search.register(s)
-    found = s.sql("select * from card_search(table({replies}))", replies=replies)
-    return found.select("id", F.col("day").alias("date_pulled"), "item_id", F.round("price_val", 6).alias("price_val"), "is_graded", "pull_source", "listing_type", "posted_date")
+    return search.found(replies).select("id", F.col("day").alias("date_pulled"), "item_id", F.round("price_val", 6).alias("price_val"), "is_graded", "pull_source", "listing_type", "posted_date")
 
 
 # ---- forecasts and their errors
